@@ -80,7 +80,7 @@ def slice_plan(
     """
     keys, order = tuple(keys), tuple(order)
     stride = max(SAMPLES_PER_SLICE, lookback)
-    seen = df.where(_has_key((*keys, order[0]))).select(*keys, *order)
+    seen = df.where(F.col(order[0]).isNotNull()).select(*keys, *order)
     by_key = Window.partitionBy(*keys).orderBy(*order)
     while True:
         rate = max(1, rows_per_slice // stride)
@@ -88,7 +88,7 @@ def slice_plan(
         rows = (
             sample.withColumn("_n", F.row_number().over(by_key) - 1)
             .where((F.col("_n") > 0) & (F.col("_n") % stride == 0))
-            .select(*keys, *order, _position(df, order[0]).alias("_at"))
+            .select(*keys, *order, _position(df, order[0]).alias("_place"))
             .limit(MAX_CUTS + 1)
             .collect()
         )
@@ -98,8 +98,10 @@ def slice_plan(
     if not rows:
         return SlicePlan(keys, order)
 
+    # Rows without a key need no cuts, only spreading; an empty table then marks the plan as split.
+    keyed = [row for row in rows if all(row[k] is not None for k in keys)]
     grouped: dict[tuple, list] = {}
-    for row in sorted(rows, key=lambda r: tuple(r[c] for c in ("_at", *order))):
+    for row in sorted(keyed, key=lambda r: tuple(r[c] for c in ("_place", *order))):
         grouped.setdefault(tuple(row[k] for k in keys), []).append(row)
     table = [(*key, *_cells(cuts, order)) for key, cuts in grouped.items()]
     cut_type = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
@@ -120,11 +122,11 @@ def slice_plan(
 
 def _cells(cuts: list, order: Sequence[str]) -> tuple:
     """Bin the cuts of one key so that a row finds its slice in one array access."""
-    low, high, count = cuts[0]["_at"], cuts[-1]["_at"], len(cuts)
+    low, high, count = cuts[0]["_place"], cuts[-1]["_place"], len(cuts)
     width = (high - low) / count
     bins: list[list] = [[] for _ in range(count if width > 0 else 1)]
     for cut in cuts:
-        at = int((cut["_at"] - low) // width) if width > 0 else 0
+        at = int((cut["_place"] - low) // width) if width > 0 else 0
         bins[min(at, len(bins) - 1)].append(tuple(cut[c] for c in order))
     cells, before = [], 0
     for held in bins:
