@@ -163,11 +163,11 @@ def name_resolution(requests, people, *, request_id, request_name, name, ordinal
     return best.drop("token", "_pos").withColumnRenamed("_name", name)
 
 
-def next_event(schedule, *, side, home, visitor, date_text, tiebreak, as_of) -> DataFrame:
-    """Earliest event per side on or after ``as_of``.
+def next_event(schedule, *, by, side, home, visitor, date_text, tiebreak, as_of) -> DataFrame:
+    """Earliest event per ``by`` (a side's id) on or after ``as_of``.
 
-    ``schedule`` has one row per side and event with raw home and visitor codes and a
-    text date.  A date that cannot be read sorts last (2099-01-01).  A side that is
+    ``schedule`` has one row per side and event with the side's code, raw home and
+    visitor codes and a text date.  A date that cannot be read sorts last (2099-01-01).  A side that is
     neither home nor visitor counts as home against the visitor.
     """
     day = F.coalesce(
@@ -175,7 +175,7 @@ def next_event(schedule, *, side, home, visitor, date_text, tiebreak, as_of) ->
         F.lit("2099-01-01").cast("date"),
     )
     rows = schedule.withColumn("game_date", day).where(F.col("game_date") >= F.lit(as_of).cast("date"))
-    first = first_by_key(rows, [side], ["game_date", tiebreak])
+    first = first_by_key(rows, [by], ["game_date", tiebreak])
     home_code, visitor_code = code_normalise(home, SHORT_CODES), code_normalise(visitor, SHORT_CODES)
     mine = F.upper(F.col(side))
     away = (visitor_code == mine) & (home_code != mine)
