@@ -49,8 +49,12 @@ class SlicePlan:
 def _position(df: DataFrame, name: str) -> Column:
     """A double that never decreases along the ordering of ``name``."""
     kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(F.col(name)).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # Without a detour over the session's time zone, whose gaps would disturb the order.
+        seconds = F.hour(name) * 3600 + F.minute(name) * 60 + F.second(name)
+        return F.unix_date(F.to_date(name)) * F.lit(86400.0) + seconds
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(name)).cast("double")
     if isinstance(kind, (T.NumericType, T.BooleanType)):
