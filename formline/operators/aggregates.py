@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, flag, won_flag
-from .joins import lookup_join
+from .joins import lookup_join, sized
 from .series import value_ladder
 from .windows import last_n
 
@@ -41,7 +41,7 @@ def home_win_rate(df, *, side: str, home: str, result: str, default: float = 0.5
         .groupBy(side)
         .agg(F.avg(won_flag(result).cast("double")).alias("_rate"))
     )
-    out = lookup_join(df, rates, [side])
+    out = lookup_join(df, sized(rates), [side])
     return out.withColumn("home_court_factor", F.bround(F.coalesce("_rate", F.lit(default)), 3)).drop("_rate")
 
 
@@ -70,7 +70,7 @@ def group_median_fill(
 ) -> DataFrame:
     """Fill nulls with the median of the row's group; rows without a group stay null."""
     medians = group_medians(df if source is None else source, group=group, value=value, name="_median", exact=exact, **kw)
-    out = lookup_join(df, medians, group)
+    out = lookup_join(df, sized(medians), group)
     keyed = None
     for c in group:
         keyed = F.col(c).isNotNull() if keyed is None else keyed & F.col(c).isNotNull()

@@ -14,19 +14,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SHORT_CODES, clean_name, code_normalise, last_token, position_name
+from ..session import stored
+from .series import estimated_bytes
+
+
+def sized(dim: DataFrame) -> DataFrame:
+    """A derived dimension whose size Spark knows before it plans the join.
+
+    Spark guesses the size of aggregates and joins from their inputs.  Where the guess
+    is above the broadcast limit the dimension is written once: from its real size Spark
+    then broadcasts it, or shuffles both sides if it is large indeed.  Without that the
+    wide side would be shuffled first and the size noticed later.
+    """
+    limit = dim.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return dim if estimated_bytes(dim) <= int(limit.lower().rstrip("b")) else stored(dim, "dimension")
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str], null_safe: bool = False) -> DataFrame:
-    """Left join to a table with one row per key; all columns of ``df`` stay first."""
-    added = [c for c in dim.columns if c not in on]
+    """Left join to a table with one row per key."""
     if not null_safe:
-        return df.join(dim, list(on), "left").select(*df.columns, *added)
+        return df.join(dim, list(on), "left")
     right = dim.withColumnsRenamed({c: f"_r_{c}" for c in on})
     match = None
     for c in on:
         same = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
         match = same if match is None else match & same
-    return df.join(right, match, "left").select(*df.columns, *added)
+    return df.join(right, match, "left").drop(*[f"_r_{c}" for c in on])
 
 
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -99,7 +112,7 @@ def rank_backfill(
         df if source is None else source, rival=rival, period=period, rating=rating, entity=entity, event_time=event_time, tiebreak=tiebreak
     )
     ranks = average_rank(ratings, partition=[period], value=rating, name=name, **kw)
-    return lookup_join(df, ranks.select(rival, period, name), [rival, period])
+    return lookup_join(df, sized(ranks.select(rival, period, name)), [rival, period])
 
 
 def unique_only(dim: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -124,10 +137,8 @@ def triple_lookup(df, table, *, rival, period, position, value="pts_allowed_per_
         & (F.coalesce(F.col(period), F.lit(2024)) == F.col("_period"))
         & (position_name(position) == F.col("_position"))
     )
-    joined = df.join(right, match, "left")
-    return joined.select(
-        *df.columns, "opp_pts_allowed_pos", F.coalesce("_rank", F.lit(15.0)).alias("opp_pos_defense_rank")
-    )
+    joined = df.join(right, match, "left").drop("_rival", "_period", "_position")
+    return joined.withColumn("opp_pos_defense_rank", F.coalesce("_rank", F.lit(15.0))).drop("_rank")
 
 
 def unmatched_report(df, *, missing, keys, n=10) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_SLICE = 4_000_000
+# Tables whose keys and order take less than this per allowed row are not searched.
+BYTES_PER_ROW = 16
 SAMPLES_PER_SLICE = 64
 MAX_CUTS = 100_000
 
@@ -80,11 +82,13 @@ def slice_plan(
     about ``SAMPLES_PER_SLICE`` rows per slice as candidates for cuts; they decide
     only where the work is cut, never what is computed.  What reaches the driver is
     one row per slice of an over-large key, at most ``MAX_CUTS``: past that the
-    slices are made larger.
+    slices are made larger.  A table that is small as a whole is not searched at all.
     """
     keys, order = tuple(keys), tuple(order)
     stride = max(SAMPLES_PER_SLICE, lookback)
     seen = df.where(F.col(order[0]).isNotNull()).select(*keys, *order)
+    if estimated_bytes(seen) < rows_per_slice * BYTES_PER_ROW:
+        return SlicePlan(keys, order)
     by_key = Window.partitionBy(*keys).orderBy(*order)
     while True:
         rate = max(1, rows_per_slice // stride)
@@ -124,6 +128,11 @@ def slice_plan(
     return SlicePlan(keys, order, df.sparkSession.createDataFrame(table, schema))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate; joins and aggregates only make it larger."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _cells(cuts: list, order: Sequence[str]) -> tuple:
     """Bin the cuts of one key so that a row finds its slice in one array access."""
     low, high, count = cuts[0]["_place"], cuts[-1]["_place"], len(cuts)
@@ -190,7 +199,6 @@ def over_series(
     if plan.split and plan.keys != tuple(keys):
         plan = slice_plan(df, keys, order, rows_per_slice=rows_per_slice, lookback=lookback)
     inputs = {f"_in_{name}": value for name, value in running.items()}
-    columns = df.columns
     rows = df.withColumns(inputs) if inputs else df
 
     if plan.split:
@@ -211,8 +219,8 @@ def over_series(
     added |= {name: F.when(total_keyed, F.sum(f"_in_{name}").over(whole)) for name in running}
     out = rows.withColumns(added)
     if plan.split:
-        out = out.where(F.col(KIND) == OWN)
-    return out.select(*[c for c in columns if c not in added], *added)
+        out = out.where(F.col(KIND) == OWN).drop(SLICE, KIND)
+    return out.drop(*inputs)
 
 
 def _with_slices(rows: DataFrame, plan: SlicePlan, inputs: list[str], within: list[str], lookback: int) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag, rate_per_exposure, starter_input, trend_ratio, true_shooting
-from .joins import lookup_join
+from ..functions.columns import flag, numeric, rate_per_exposure, starter_input, trend_ratio, true_shooting
+from .joins import lookup_join, sized
 from .series import ROWS_PER_SLICE, Rolling, over_series, slice_plan, value_ladder
 
 
@@ -85,7 +85,7 @@ def rival_rolling_mean(df, *, entity, rival, event_time, tiebreak, measures, siz
 
 def lagged_start_rate(df, *, entity, event_time, tiebreak, start, size=10, at_least=3, fill=0.8, plan=None, **kw):
     """Share of starts over the previous rows, ``fill`` below ``at_least`` values."""
-    rows = df.withColumn("gs_binary", starter_input(start))
+    rows = df.withColumn("gs_binary", starter_input(numeric(df, start)))
     return over_series(
         rows, keys=[entity], order=[event_time, tiebreak], lookback=size, plan=plan,
         rolling={f"start_rate_last{size}": rate_of("gs_binary", size, at_least, fill)}, **kw,
@@ -102,14 +102,15 @@ def cumulative_index(df, *, entity, event_time, tiebreak, period=None, name="gam
     return out.withColumn(name, F.when(keyed, F.coalesce(name, F.lit(0))).cast("bigint"))
 
 
-def period_start_offset(df, *, period, event_time, name="days_into_season") -> DataFrame:
+def period_start_offset(df, *, period, event_time, name="days_into_season", source=None) -> DataFrame:
     """Whole days since the first event of the period over all entities.
 
     The minimum is taken before the shuffle; its result has one row per period.
+    ``source`` may name a cheaper table with the same rows.
     """
-    first = df.where(F.col(period).isNotNull()).groupBy(period).agg(F.min(event_time).alias("_first"))
+    first = (df if source is None else source).where(F.col(period).isNotNull()).groupBy(period).agg(F.min(event_time).alias("_first"))
     days = F.timestamp_diff("DAY", F.col("_first").cast("timestamp"), F.col(event_time).cast("timestamp"))
-    return lookup_join(df, first, [period]).withColumn(name, days.cast("bigint")).drop("_first")
+    return lookup_join(df, sized(first), [period]).withColumn(name, days.cast("bigint")).drop("_first")
 
 
 def trailing_days_count(
@@ -139,8 +140,11 @@ def _trailing_by_range(df, entity, event_time, tiebreak, days, name) -> DataFram
         f"count(*) over (partition by `{entity}` order by {at} range between {interval} preceding and current row)"
     )
     peers = F.expr(f"count(*) over (partition by `{entity}` order by {at} range between current row and current row)")
-    ahead = peers - (F.row_number().over(rows) - F.rank().over(by_time))
-    return df.withColumn(name, F.when(F.col(entity).isNotNull(), recent - ahead).otherwise(0).cast("bigint"))
+    # The finer order first: its sort also serves the windows ordered by time alone.
+    out = df.withColumn("_row", F.row_number().over(rows))
+    ahead = peers - (F.col("_row") - F.rank().over(by_time))
+    out = out.withColumn(name, F.when(F.col(entity).isNotNull(), recent - ahead).otherwise(0).cast("bigint"))
+    return out.drop("_row")
 
 
 def _trailing_by_index(df, entity, event_time, tiebreak, days, name, rows_per_slice) -> DataFrame:
@@ -190,7 +194,7 @@ def average_rank(df, *, partition: Sequence[str], value: str, name: str, truncat
     ladder = value_ladder(df, keys=partition, value=value, **kw)
     rank = F.col("smaller") + (F.col("n") + 1) / F.lit(2.0)
     ranks = ladder.select(*partition, value, (rank.cast("int") if truncate else rank).alias(name))
-    return lookup_join(df, ranks, [*partition, value])
+    return lookup_join(df, sized(ranks), [*partition, value])
 
 
 def latest_row(df, *, entity, event_time, tiebreak) -> DataFrame:

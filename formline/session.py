@@ -58,3 +58,17 @@ def stored(df, name: str):
     path = new_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_stages: dict[tuple, object] = {}
+
+
+def stage_table(spark: SparkSession, name: str, source: str, build):
+    """A table written once per session: the boundary between two stages of a plan.
+
+    ``build`` makes the rows of ``name`` from the tables in ``source``.
+    """
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _stages:
+        _stages[key] = stored(build(), name)
+    return _stages[key]

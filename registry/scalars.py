@@ -283,7 +283,7 @@ def starter(spark, sf):
     text = F.when(i % 4 == 0, "1").when(i % 4 == 1, "x").when(i % 4 == 2, "3")
     rate = F.when(i % 5 != 0, (i % 10) / F.lit(10.0))
     return B.table(spark, sf, "events").select(
-        "event_id", C.starter_input(text).alias("gs_binary"), C.starter_flag(rate).alias("is_likely_starter")
+        "event_id", C.starter_input(C.number(text)).alias("gs_binary"), C.starter_flag(rate).alias("is_likely_starter")
     )
 
 
