@@ -182,6 +182,7 @@ def over_series(
     running: dict[str, Column] | None = None,
     within: Sequence[str] = (),
     lookback: int = 0,
+    inputs: Sequence[str] | None = None,
     plan: SlicePlan | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
@@ -191,6 +192,8 @@ def over_series(
     window of the ``n`` rows before the current one (``n <= lookback``).
     ``running`` maps a name to a column that is summed over all earlier rows with
     the same keys and ``within`` columns (null before the first value).
+    ``inputs`` names the columns that ``rolling`` reads (all, if not given): only they
+    are copied from slice to slice, and nothing else is computed for the copies.
     Rows whose key is null get null.
     """
     rolling, running = rolling or {}, running or {}
@@ -198,11 +201,12 @@ def over_series(
     plan = plan or slice_plan(df, keys, order, rows_per_slice=rows_per_slice, lookback=lookback)
     if plan.split and plan.keys != tuple(keys):
         plan = slice_plan(df, keys, order, rows_per_slice=rows_per_slice, lookback=lookback)
-    inputs = {f"_in_{name}": value for name, value in running.items()}
-    rows = df.withColumns(inputs) if inputs else df
+    sums = {f"_in_{name}": value for name, value in running.items()}
+    rows = df.withColumns(sums) if sums else df
 
     if plan.split:
-        rows = _with_slices(rows, plan, list(inputs), within, lookback)
+        copied = df.columns if inputs is None else [*dict.fromkeys([*keys, *within, *order, *inputs])]
+        rows = _with_slices(rows, plan, list(sums), within, lookback if rolling else 0, copied)
         part, sort = [*keys, SLICE], [KIND, *order]
     else:
         part, sort = keys, order
@@ -219,29 +223,31 @@ def over_series(
     added |= {name: F.when(total_keyed, F.sum(f"_in_{name}").over(whole)) for name in running}
     out = rows.withColumns(added)
     if plan.split:
-        out = out.where(F.col(KIND) == OWN).drop(SLICE, KIND)
-    return out.drop(*inputs)
+        out = out.where(F.col(KIND) == OWN).select(*[c for c in df.columns if c not in added], *added)
+    return out.drop(*sums)
 
 
-def _with_slices(rows: DataFrame, plan: SlicePlan, inputs: list[str], within: list[str], lookback: int) -> DataFrame:
+def _with_slices(
+    rows: DataFrame, plan: SlicePlan, sums: list[str], within: list[str], lookback: int, copied: list[str]
+) -> DataFrame:
     own = _sliced(rows, plan, "left").withColumn(KIND, F.lit(OWN))
     parts = []
-    split_rows = _sliced(rows, plan, "inner")
     if lookback:
         backwards = Window.partitionBy(*plan.keys, SLICE).orderBy(*[F.col(c).desc() for c in plan.order])
         halo = (
-            split_rows.withColumn("_back", F.row_number().over(backwards))
+            _sliced(rows.select(*copied), plan, "inner")
+            .withColumn("_back", F.row_number().over(backwards))
             .where((F.col("_back") <= lookback) & (F.col(SLICE) < F.col("_cuts")))
             .withColumn(SLICE, F.col(SLICE) + 1)
             .withColumn(KIND, F.lit(HALO))
-            .withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in inputs})
             .drop("_back", "_cuts")
         )
         parts.append(halo)
-    if inputs:
-        totals = split_rows.groupBy(*plan.keys, *within, SLICE).agg(*[F.sum(c).alias(c) for c in inputs])
+    if sums:
+        split_rows = _sliced(rows.select(*dict.fromkeys([*plan.keys, *within, *plan.order, *sums])), plan, "inner")
+        totals = split_rows.groupBy(*plan.keys, *within, SLICE).agg(*[F.sum(c).alias(c) for c in sums])
         before = Window.partitionBy(*plan.keys, *within).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.withColumns({c: F.sum(c).over(before) for c in inputs}).withColumn(KIND, F.lit(CARRY))
+        carry = totals.withColumns({c: F.sum(c).over(before) for c in sums}).withColumn(KIND, F.lit(CARRY))
         parts.append(carry)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, own)
 

@@ -39,7 +39,7 @@ def rolling_names(measures: Sequence[str], sizes: Sequence[int]) -> Rolling:
 def lagged_rolling_mean(df, *, entity, event_time, tiebreak, measures, sizes=(3, 5, 10), plan=None, **kw) -> DataFrame:
     """Mean of the previous n rows; one non-null value is enough."""
     return over_series(
-        df, keys=[entity], order=[event_time, tiebreak], lookback=max(sizes), plan=plan,
+        df, keys=[entity], order=[event_time, tiebreak], lookback=max(sizes), plan=plan, inputs=measures,
         rolling=rolling_names(measures, sizes), **kw,
     )
 
@@ -48,7 +48,7 @@ def lagged_rolling_std(df, *, entity, event_time, tiebreak, measure, size=5, fil
     """Sample deviation of the previous rows; fewer than two values give ``fill``."""
     name = f"rolling_last{size}_{measure}_std"
     return over_series(
-        df, keys=[entity], order=[event_time, tiebreak], lookback=size, plan=plan,
+        df, keys=[entity], order=[event_time, tiebreak], lookback=size, plan=plan, inputs=[measure],
         rolling={name: std_of(measure, size, fill)}, **kw,
     )
 
@@ -78,7 +78,7 @@ def period_expanding_mean(
 def rival_rolling_mean(df, *, entity, rival, event_time, tiebreak, measures, size=3, plan=None, **kw) -> DataFrame:
     """Mean of the previous meetings with the same rival."""
     return over_series(
-        df, keys=[entity, rival], order=[event_time, tiebreak], lookback=size, plan=plan,
+        df, keys=[entity, rival], order=[event_time, tiebreak], lookback=size, plan=plan, inputs=measures,
         rolling={f"vs_opp_rolling{size}_{m}": mean_of(m, size) for m in measures}, **kw,
     )
 
@@ -87,7 +87,7 @@ def lagged_start_rate(df, *, entity, event_time, tiebreak, start, size=10, at_le
     """Share of starts over the previous rows, ``fill`` below ``at_least`` values."""
     rows = df.withColumn("gs_binary", starter_input(numeric(df, start)))
     return over_series(
-        rows, keys=[entity], order=[event_time, tiebreak], lookback=size, plan=plan,
+        rows, keys=[entity], order=[event_time, tiebreak], lookback=size, plan=plan, inputs=["gs_binary"],
         rolling={f"start_rate_last{size}": rate_of("gs_binary", size, at_least, fill)}, **kw,
     )
 
@@ -120,15 +120,7 @@ def trailing_days_count(
     plan = plan or slice_plan(df, [entity], [event_time, tiebreak], rows_per_slice=rows_per_slice)
     if not plan.split:
         return _trailing_by_range(df, entity, event_time, tiebreak, days, name)
-    large, keyed = plan.cuts.select(entity), df.where(F.col(entity).isNotNull())
-    usual = keyed.join(F.broadcast(large), entity, "left_anti")
-    split = keyed.join(F.broadcast(large), entity, "left_semi")
-    parts = (
-        _trailing_by_range(usual, entity, event_time, tiebreak, days, name),
-        _trailing_by_index(split, entity, event_time, tiebreak, days, name, rows_per_slice),
-        df.where(F.col(entity).isNull()).withColumn(name, F.lit(0).cast("bigint")),
-    )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*df.columns, name)
+    return _trailing_by_index(df, entity, event_time, tiebreak, days, name, rows_per_slice)
 
 
 def _trailing_by_range(df, entity, event_time, tiebreak, days, name) -> DataFrame:
@@ -178,7 +170,7 @@ def rest_days(df, *, side, event_time, tiebreak, period=None, plan=None, **kw) -
     """Days off before the event (-1 for the first one) and the back-to-back flag."""
     keys = [side, period] if period else [side]
     out = over_series(
-        df, keys=keys, order=[event_time, tiebreak], lookback=1, plan=plan,
+        df, keys=keys, order=[event_time, tiebreak], lookback=1, plan=plan, inputs=[],
         rolling={"_prev": lambda frame: F.max(event_time).over(frame(1))}, **kw,
     )
     gap = F.timestamp_diff("DAY", F.col("_prev").cast("timestamp"), F.col(event_time).cast("timestamp")) - 1
@@ -235,6 +227,7 @@ def rolling_ratios(df, *, entity, event_time, tiebreak, plan=None, **kw) -> Data
     """Rolling true shooting and points per minute."""
     return over_series(
         efficiency_inputs(df), keys=[entity], order=[event_time, tiebreak], lookback=5, plan=plan,
+        inputs=["ts_pct", "pts_per_min"],
         rolling=EFFICIENCY, **kw,
     )
 

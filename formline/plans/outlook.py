@@ -108,7 +108,7 @@ def live_rows(live: DataFrame, *, entity, event_time, tiebreak, pace: DataFrame
         rows = rows.withColumn("usage_rate", usage_rate(F.coalesce("fga", F.lit(0.0)), "fta", "tov", "minutes", speed))
         measures, means = [*measures, "usage_rate"], [*means, "usage_rate"]
     out = over_series(
-        rows, keys=[entity], order=[event_time, tiebreak], lookback=max(SIZES),
+        rows, keys=[entity], order=[event_time, tiebreak], lookback=max(SIZES), inputs=measures,
         rolling=rolling_names(measures, SIZES),
         running=running_sums(means) | {"games_played_season": F.lit(1)}, **kw,
     )
