@@ -124,19 +124,21 @@ def trailing_days_count(
 
 
 def _trailing_by_range(df, entity, event_time, tiebreak, days, name) -> DataFrame:
-    by_time = Window.partitionBy(entity).orderBy(event_time)
+    """Index of the row less the number of rows before its cutoff.
+
+    Both frames only grow along the series, so the work per row does not depend on
+    how many rows the last days hold.
+    """
     rows = Window.partitionBy(entity).orderBy(event_time, tiebreak)
-    interval = f"(interval '{days}' day)"
-    at = f"`{event_time}`"
-    recent = F.expr(
-        f"count(*) over (partition by `{entity}` order by {at} range between {interval} preceding and current row)"
-    )
-    peers = F.expr(f"count(*) over (partition by `{entity}` order by {at} range between current row and current row)")
-    # The finer order first: its sort also serves the windows ordered by time alone.
-    out = df.withColumn("_row", F.row_number().over(rows))
-    ahead = peers - (F.col("_row") - F.rank().over(by_time))
-    out = out.withColumn(name, F.when(F.col(entity).isNotNull(), recent - ahead).otherwise(0).cast("bigint"))
-    return out.drop("_row")
+    just_over = f"{days + 1}' day" if dict(df.dtypes)[event_time] == "date" else f"{days} 00:00:00.000001' day to second"
+    older = F.expr(
+        f"count(*) over (partition by `{entity}` order by `{event_time}` "
+        f"range between unbounded preceding and (interval '{just_over}) preceding)"
+    )
+    # The finer order first: its sort also serves the window ordered by time alone.
+    out = df.withColumn("_row", F.row_number().over(rows) - 1).withColumn("_older", older)
+    count = F.when(F.col(entity).isNotNull(), F.col("_row") - F.col("_older")).otherwise(0)
+    return out.withColumn(name, count.cast("bigint")).drop("_row", "_older")
 
 
 def _trailing_by_index(df, entity, event_time, tiebreak, days, name, rows_per_slice) -> DataFrame:

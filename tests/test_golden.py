@@ -140,3 +140,9 @@ def test_name_resolution_prefers_a_match_then_list_order(spark):
     asked = spark.createDataFrame([(1, "bob SMITH"), (2, "Zed Smith"), (3, "bo o'smith"), (4, "Nobody Else")], "r int, q string")
     out = J.name_resolution(asked, people, request_id="r", request_name="q", name="name", ordinal="id")
     assert {(x["r"], x["id"], x["matched"]) for x in out.collect()} == {(1, 4, True), (2, 1, False), (3, 2, True)}
+
+
+def test_trailing_count_over_dates(spark):
+    days = spark.createDataFrame([(1, d, i) for i, d in enumerate((1, 3, 8, 9, 9))], "e int, d int, k int")
+    rows = days.select("e", "k", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).alias("t"))
+    assert column(W.trailing_days_count(rows, **SERIES), "games_in_last_7_days") == [0, 1, 2, 2, 3]
