@@ -95,7 +95,8 @@ def rolling_state(
     """Lagged rolling means for every arriving row, from per-entity state of the last rows.
 
     Repeated (entity, time, tiebreak) rows within the watermark count once and rows older
-    than the watermark are dropped; within a batch an entity's rows are put in order.
+    than the watermark in force are dropped (Spark enforces a watermark one batch after the
+    one it was computed for); within a batch an entity's rows are put in order.
     Needs the RocksDB state store.
     """
     kinds = {f.name: f.dataType for f in stream.schema.fields}
