@@ -55,7 +55,7 @@ def group_medians(df: DataFrame, *, group: Sequence[str], value: str, name: str
         return df.groupBy(*group).agg(F.percentile_approx(value, 0.5).cast("double").alias(name))
     ladder = value_ladder(df, keys=group, value=value, **kw)
     totals = ladder.groupBy(*group).agg(F.sum("n").alias("_total"))
-    placed = lookup_join(ladder, totals, group)
+    placed = lookup_join(ladder, sized(totals), group)
     low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
 
     def holds(at: Column) -> Column:
