@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, pii
+from . import byte_bpe, near_dup, packing, pii
 from .common import table
 
 QUERIES: dict = {}
@@ -39,3 +39,8 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.base_report(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query("op8_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
