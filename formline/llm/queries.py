@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_dup, packing, pii
+from . import byte_bpe, near_dup, packing, pii, quality_rules
 from .common import table
 
 QUERIES: dict = {}
@@ -44,3 +44,8 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query("op9_quality_rules")
+def decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
