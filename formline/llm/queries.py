@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_dup, packing, pii, quality_rules
+from . import byte_bpe, fingerprints, near_dup, packing, pii, quality_rules
 from .common import table
 
 QUERIES: dict = {}
@@ -49,3 +49,8 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_i_match", fingerprints.sql())
+def i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
