@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, near_dup, packing, pii, quality_rules
+from . import byte_bpe, fingerprints, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules
 from .common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,19 @@ def decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_i_match", fingerprints.sql())
 def i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup")
+def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the lines removed and a digest of the text that is left."""
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", F.size("removed_places").cast("bigint").alias("n_removed_lines"), "removed_places",
+        F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars_left"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
