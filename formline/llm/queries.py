@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules
+from . import byte_bpe, fingerprints, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -70,3 +70,8 @@ def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars_left"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op10_suffix_dedup")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
