@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, line_dedup, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup
+from . import byte_bpe, fingerprints, line_dedup, lm_scoring, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op6_hidden_markov_model")
+def hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
