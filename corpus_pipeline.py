@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.llm import line_dedup, near_dup, packing, pii, quality_classifier
-from formline.session import new_path
+from formline.session import new_path, stored
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,9 +33,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near-duplicates; rows without an id stay."""
+    """Keeps one document, that of the smallest id, of each group of near-duplicates; rows without an id stay.
+
+    Documents without words, such as the line stage leaves of whole copies, are one group too.
+    """
     verdict = near_dup.near_duplicates(docs, width=5, percent=80)
-    dropped = verdict.filter("not kept").select("doc_id").distinct()
+    verdict = stored(verdict.select("doc_id", "n_shingles", "kept"), "verdict")
+    blank = verdict.filter("n_shingles = 0").agg(F.min("doc_id").alias("doc_id")).first()["doc_id"]
+    extra = (F.col("n_shingles") == 0) & (F.col("doc_id") > F.lit(blank))
+    dropped = verdict.filter(~F.col("kept") | F.coalesce(extra, F.lit(False))).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
