@@ -14,20 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SHORT_CODES, clean_name, code_normalise, last_token, position_name
-from ..session import stored
-from .series import estimated_bytes
-
-
-def sized(dim: DataFrame) -> DataFrame:
-    """A derived dimension whose size Spark knows before it plans the join.
-
-    Spark guesses the size of aggregates and joins from their inputs.  Where the guess
-    is above the broadcast limit the dimension is written once: from its real size Spark
-    then broadcasts it, or shuffles both sides if it is large indeed.  Without that the
-    wide side would be shuffled first and the size noticed later.
-    """
-    limit = dim.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    return dim if estimated_bytes(dim) <= int(limit.lower().rstrip("b")) else stored(dim, "dimension")
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str], null_safe: bool = False) -> DataFrame:
@@ -112,7 +98,7 @@ def rank_backfill(
         df if source is None else source, rival=rival, period=period, rating=rating, entity=entity, event_time=event_time, tiebreak=tiebreak
     )
     ranks = average_rank(ratings, partition=[period], value=rating, name=name, **kw)
-    return lookup_join(df, sized(ranks.select(rival, period, name)), [rival, period])
+    return lookup_join(df, ranks.select(rival, period, name), [rival, period])
 
 
 def unique_only(dim: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -147,31 +133,46 @@ def unmatched_report(df, *, missing, keys, n=10) -> DataFrame:
     return counts.orderBy(F.col("n_unmatched").desc(), *keys).limit(n)
 
 
-def name_candidates(people, *, name, ordinal, limit=25) -> DataFrame:
-    """At most ``limit`` people per last name token, in list order."""
-    w = Window.partitionBy("token").orderBy(ordinal)
-    return (
-        people.withColumn("token", last_token(name))
-        .withColumn("_pos", F.row_number().over(w))
-        .where(F.col("_pos") <= limit)
-    )
+def parts_up_to(name: Column, token: Column) -> Column:
+    """The parts of a cleaned name that end where ``token`` ends in it; all parts where the token is empty."""
+    ends = F.filter(F.sequence(F.lit(0), F.length(name)), lambda e: F.endswith(F.substring(name, F.lit(1), e), token))
+    starts = lambda e: F.transform(F.sequence(F.lit(1), e + 1), lambda s: F.substring(name, s, e + 1 - s))
+    return F.array_distinct(F.flatten(F.transform(ends, starts)))
 
 
-def name_resolution(requests, people, *, request_id, request_name, name, ordinal, limit=25) -> DataFrame:
-    """Resolve free-text names.
+def name_resolution(requests, people, *, request_id, request_name, name, ordinal) -> DataFrame:
+    """Resolve free-text names; every request gets a row, with null person columns if nobody shares its last token.
 
-    Candidates share the last token (25 at most, as a search page returns); the
-    first whose cleaned name equals, contains or is contained wins, else the first.
+    Among the people with the request's last token the first in list order whose cleaned
+    name equals, contains or is contained wins, else the first.  One name contains another
+    exactly if the other is a part of it that ends with the token, so three joins on keys
+    with one row each find the answer and no pairs are made.
     """
-    found = name_candidates(people, name=name, ordinal=ordinal, limit=limit)
-    asked = requests.withColumn("token", last_token(request_name))
-    wanted, full = clean_name(request_name), clean_name(F.col("_name"))
-    hit = (wanted == full) | F.contains(full, wanted) | F.contains(wanted, full)
-    joined = asked.join(found.withColumnRenamed(name, "_name"), "token", "inner").withColumn(
-        "matched", F.coalesce(hit, F.lit(False))
-    )
-    best = first_by_key(joined, [request_id], [F.when(F.col("matched"), 0).otherwise(1), F.col("_pos")])
-    return best.drop("token", "_pos").withColumnRenamed("_name", name)
+
+    def first(rows: DataFrame, keys: Sequence[str], found: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min(ordinal).alias(found))
+
+    def bare(df: DataFrame, text: str) -> DataFrame:
+        named = df.withColumn("_token", last_token(text)).withColumn("_bare", clean_name(text))
+        return named.withColumn("_end", F.translate(F.col("_token"), "'.", ""))
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.withColumn("_bare", F.explode(parts_up_to(F.col("_bare"), F.col("_end"))))
+
+    known = bare(people.select(name, ordinal), name).select("_token", "_bare", "_end", ordinal)
+    asked = bare(requests, request_name)
+    inside = first(spread(known), ["_token", "_bare"], "_inside")
+    around = spread(asked.select(request_id, "_token", "_bare", "_end"))
+    around = around.join(first(known, ["_token", "_bare"], "_around"), ["_token", "_bare"])
+    around = around.groupBy(request_id).agg(F.min("_around").alias("_around"))
+    out = asked.join(inside, ["_token", "_bare"], "left").join(around, request_id, "left")
+    out = out.join(first(known, ["_token"], "_any"), "_token", "left")
+    hit = F.least("_inside", "_around")
+    out = out.withColumn("matched", F.when(F.col("_any").isNotNull(), hit.isNotNull()))
+    out = out.withColumn("_chosen", F.coalesce(hit, "_any"))
+    out = out.select(*requests.columns, "_chosen", "matched")
+    persons = people.withColumn("_chosen", F.col(ordinal))
+    return out.join(persons, "_chosen", "left").select(*requests.columns, *people.columns, "matched")
 
 
 def next_event(schedule, *, by, side, home, visitor, date_text, tiebreak, as_of) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A plain ``Window.partitionBy(key).orderBy(time)`` sends a whole key to one task.
 That is right for ordinary keys and hopeless for a key that holds a third of the
-table.  ``slice_plan`` looks for such keys in one narrow pass.  Without any, the
-functions below are plain windows.  With some, only those keys are cut into
+table.  ``slice_plan`` looks for such keys by counting.  Without any, the functions
+below are plain windows.  With some, only those keys are cut into
 consecutive slices, and every slice is given what it needs from earlier ones:
 
 * bounded frames get the last ``lookback`` rows before the slice,
@@ -11,7 +11,7 @@ consecutive slices, and every slice is given what it needs from earlier ones:
 
 Both are added as extra rows in front of the slice, so one exchange on
 (key, slice) and one sort serve all columns.  The results are exact wherever
-the cuts fall.
+the cuts fall; rows without a time come last in their series.
 """
 
 from __future__ import annotations
@@ -22,13 +22,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import stored
 
 ROWS_PER_SLICE = 4_000_000
-# Tables whose keys and order take less than this per allowed row are not searched.
-BYTES_PER_ROW = 16
 SAMPLES_PER_SLICE = 64
-MAX_CUTS = 100_000
+CHUNK = 256  # cuts that are looked through together
 
 SLICE = "_slice"
 KIND = "_kind"
@@ -48,22 +47,6 @@ class SlicePlan:
         return self.cuts is not None
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """A double that never decreases along the ordering of ``name``."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name)).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        # Without a detour over the session's time zone, whose gaps would disturb the order.
-        seconds = F.hour(name) * 3600 + F.minute(name) * 60 + F.second(name)
-        return F.unix_date(F.to_date(name)) * F.lit(86400.0) + seconds
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        return F.col(name).cast("double")
-    return F.lit(0.0)
-
-
 def _has_key(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
@@ -78,85 +61,48 @@ def slice_plan(
 ) -> SlicePlan:
     """Find the keys with more than ``rows_per_slice`` rows and cut them.
 
-    ``order`` must order the rows of a key totally.  A hash of key and order picks
-    about ``SAMPLES_PER_SLICE`` rows per slice as candidates for cuts; they decide
-    only where the work is cut, never what is computed.  What reaches the driver is
-    one row per slice of an over-large key, at most ``MAX_CUTS``: past that the
-    slices are made larger.  A table that is small as a whole is not searched at all.
+    Keys are found by counting their rows, combined before the shuffle, whatever the
+    size of the table.  ``order`` must order the rows of a key totally, nulls last.  A
+    hash of key and order picks about ``SAMPLES_PER_SLICE`` rows per slice of such a key
+    as candidates for cuts; they decide only where the work is cut, never what is
+    computed.  The cuts are a stored table with one row per large key.
     """
     keys, order = tuple(keys), tuple(order)
-    stride = max(SAMPLES_PER_SLICE, lookback)
-    seen = df.where(F.col(order[0]).isNotNull()).select(*keys, *order)
-    if estimated_bytes(seen) < rows_per_slice * BYTES_PER_ROW:
-        return SlicePlan(keys, order)
-    by_key = Window.partitionBy(*keys).orderBy(*order)
-    while True:
-        rate = max(1, rows_per_slice // stride)
-        sample = seen if rate == 1 else seen.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0)
-        rows = (
-            sample.withColumn("_n", F.row_number().over(by_key) - 1)
-            .where((F.col("_n") > 0) & (F.col("_n") % stride == 0))
-            .select(*keys, *order, _position(df, order[0]).alias("_place"))
-            .limit(MAX_CUTS + 1)
-            .collect()
-        )
-        if len(rows) <= MAX_CUTS:
-            break
-        rows_per_slice *= 4
-    if not rows:
+    rows = df.select(*keys, *order)
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_slice).drop("_rows")
+    large = stored(large, "large_keys")
+    if large.isEmpty():
         return SlicePlan(keys, order)
-
-    # Rows without a key need no cuts, only spreading; an empty table then marks the plan as split.
-    keyed = [row for row in rows if all(row[k] is not None for k in keys)]
-    grouped: dict[tuple, list] = {}
-    for row in sorted(keyed, key=lambda r: tuple(r[c] for c in ("_place", *order))):
-        grouped.setdefault(tuple(row[k] for k in keys), []).append(row)
-    table = [(*key, *_cells(cuts, order)) for key, cuts in grouped.items()]
-    cut_type = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
-    schema = T.StructType(
-        [T.StructField(k, df.schema[k].dataType) for k in keys]
-        + [
-            T.StructField("_from", T.DoubleType()),
-            T.StructField("_width", T.DoubleType()),
-            T.StructField("_cuts", T.IntegerType()),
-            T.StructField(
-                "_cells",
-                T.ArrayType(T.StructType().add("base", T.IntegerType()).add("cuts", T.ArrayType(cut_type))),
-            ),
-        ]
+    stride = max(SAMPLES_PER_SLICE, lookback)
+    rate = max(1, rows_per_slice // stride)
+    sample = rows if rate == 1 else rows.where(F.pmod(F.xxhash64(*keys, *order), F.lit(rate)) == 0)
+    # Rows without a key need no cuts, only spreading; without a time, they are the end of their series.
+    sample = sample.where(F.col(order[0]).isNotNull()).join(large, list(keys), "left_semi")
+    by_key = Window.partitionBy(*keys).orderBy(*_ascending(order))
+    cuts = (
+        sample.withColumn("_n", F.row_number().over(by_key) - 1)
+        .where((F.col("_n") > 0) & (F.col("_n") % stride == 0))
+        .select(*keys, F.floor((F.col("_n") / stride - 1) / CHUNK).cast("int").alias("_chunk"), F.struct(*order).alias("_cut"))
     )
-    return SlicePlan(keys, order, df.sparkSession.createDataFrame(table, schema))
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate; joins and aggregates only make it larger."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def _cells(cuts: list, order: Sequence[str]) -> tuple:
-    """Bin the cuts of one key so that a row finds its slice in one array access."""
-    low, high, count = cuts[0]["_place"], cuts[-1]["_place"], len(cuts)
-    width = (high - low) / count
-    bins: list[list] = [[] for _ in range(count if width > 0 else 1)]
-    for cut in cuts:
-        at = int((cut["_place"] - low) // width) if width > 0 else 0
-        bins[min(at, len(bins) - 1)].append(tuple(cut[c] for c in order))
-    cells, before = [], 0
-    for held in bins:
-        cells.append((before, held))
-        before += len(held)
-    return low, width, count, cells
-
-
-def _slice_of(df: DataFrame, plan: SlicePlan) -> Column:
-    at = _position(df, plan.order[0])
-    cell = F.when(
-        F.col("_width") > 0,
-        F.greatest(F.lit(0), F.least(F.size("_cells") - 1, F.floor((at - F.col("_from")) / F.col("_width")))),
-    ).otherwise(0)
-    held = F.element_at("_cells", cell.cast("int") + 1)
+    # Two levels, so that a row compares with the heads of the chunks and with one chunk.
+    chunks = cuts.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list("_cut")).alias("cuts"))
+    cell = F.struct("_chunk", (F.col("_chunk") * CHUNK).alias("base"), "cuts")
+    cells = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_cells"), F.sum(F.size("cuts")).cast("int").alias("_cuts"))
+    heads = F.transform("_cells", lambda c: c["cuts"][0])
+    return SlicePlan(keys, order, stored(cells.withColumn("_heads", heads), "cuts"))
+
+
+def _ascending(order: Sequence[str]) -> list[Column]:
+    """A series is ordered with missing values last."""
+    return [F.col(c).asc_nulls_last() for c in order]
+
+
+def _slice_of(plan: SlicePlan) -> Column:
+    """The number of cuts that a row is not before."""
     here = F.struct(*[F.col(c) for c in plan.order])
-    return held["base"] + F.size(F.filter(held["cuts"], lambda cut: cut <= here))
+    cell = F.get("_cells", F.size(F.filter("_heads", lambda head: head <= here)) - 1)
+    found = F.coalesce(cell["base"] + F.size(F.filter(cell["cuts"], lambda cut: cut <= here)), F.lit(0))
+    return F.when(F.col("_cuts").isNull(), None).when(F.col(plan.order[0]).isNull(), F.col("_cuts")).otherwise(found)
 
 
 def _sliced(df: DataFrame, plan: SlicePlan, how: str) -> DataFrame:
@@ -164,10 +110,10 @@ def _sliced(df: DataFrame, plan: SlicePlan, how: str) -> DataFrame:
 
     Rows without a key belong to no series: they are spread evenly instead.
     """
-    joined = df.join(F.broadcast(plan.cuts), list(plan.keys), how)
-    spread = F.when(~_has_key(plan.keys), F.pmod(F.xxhash64(*plan.order), F.lit(4096)).cast("int"))
-    number = F.coalesce(_slice_of(df, plan), spread, F.lit(0))
-    return joined.withColumn(SLICE, number).drop("_from", "_width", "_cells", *([] if how == "inner" else ["_cuts"]))
+    joined = df.join(plan.cuts, list(plan.keys), how)
+    spread = F.when(~_has_key(plan.keys), F.xxhash64(*plan.order))
+    number = F.coalesce(_slice_of(plan).cast("bigint"), spread, F.lit(0))
+    return joined.withColumn(SLICE, number).drop("_cells", "_heads", *([] if how == "inner" else ["_cuts"]))
 
 
 Rolling = dict[str, Callable[[Callable[[int], WindowSpec]], Column]]
@@ -210,8 +156,8 @@ def over_series(
         part, sort = [*keys, SLICE], [KIND, *order]
     else:
         part, sort = keys, order
-    base = Window.partitionBy(*part).orderBy(*sort)
-    whole = Window.partitionBy(*part, *within).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    base = Window.partitionBy(*part).orderBy(*_ascending(sort))
+    whole = Window.partitionBy(*part, *within).orderBy(*_ascending(sort)).rowsBetween(Window.unboundedPreceding, -1)
 
     def frame(n: int) -> WindowSpec:
         if n > lookback:
@@ -233,7 +179,7 @@ def _with_slices(
     own = _sliced(rows, plan, "left").withColumn(KIND, F.lit(OWN))
     parts = []
     if lookback:
-        backwards = Window.partitionBy(*plan.keys, SLICE).orderBy(*[F.col(c).desc() for c in plan.order])
+        backwards = Window.partitionBy(*plan.keys, SLICE).orderBy(*[F.col(c).desc_nulls_first() for c in plan.order])
         halo = (
             _sliced(rows.select(*copied), plan, "inner")
             .withColumn("_back", F.row_number().over(backwards))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag, numeric, rate_per_exposure, starter_input, trend_ratio, true_shooting
-from .joins import lookup_join, sized
+from .joins import lookup_join
 from .series import ROWS_PER_SLICE, Rolling, over_series, slice_plan, value_ladder
 
 
@@ -110,7 +110,7 @@ def period_start_offset(df, *, period, event_time, name="days_into_season", sour
     """
     first = (df if source is None else source).where(F.col(period).isNotNull()).groupBy(period).agg(F.min(event_time).alias("_first"))
     days = F.timestamp_diff("DAY", F.col("_first").cast("timestamp"), F.col(event_time).cast("timestamp"))
-    return lookup_join(df, sized(first), [period]).withColumn(name, days.cast("bigint")).drop("_first")
+    return lookup_join(df, first, [period]).withColumn(name, days.cast("bigint")).drop("_first")
 
 
 def trailing_days_count(
@@ -129,15 +129,16 @@ def _trailing_by_range(df, entity, event_time, tiebreak, days, name) -> DataFram
     Both frames only grow along the series, so the work per row does not depend on
     how many rows the last days hold.
     """
-    rows = Window.partitionBy(entity).orderBy(event_time, tiebreak)
+    rows = Window.partitionBy(entity).orderBy(F.col(event_time).asc_nulls_last(), F.col(tiebreak).asc_nulls_last())
     just_over = f"{days + 1}' day" if dict(df.dtypes)[event_time] == "date" else f"{days} 00:00:00.000001' day to second"
     older = F.expr(
-        f"count(*) over (partition by `{entity}` order by `{event_time}` "
+        f"count(*) over (partition by `{entity}` order by `{event_time}` nulls last "
         f"range between unbounded preceding and (interval '{just_over}) preceding)"
     )
     # The finer order first: its sort also serves the window ordered by time alone.
     out = df.withColumn("_row", F.row_number().over(rows) - 1).withColumn("_older", older)
-    count = F.when(F.col(entity).isNotNull(), F.col("_row") - F.col("_older")).otherwise(0)
+    timed = F.col(entity).isNotNull() & F.col(event_time).isNotNull()
+    count = F.when(timed, F.col("_row") - F.col("_older")).otherwise(0)
     return out.withColumn(name, count.cast("bigint")).drop("_row", "_older")
 
 
@@ -145,27 +146,25 @@ def _trailing_by_index(df, entity, event_time, tiebreak, days, name, rows_per_sl
     """Index of the row less the number of rows before its cutoff.
 
     Every row also sends a probe to its cutoff time; one running count over rows
-    and probes gives both numbers, and they meet again on the row's own key.
+    and probes gives both numbers, and they meet again on (entity, time, tiebreak),
+    which is total.  Rows without an entity or a time have no earlier rows.
     """
-    payload = F.struct(*[F.col(c) for c in df.columns])
-    cutoff = F.col(event_time) - F.expr(f"interval '{days}' day")
-    own = df.select(
-        F.col(entity), F.col(event_time).alias("_at"), F.lit(1).alias("_is_row"), F.col(tiebreak), payload.alias("_row")
-    )
-    probe = df.select(
-        F.col(entity), cutoff.alias("_at"), F.lit(0).alias("_is_row"), F.col(tiebreak),
-        F.lit(None).cast(own.schema["_row"].dataType).alias("_row"),
-    )
+    timed = df.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull())
+    rest = df.where(F.col(entity).isNull() | F.col(event_time).isNull()).withColumn(name, F.lit(0).cast("bigint"))
+    keys = timed.select(F.col(entity), F.col(event_time).alias("_time"), F.col(tiebreak))
+    cutoff = F.col("_time") - F.expr(f"interval '{days}' day")
+    own = keys.withColumn("_at", F.col("_time")).withColumn("_is_row", F.lit(1))
+    probe = keys.withColumn("_at", cutoff.cast(own.schema["_at"].dataType)).withColumn("_is_row", F.lit(0))
     counted = over_series(
-        own.unionByName(probe), keys=[entity], order=["_at", "_is_row", tiebreak],
+        own.unionByName(probe), keys=[entity], order=["_at", "_is_row", tiebreak, "_time"],
         running={"_before": F.col("_is_row")}, rows_per_slice=rows_per_slice,
     )
     before = F.coalesce("_before", F.lit(0))
-    paired = counted.groupBy(entity, tiebreak).agg(
-        F.first("_row", ignorenulls=True).alias("_row"),
-        F.sum(F.when(F.col("_is_row") == 1, before).otherwise(-before)).alias("_count"),
-    )
-    return paired.select("_row.*", F.col("_count").cast("bigint").alias(name))
+    signed = F.when(F.col("_is_row") == 1, before).otherwise(-before)
+    # A repeated key sends as many rows as probes; the mean over them is that of one.
+    counts = counted.groupBy(entity, "_time", tiebreak).agg((F.sum(signed) / F.sum("_is_row")).cast("bigint").alias(name))
+    counts = counts.withColumnRenamed("_time", event_time)
+    return lookup_join(timed, counts, [entity, event_time, tiebreak], null_safe=True).unionByName(rest)
 
 
 def rest_days(df, *, side, event_time, tiebreak, period=None, plan=None, **kw) -> DataFrame:
@@ -188,7 +187,7 @@ def average_rank(df, *, partition: Sequence[str], value: str, name: str, truncat
     ladder = value_ladder(df, keys=partition, value=value, **kw)
     rank = F.col("smaller") + (F.col("n") + 1) / F.lit(2.0)
     ranks = ladder.select(*partition, value, (rank.cast("int") if truncate else rank).alias(name))
-    return lookup_join(df, sized(ranks), [*partition, value])
+    return lookup_join(df, ranks, [*partition, value])
 
 
 def latest_row(df, *, entity, event_time, tiebreak) -> DataFrame:

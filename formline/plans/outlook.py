@@ -54,7 +54,7 @@ def next_event_context(
     *,
     as_of: str,
 ) -> DataFrame:
-    """Name to the full context of that person's next event.
+    """Name to the full context of that person's next event; ``status`` tells why one has none.
 
     requests: request_id, request_name, position; people: person_id, person_name, team_id,
     roster_status; events: event_id, team_id, side, home, visitor, date; history: team_id,
@@ -73,7 +73,8 @@ def next_event_context(
     shape = availability_inputs(
         logs, entity="person_id", event_time="game_date", tiebreak="game_id", minutes="minutes", as_of=as_of
     ).withColumn("has_log", F.lit(True))
-    rows = lookup_join(found.join(sides, "team_id", "inner"), shape, ["person_id"])
+    rows = lookup_join(lookup_join(found, sides, ["team_id"]), shape, ["person_id"])
+    answer = F.when(F.col("person_id").isNull(), "unknown entity").when(F.col("game_date").isNull(), "no event").otherwise("ok")
     status = availability(
         "roster_status", "dnp_count", "days_since_last", F.coalesce("has_log", F.lit(False)), "request_name"
     )
@@ -88,6 +89,7 @@ def next_event_context(
         F.col("side").alias("_player_team_abbrev"),
         F.col("_a.status").alias("_injury_status"),
         F.col("_a.warning").alias("_injury_warning"),
+        answer.alias("status"),
     )
 
 

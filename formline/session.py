@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,11 +39,14 @@ def local_session(cores: int | str = 8, app: str = "formline", memory: str = "12
 def work_folder(spark: SparkSession) -> str:
     """The folder shared by driver and executors.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in a local test run, is a fresh temporary folder made and remembered.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset in
+    local mode, as in a test run, is a fresh temporary folder made and remembered;
+    elsewhere executors would each write to a disk of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="formline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -50,7 +54,7 @@ def work_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the work folder that nothing else uses."""
-    return os.path.join(work_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{work_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stored(df, name: str):
@@ -72,3 +76,20 @@ def stage_table(spark: SparkSession, name: str, source: str, build):
     if key not in _stages:
         _stages[key] = stored(build(), name)
     return _stages[key]
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, so that they need not find it in their working folder."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="formline-")) / "formline.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)

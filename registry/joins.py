@@ -218,16 +218,17 @@ folk as (select p_partkey as person_id, p_name as person_name, lower(string_spli
     row_number() over (partition by lower(string_split(p_name, ' ')[-1]) order by p_partkey) as pos from part),
 pairs as (select request_id, request_name, person_id, person_name, pos,
     trim(translate(lower(request_name), '''.', '')) as a, trim(translate(lower(person_name), '''.', '')) as b
-  from asked join folk on lower(string_split(request_name, ' ')[-1]) = token where pos <= 25)"""
+  from asked join folk on lower(string_split(request_name, ' ')[-1]) = token)"""
 
 
 @query(
     "jn_name_resolution",
     sql(
         """
-select request_id, request_name, person_id, person_name, matched from (
+select request_id, request_name, person_id, person_name, matched from asked left join (
   select *, a = b or contains(b, a) or contains(a, b) as matched, row_number() over (partition by request_id
-    order by (a = b or contains(b, a) or contains(a, b)) desc, pos) as i from pairs) where i = 1""",
+    order by (a = b or contains(b, a) or contains(a, b)) desc, pos) as i from pairs) p
+  using (request_id, request_name) where coalesce(i, 1) = 1""",
         ctes=NAMES_SQL,
     ),
 )

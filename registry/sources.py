@@ -125,7 +125,7 @@ def log_pages(spark, sf):
     body = F.when(gid % 3 == 0, table).when(gid % 3 == 1, F.concat(F.lit("<!-- \n"), table, F.lit("-->")))
     html = F.concat(F.lit("<html><!-- pgl_basic --><table id='other'><tr><td>x</td></tr></table>"), F.coalesce(body, F.lit("")))
     pages = logs.select(gid.alias("page_id"), html.alias("html"), "player_id", "player_name", "position", "season")
-    return stored(pages.repartition(16, "page_id"), "pages")
+    return stored(pages.hint("rebalance"), "pages")
 
 
 @query(

@@ -25,6 +25,20 @@ def hot(spark):
     return rows.persist()
 
 
+@pytest.fixture(scope="module")
+def untimed(hot):
+    """A fortieth of the rows has no time, and most of the others fall into one day."""
+    time = F.when(F.col("game_id") % 40 == 3, None).when(
+        F.col("game_id") % 10 != 1, F.lit("2024-01-09 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("game_id") % 5000)
+    )
+    return hot.withColumn("game_date", time.otherwise(F.col("game_date"))).persist()
+
+
+@pytest.fixture(scope="module")
+def text_order(hot):
+    return hot.withColumn("label", F.concat(F.lit("g"), F.lpad(F.col("game_id").cast("string"), 7, "0")))
+
+
 def same(a, b, *, places=9):
     kinds = dict(a.dtypes)
     assert a.columns == b.columns
@@ -81,6 +95,36 @@ def test_slicing_changes_nothing(hot, name):
     same(run(hot, SMALL), run(hot, WHOLE))
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_slicing_changes_nothing_without_times_or_in_a_burst(untimed, name):
+    run = OPERATORS[name]
+    same(run(untimed, SMALL), run(untimed, WHOLE), places=6)
+
+
+def test_rows_without_a_time_come_last(untimed):
+    out = W.cumulative_index(untimed, rows_per_slice=SMALL, **SERIES).where("player_id = 0")
+    timed = out.where("game_date is not null").agg(F.max("games_played_season")).first()[0]
+    assert out.where("game_date is null").agg(F.min("games_played_season")).first()[0] == timed + 1
+
+
+def test_no_trailing_count_is_negative_or_lost(untimed):
+    out = W.trailing_days_count(untimed, rows_per_slice=SMALL, **SERIES)
+    assert out.count() == untimed.count()
+    assert out.where("games_in_last_7_days < 0 or (game_date is null and games_in_last_7_days <> 0)").isEmpty()
+
+
+def test_a_tiebreak_that_repeats_over_times(hot):
+    """Only (time, tiebreak) need be total."""
+    rows = hot.withColumn("game_id", F.col("game_id") % 7).withColumn("game_date", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.monotonically_increasing_id() * 60))
+    rows = rows.persist()
+    same(OPERATORS["trailing"](rows, SMALL), OPERATORS["trailing"](rows, WHOLE))
+
+
+def test_a_text_order(text_order):
+    run = lambda n: W.cumulative_index(text_order, entity="player_id", event_time="label", tiebreak="game_id", rows_per_slice=n)
+    same(run(SMALL), run(WHOLE))
+
+
 def test_median_is_exact(hot):
     got = A.group_medians(hot, group=["season"], value="pts", rows_per_slice=SMALL)
     same(got.orderBy("season"), hot.groupBy("season").agg(F.median("pts").alias("median")).orderBy("season"))
