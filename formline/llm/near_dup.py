@@ -91,10 +91,11 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
 
 def _postings(rows: DataFrame, percent: int, k: int) -> DataFrame:
-    """``value, doc_id, n``: of each sketch as many of its rarest values as linked documents need to share one.
+    """``value, doc_id, n, own``: of each sketch as many of its rarest values as linked documents need to share one.
 
     Values of one document alone come first in that order and are never posted.  While whole sets fit a sketch the
-    number is exact; beyond, linked sketches share ``SHARED`` of ``k`` values but for a chance below 1e-11.
+    number is exact; beyond, linked sketches share ``SHARED`` of ``k`` values but for a chance below 1e-11.  ``own`` is
+    the share of a sketch's values that no other document holds.
     """
     values = rows.select("doc_id", "n", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
@@ -104,7 +105,19 @@ def _postings(rows: DataFrame, percent: int, k: int) -> DataFrame:
     need = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(SHARED))
     keep = size - need + 1 - (size - F.size("common"))
     kept = F.slice("common", F.lit(1), F.greatest(keep, F.lit(0)).cast("int"))
-    return listed.select("doc_id", "n", F.explode(kept).alias("c")).select("doc_id", "n", F.col("c.value").alias("value"))
+    own = 1 - F.size("common") / size
+    return listed.select("doc_id", "n", own.alias("own"), F.explode(kept).alias("c")).select(
+        "doc_id", "n", "own", F.col("c.value").alias("value")
+    )
+
+
+def _unshared(lists: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, u``: of the documents in some lists, the shingles that no other of them holds."""
+    asked = lists.select("doc_id").distinct()
+    full = texts(docs).join(asked, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles array<bigint>")
+    held = full.select("doc_id", F.explode("shingles").alias("shingle"))
+    once = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id")).filter("times = 1")
+    return once.groupBy("doc_id").agg(F.count("*").alias("u"))
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -134,9 +147,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     Documents of equal sets are one class from the start; the rest works on one document of each class.  A list of
-    documents that share a posted value is worked off in rounds: a bounded number of pivots is compared with all of
-    it, links join components, and only documents outside the list's largest component are asked again.  So a group
-    of near copies takes as many comparisons as it has members, and no link between components is lost.
+    documents that share a posted value is worked off in rounds.  First all of it is compared with the document that
+    has the fewest values of its own.  Then only documents outside the list's largest component are asked, a bounded
+    number of them in a round, each against the list, and only where the shingles that they share with any document of
+    the open lists could suffice for a link.  So a group of near copies takes about as many comparisons as it has
+    members, and no link between components is lost.
 
     A null or text without words has no shingles and is linked with nothing; rows without an id are linked with
     nothing and kept; rows that repeat an id count as one document; an empty table gives no rows.
@@ -145,33 +160,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     classes = stored(sketch.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     rows = sketch.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     posts = stored(_postings(rows, percent, k), "postings")
-    done = None  # pivots already compared with their whole list
-    edges = None
-    labels = posts.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("label")).limit(0)
-    first = True
+    reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    pivots = posts.groupBy("value").agg(F.min_by("doc_id", F.struct("own", "n", "doc_id")).alias("doc_id"))
+    members = posts.withColumn("label", F.col("doc_id")).withColumn("u", F.lit(0))
+    done = edges = unshared = None
     while True:
-        members = posts.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        members = members.withColumn("label", F.coalesce("label", "doc_id"))
-        if first:
-            pivots = posts.groupBy("value").agg(F.min_by("doc_id", F.struct("n", "doc_id")).alias("doc_id"))
-        else:
-            sizes = members.groupBy("value", "label").agg(F.count("*").alias("size"))
-            largest = sizes.groupBy("value").agg(F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("m"))
-            open_ = members.join(largest.filter("m > 1"), "value").filter("label <> largest").select("value", "doc_id")
-            open_ = open_.join(done, ["value", "doc_id"], "left_anti")
-            turn = Window.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id")
-            pivots = open_.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= PIVOTS).drop("turn")
         pivots = stored(pivots, "pivots")
-        if pivots.isEmpty():
+        if done is not None and pivots.isEmpty():
             break
-        asked = members.join(pivots, ["value", "doc_id"]).select("value", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl"))
-        pairs = members.join(asked, "value").filter("label <> pl").filter(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
+        asked = members.join(pivots, ["value", "doc_id"]).select(
+            "value", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("u").alias("pu"), F.col("label").alias("pl")
+        )
+        most = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
+        pairs = members.join(asked, "value").filter((F.col("label") != F.col("pl")) & (100 * most >= percent * (F.col("n") + F.col("pn") - most)))
         pairs = pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-        found = stored(_linked(pairs, sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), docs, width, percent, k), "links")
+        found = stored(_linked(pairs, reps, docs, width, percent, k), "links")
         edges = found if edges is None else edges.union(found)
         labels = stored(components(edges), "labels")
         done = pivots if done is None else done.union(pivots)
-        first = False
+        members = posts.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        members = members.withColumn("label", F.coalesce("label", "doc_id"))
+        sizes = members.groupBy("value", "label").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+        lists = sizes.groupBy("value").agg(
+            F.max_by("label", F.struct("size", "label")).alias("largest"), F.count("*").alias("m"), F.min("least").alias("least")
+        )
+        members = stored(members.join(lists.filter("m > 1"), "value"), "open")
+        if unshared is None:
+            unshared = stored(_unshared(members, docs, width), "unshared")
+        members = members.join(unshared, "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        # A link needs n - u shared shingles at most, with a document of the list's least size at least.
+        shared = F.col("n") - F.col("u")
+        able = 100 * shared >= percent * F.greatest(F.col("n"), F.col("least") + F.col("u"))
+        members = members.filter(able)
+        open_ = members.filter("label <> largest").join(done, ["value", "doc_id"], "left_anti")
+        turn = Window.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id")
+        pivots = open_.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= PIVOTS).select("value", "doc_id")
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("label", "rep").alias("component_id")
     )
