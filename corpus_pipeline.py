@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts blocks of lines that an earlier document holds; a document of which nothing is left keeps its row."""
-    return _like(docs, line_dedup.dedup_lines(docs))
+    return _like(docs, line_dedup.dedup_lines(docs, places=None))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

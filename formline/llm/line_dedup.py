@@ -133,21 +133,22 @@ def repeated_places(docs: DataFrame, line_words: int = LINE_WORDS, block_words:
     return found.select("doc_id", F.explode("places").alias("place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
-def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS, places: str | None = "removed_places"
+) -> DataFrame:
     """The documents, all columns kept, without the lines of blocks that an earlier document (smaller id) holds.
 
     Every document is judged on the input.  A document of which nothing is left keeps its row with an empty text.  Null
     and empty texts and rows without an id stay as they are; rows that repeat an id lose the same places; lines
-    compare without surrounding spaces.  Adds ``removed_places``, empty where nothing went.
+    compare without surrounding spaces; an empty table gives no rows.  ``places`` names an added column of the lines
+    removed, empty where nothing went; None adds none.
     """
-    removed = repeated_places(docs, line_words, block_words).select(F.col("doc_id").alias("_id"), F.col("places").alias("removed_places"))
-    out = docs.join(removed, docs["doc_id"] == removed["_id"], "left").drop("_id")
-    left = F.transform(
-        F.filter(
-            F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i"))),
-            lambda x: ~F.array_contains("removed_places", x["i"]),
-        ),
-        lambda x: x["line"],
-    )
-    out = out.withColumn("text", F.when(F.col("removed_places").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    return out.withColumn("removed_places", F.sort_array(F.coalesce("removed_places", F.array().cast("array<int>"))))
+    removed = repeated_places(docs, line_words, block_words).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
+    out = docs.join(removed, docs["doc_id"] == removed["__id"], "left")
+    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    left = F.transform(F.filter(numbered, lambda x: ~F.array_contains("__places", x["i"])), lambda x: x["line"])
+    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != places]
+    if places:
+        columns.append(F.sort_array(F.coalesce("__places", F.array().cast("array<int>"))).alias(places))
+    return out.select(*columns)
