@@ -106,6 +106,7 @@ def request_overrides(rows: DataFrame, requests: DataFrame, *, entity: str) -> D
     """Replace the context columns of each entity's row by those of its requests.
 
     ``requests`` has the fields of a prediction request; several per entity are fine.
+    A request for an unknown entity keeps its row, with nulls in the entity's columns.
     """
     asked = requests.select(
         F.col(entity),
@@ -118,7 +119,7 @@ def request_overrides(rows: DataFrame, requests: DataFrame, *, entity: str) -> D
         lookup(text_key("position"), POSITION_CODES, F.lit(3)).alias("position_enc"),
     )
     kept = rows.drop(*[c for c in asked.columns if c != entity])
-    return asked.join(kept, entity, "inner")
+    return asked.join(kept, entity, "left")
 
 
 def not_repeated_header(df: DataFrame, first: str, header: str = "Rk") -> DataFrame:

@@ -39,6 +39,7 @@ from ..operators.rows import request_overrides
 from ..operators.series import over_series
 from ..operators.windows import last_n, latest_row, rolling_names, running_means, running_sums, trend_ratios
 
+# Measures and trends of a fresh log.
 LIVE_MEASURES = ("pts", "reb", "ast", "stl", "blk", "minutes", "fg_pct", "fg3_pct", "ft_pct", "tov")
 LIVE_TRENDS = ("pts", "reb", "ast")
 SIZES = (3, 5, 10)
@@ -169,12 +170,24 @@ DIRECTIONS = ("over", "under")
 
 
 def check_probability_request(stat: str, direction: str) -> None:
+    """For a single request: raise where a table of requests would get a ``status``."""
     if stat not in TARGETS:
         raise ValueError(f"stat must be one of: {', '.join(TARGETS)}")
     if direction not in DIRECTIONS:
         raise ValueError("direction must be 'over' or 'under'")
 
 
+def request_status(stats: Sequence[str], known: Column, n: Column) -> Column:
+    """Why a probability request has no answer, or ``ok``."""
+    return (
+        F.when(~F.coalesce(F.col("stat").isin(*stats), F.lit(False)), "bad stat")
+        .when(~F.coalesce(F.col("direction").isin(*DIRECTIONS), F.lit(False)), "bad direction")
+        .when(~F.coalesce(known, F.lit(False)), "unknown entity")
+        .when(F.coalesce(n, F.lit(0)) < 3, "too few rows")
+        .otherwise("ok")
+    )
+
+
 def probabilities(
     requests: DataFrame,
     logs: DataFrame,
@@ -188,39 +201,39 @@ def probabilities(
     """Over/under probability for a table of (entity, stat, threshold, direction).
 
     Each entity contributes one row with its last ``window`` values per stat, so a
-    request meets exactly one row.  Requests for an unknown stat or direction, and
-    those with fewer than three values, give no row.
+    request meets at most one row.  A request may have a ``window`` of its own, up to
+    that many rows.  Every request gives a row; ``status`` tells why one has no answer.
     """
     stats = [s for s in stats if s in logs.columns]
     recent = last_n(
-        logs.where(F.col(entity).isNotNull()), entity=entity, event_time=event_time, tiebreak=tiebreak, n=window
+        logs.where(F.col(entity).isNotNull()), entity=entity, event_time=event_time, tiebreak=tiebreak, n=window, index="_newest"
     )
     # At most ``window`` values are collected per entity.
-    summaries = [
-        F.struct(
-            F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.count(s).alias("n"),
-            F.collect_list(F.col(s).cast("double")).alias("values"),
+    lists = [
+        F.transform(
+            F.sort_array(F.collect_list(F.struct(F.col("_newest").alias("i"), F.col(s).cast("double").alias("v")))), lambda x: x["v"]
         ).alias(s)
         for s in stats
-    ]
-    known = recent.groupBy(entity).agg(*summaries)
+    ]
+    known = recent.groupBy(entity).agg(*lists).withColumn("_known", F.lit(True))
     by_stat = F.create_map(*[x for s in stats for x in (F.lit(s), F.col(s))])
-    joined = requests.where(F.col("stat").isin(stats) & F.col("direction").isin(*DIRECTIONS)).join(known, entity)
-    rows = joined.withColumn("_s", F.element_at(by_stat, F.col("stat"))).where(F.col("_s.n") >= 3)
-    over = F.size(F.filter("_s.values", lambda v: v > F.col("threshold")))
-    under = F.size(F.filter("_s.values", lambda v: v < F.col("threshold")))
-    hits = F.when(F.col("direction") == "over", over).otherwise(under)
-    rows = rows.withColumns(
-        {
-            "hit_rate": hits / F.col("_s.n"),
-            "normal_prob": normal_probability("_s.mean", "_s.std", "threshold", "direction"),
-            "sample_size": F.col("_s.n"),
-            "stat_mean": F.col("_s.mean"),
-            "stat_std": F.col("_s.std"),
-        }
-    )
-    rows = rows.withColumn("probability", probability_blend("hit_rate", "normal_prob", "sample_size"))
-    found = ("probability", "hit_rate", "normal_prob", "sample_size", "stat_mean", "stat_std")
+    rows = requests.join(known, entity, "left")
+    asked = F.coalesce(F.col("window"), F.lit(window)).cast("int") if "window" in requests.columns else F.lit(window)
+    values = F.filter(F.slice(F.element_at(by_stat, F.col("stat")), F.lit(1), F.greatest(asked, F.lit(0))), lambda v: v.isNotNull())
+    rows = rows.withColumn("_values", values).withColumn("status", request_status(stats, F.col("_known"), F.size("_values")))
+    n = F.when(F.col("status") == "ok", F.size("_values").cast("bigint"))
+    total = F.aggregate("_values", F.lit(0.0), lambda got, v: got + v)
+    rows = rows.withColumn("sample_size", n).withColumn("stat_mean", total / F.col("sample_size"))
+    spread = F.aggregate("_values", F.lit(0.0), lambda got, v: got + (v - F.col("stat_mean")) * (v - F.col("stat_mean")))
+    rows = rows.withColumn("stat_std", F.sqrt(spread / (F.col("sample_size") - 1)))
+    over = F.size(F.filter("_values", lambda v: v > F.col("threshold")))
+    under = F.size(F.filter("_values", lambda v: v < F.col("threshold")))
+    rows = rows.withColumn("hit_rate", F.when(F.col("direction") == "over", over).otherwise(under) / F.col("sample_size"))
+    rows = rows.withColumn("normal_prob", normal_probability("stat_mean", "stat_std", "threshold", "direction"))
+    blended = probability_blend("hit_rate", "normal_prob", "sample_size")
+    rows = rows.withColumn("probability", F.when(F.col("status") == "ok", blended))
+    rows = rows.withColumn("normal_prob", F.when(F.col("status") == "ok", F.col("normal_prob")))
+    found = ("probability", "hit_rate", "normal_prob", "sample_size", "stat_mean", "stat_std", "status")
     return rows.select(*requests.columns, *found)
 
 

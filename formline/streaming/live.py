@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -18,27 +17,35 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, files_per_trigger: int = 1, **options):
-    """A stream over Parquet files.  The files per trigger bound what one batch can hold."""
+    """A stream over Parquet files.  The files per trigger bound what one batch can hold; no result depends on them
+    but which rows count as late."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return reader.options(**options).parquet(path)
 
 
 def run_live_refresh(
-    stream: DataFrame, *, table: str, checkpoint: str, entity: str, event_time: str, tiebreak: str
+    stream: DataFrame, *, log: str, table: str, checkpoint: str, entity: str, event_time: str, tiebreak: str
 ) -> None:
-    """Let the newest log of each entity replace its live row; runs until the input is used up.
+    """Let the whole log of each entity that a batch touches give its live row; runs until the input is used up.
 
-    Each batch brings whole fresh logs for the entities it touches.  Its rows go to a folder
-    of their own named by the batch, so a batch that is run again replaces its own output
-    and nothing else.
+    Each batch is added to the stored log, in a folder of its own named by the batch; the entities it touches are
+    computed from all of the log, whichever batch or file their rows came in, and go to a folder of the same name.
+    A batch that is run again replaces its own output and nothing else.  Rows that repeat (entity, time, tiebreak)
+    count once.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         # A final batch without rows only moves the watermark: it must not write.
         if batch.isEmpty():
             return
-        rows = live_rows(batch, entity=entity, event_time=event_time, tiebreak=tiebreak)
-        rows.write.mode("overwrite").parquet(os.path.join(table, f"batch={batch_id}"))
+        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        stored = spark.read.parquet(log).where(F.col("batch") <= batch_id)
+        touched = stored.where(F.col("batch") == batch_id).select(entity).distinct()
+        rows = stored.join(touched, entity, "left_semi")
+        newest = first_by_key(rows, [entity, event_time, tiebreak], [F.col("batch").desc()]).drop("batch")
+        live = live_rows(newest, entity=entity, event_time=event_time, tiebreak=tiebreak)
+        live.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(refresh)

@@ -10,6 +10,7 @@ from formline.operators import joins as J
 from formline.operators import ranking as K
 from formline.operators import rows as R
 from formline.operators import splits as S
+from formline.sources.tables import union_tables
 
 from . import EVENTS, query, sql
 
@@ -218,8 +219,11 @@ def alert_status(spark, sf):
     ),
 )
 def target_present(spark, sf):
-    counts = B.game_logs(spark, sf).agg(*[F.count(t).alias(t) for t in ("minutes", "pts")])
-    return counts.unpivot([], ["minutes", "pts"], "target", "n_rows")
+    logs = B.game_logs(spark, sf)
+    counts = [
+        R.with_targets(logs, [t]).agg(F.lit(t).alias("target"), F.count("*").alias("n_rows")) for t in ("minutes", "pts")
+    ]
+    return union_tables(counts)
 
 
 @query(
@@ -319,7 +323,7 @@ def union_by_name(spark, sf):
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")
     )
     right = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("nation"))
-    return left.unionByName(right, allowMissingColumns=True)
+    return union_tables([left, right])
 
 
 @query(

@@ -27,19 +27,20 @@ SHOWN = ("pts", "minutes")
         )
         + ", avg(pts) over (partition by player_id order by game_date, game_id rows between unbounded preceding and 1 "
         "preceding) as season_avg_pts, row_number() over (partition by player_id order by game_date desc, game_id desc) "
-        "as i from game_logs where player_id % 2 = 0 or game_id % 2 = 0 window w as (partition by player_id order by "
+        "as i from game_logs window w as (partition by player_id order by "
         "game_date, game_id)) where i = 1",
         "game_logs",
     ),
 )
 def live_refresh(spark, sf):
-    """First half the events of everybody, then the full logs of half the players."""
-    source, table = new_path(spark, "fresh"), new_path(spark, "live")
+    """Half the events of everybody, the logs of half the players in many files, then the rest."""
+    source, log, table = new_path(spark, "fresh"), new_path(spark, "log"), new_path(spark, "live")
     logs = B.game_logs(spark, sf)
-    for part in (logs.where("game_id % 2 = 0"), logs.where("player_id % 2 = 0")):
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = L.file_stream(spark, source, logs.schema)
-    L.run_live_refresh(stream, table=table, checkpoint=new_path(spark, "check"), **EVENTS)
+    odd = (F.col("game_id") % 2 == 1) & (F.col("player_id") % 2 == 1)
+    for part in (logs.where("game_id % 2 = 0"), logs.where("player_id % 2 = 0"), logs.where(odd)):
+        part.repartition(3, "game_id").write.mode("append").parquet(source)
+    stream = L.file_stream(spark, source, logs.schema, files_per_trigger=2)
+    L.run_live_refresh(stream, log=log, table=table, checkpoint=new_path(spark, "check"), **EVENTS)
     rows = L.live_table(spark, table, entity="player_id")
     names = [f"rolling_last{n}_{m}" for m in SHOWN for n in (3, 10)]
     return rounded(rows, "player_id", "game_id", "games_played_season", *names, "season_avg_pts", digits=9)
@@ -63,11 +64,11 @@ def rolling_state(spark, sf):
     """Three batches in time order, the last of which repeats a day of the second."""
     source, path = new_path(spark, "arrivals"), new_path(spark, "rolled")
     logs = B.game_logs(spark, sf).select("player_id", "game_date", "game_id", *SHOWN)
-    cuts = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
-    for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        start = "2024-01-20" if i == 2 else low
-        part = logs.where((F.col("game_date") >= start) & (F.col("game_date") < high))
-        part.coalesce(1).write.mode("append").parquet(source)
+    at = F.col("game_date").cast("timestamp").cast("double")
+    low, high = logs.agg(F.percentile_approx(at, [1 / 3, 2 / 3])).first()[0]
+    parts = (at < low, (at >= low) & (at < high), at >= high - 86_400)
+    for part in parts:
+        logs.where(part).coalesce(1).write.mode("append").parquet(source)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", L.ROCKSDB)
     try:

@@ -44,6 +44,17 @@ def test_live_refresh_replaces_entities(spark, tmp_path):
     write(spark, source, [(1, 0, 0, 2.0), (1, 1, 1, 4.0), (2, 0, 5, 7.0), (2, 1, 6, 9.0)])
     schema = write(spark, source, [(1, 0, 0, 2.0), (1, 1, 1, 4.0), (1, 2, 2, 6.0)])
     stream = L.file_stream(spark, source, schema).withColumnRenamed("v", "pts")
-    L.run_live_refresh(stream, table=table, checkpoint=str(tmp_path / "check"), **SERIES)
+    L.run_live_refresh(stream, log=str(tmp_path / "log"), table=table, checkpoint=str(tmp_path / "check"), **SERIES)
     rows = {r["e"]: (r["k"], r["rolling_last3_pts"]) for r in L.live_table(spark, table, entity="e").collect()}
     assert rows == {1: (2, 3.0), 2: (6, 7.0)}
+
+
+def test_live_refresh_over_a_log_in_many_files(spark, tmp_path):
+    """Thirteen events of one entity over three files and two batches count together."""
+    source, table = str(tmp_path / "in"), str(tmp_path / "live")
+    for part in (range(0, 13, 3), range(1, 13, 3), range(2, 13, 3)):
+        schema = write(spark, source, [(1, d, d, float(d)) for d in part])
+    stream = L.file_stream(spark, source, schema, files_per_trigger=2).withColumnRenamed("v", "pts")
+    L.run_live_refresh(stream, log=str(tmp_path / "log"), table=table, checkpoint=str(tmp_path / "check"), **SERIES)
+    row = L.live_table(spark, table, entity="e").first()
+    assert (row["k"], row["games_played_season"], row["rolling_last10_pts"]) == (12, 12, 6.5)
