@@ -116,12 +116,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     in_block = Window.partitionBy("block").orderBy("doc_id", "text")
     block = F.shiftright("doc_id", BLOCK_BITS)
     own = rows.select("doc_id", "text", block.alias("block"))
-    own = own.withColumn("own", hashes(F.col("text"), lex))
-    own = own.withColumn("next", F.lead(F.struct("text", F.col("own").alias("marks"))).over(in_block))
-    own = own.join(head_text, "block", "left")
+    # Only the text travels: its marks are made behind the exchange that both windows share.
+    own = own.withColumn("following", F.lead("text").over(in_block)).withColumn("own", hashes(F.col("text"), lex))
+    own = own.withColumn("next_marks", F.lead("own").over(in_block)).join(head_text, "block", "left")
     own = own.select(
-        "doc_id", "text", "own", F.col("next.marks").alias("next_marks"),
-        F.coalesce("next.text", "head_text", F.lit("")).alias("next_text"), F.length("text").cast("bigint").alias("n_chars"),
+        "doc_id", "text", "own", "next_marks",
+        F.coalesce("following", "head_text", F.lit("")).alias("next_text"), F.length("text").cast("bigint").alias("n_chars"),
     )
     half = F.expr("cast(n_chars div 2 as int)")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))"), F.substring("next_text", F.lit(1), half))
