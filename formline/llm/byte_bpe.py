@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-Documents become blocks: the texts as indexes of their distinct chunks, the chunks as indexes of the block's distinct
-words.  The ranked merges are folded once per distinct word of a block, over its bytes, by a literal rank table;
-decoding concatenates the binary pieces of the ids.  A block stays in its task, so nothing is shuffled.
+Documents become blocks of numbers: the texts as numbers of their chunks, and each chunk that is new to the task as
+numbers of its words.  The ranked merges are folded over the bytes of each word that is new to the task, by a literal
+rank table; decoding concatenates the binary pieces of the ids.  Blocks stay in their task and in order, so nothing is
+shuffled and a word is encoded once per task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import let, texts
 
-BLOCK_CHARS = 48_000_000  # text in a block
+BLOCK_CHARS = 2_000_000  # text in a block
+NUMBERED = 400_000  # chunks a task numbers before it starts anew
 LONG_WORD = 1_000  # bytes from which a word is merged with a heap instead of the fold
 NO_PAIR = 1 << 40
 # A space before white space or the end: such texts are one chunk.
@@ -69,13 +71,22 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-class _Index(dict):
-    """Numbers keys in the order they are first asked for."""
+class _Numbers(dict):
+    """Numbers keys in the order they are first asked for, and keeps the new ones until they are taken."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
 
     def __missing__(self, key):
+        self.new.append(key)
         i = self[key] = len(self)
         return i
 
+    def taken(self) -> list:
+        new, self.new = self.new, []
+        return new
+
 
 BLOCK = pa.schema(
     [
@@ -83,11 +94,12 @@ BLOCK = pa.schema(
         ("docs", pa.list_(pa.binary())),
         ("chunks", pa.list_(pa.list_(pa.int32()))),
         ("words", pa.list_(pa.list_(pa.int16()))),
+        ("anew", pa.bool_()),
         ("long", pa.list_(pa.struct([("word", pa.int32()), ("ids", pa.list_(pa.int64())), ("decoded", pa.binary())]))),
     ]
 )
 BLOCK_DDL = (
-    "doc_ids array<bigint>, docs array<binary>, chunks array<array<int>>, words array<array<smallint>>, "
+    "doc_ids array<bigint>, docs array<binary>, chunks array<array<int>>, words array<array<smallint>>, anew boolean, "
     "long array<struct<word:int,ids:array<bigint>,decoded:binary>>"
 )
 
@@ -98,54 +110,64 @@ def _lists(values: list[np.ndarray] | list[list[int]], kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype())))
 
 
-def _block(doc_ids: list, texts_: list[str], pattern: regex.Pattern, ranks_path: str) -> pa.RecordBatch:
-    chunks, words = _Index(), _Index()
-    docs = []
-    for text in texts_:
-        if not text:
-            parts = []
-        elif "\0" in text or UNEVEN.search(text):
-            parts = [text]
-        else:
-            parts = text.replace(" ", "\0 ").split("\0")
-            parts = parts if parts[0] else parts[1:]
-        docs.append(np.fromiter(map(chunks.__getitem__, parts), "<i4", len(parts)).tobytes())
-    by_chunk = [[words[w] for w in pattern.findall(c)] for c in chunks]
-    as_bytes = [w.encode() for w in words]
-    long = []
-    for i, w in enumerate(as_bytes):
-        if len(w) > LONG_WORD:
-            ids = merge_long(w, ranks_of(ranks_path))
-            long.append({"word": i, "ids": ids, "decoded": w})
-            as_bytes[i] = b""
-    lengths = np.cumsum([0, *map(len, as_bytes)], dtype=np.int32)
-    flat = pa.array(np.frombuffer(b"".join(as_bytes), "u1").astype(np.int16))
-    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-    return pa.RecordBatch.from_arrays(
-        [
-            one(pa.array(doc_ids, pa.int64())),
-            one(pa.array(docs, pa.binary())),
-            one(_lists(by_chunk, pa.int32())),
-            one(pa.ListArray.from_arrays(pa.array(lengths), flat)),
-            pa.array([long], BLOCK.field("long").type),
-        ],
-        schema=BLOCK,
-    )
+class _Numbering:
+    """What a task has numbered so far."""
+
+    def __init__(self, pattern: regex.Pattern, ranks_path: str):
+        self.pattern, self.ranks_path = pattern, ranks_path
+        self.chunks, self.words = _Numbers(), _Numbers()
+
+    def block(self, doc_ids: list, held: list[str]) -> pa.RecordBatch:
+        anew = len(self.chunks) > NUMBERED
+        if anew:
+            self.chunks, self.words = _Numbers(), _Numbers()
+        docs = []
+        for text in held:
+            if not text:
+                parts = []
+            elif "\0" in text or UNEVEN.search(text):
+                parts = [text]
+            else:
+                parts = text.replace(" ", "\0 ").split("\0")
+                parts = parts if parts[0] else parts[1:]
+            docs.append(np.fromiter(map(self.chunks.__getitem__, parts), "<i4", len(parts)).tobytes())
+        by_chunk = [[self.words[w] for w in self.pattern.findall(c)] for c in self.chunks.taken()]
+        as_bytes = [w.encode() for w in self.words.taken()]
+        long = []
+        for i, w in enumerate(as_bytes):
+            if len(w) > LONG_WORD:
+                long.append({"word": i, "ids": merge_long(w, ranks_of(self.ranks_path)), "decoded": w})
+                as_bytes[i] = b""
+        lengths = np.cumsum([0, *map(len, as_bytes)], dtype=np.int32)
+        flat = pa.array(np.frombuffer(b"".join(as_bytes), "u1").astype(np.int16))
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return pa.RecordBatch.from_arrays(
+            [
+                one(pa.array(doc_ids, pa.int64())),
+                one(pa.array(docs, pa.binary())),
+                one(_lists(by_chunk, pa.int32())),
+                one(pa.ListArray.from_arrays(pa.array(lengths), flat)),
+                pa.array([anew]),
+                pa.array([long], BLOCK.field("long").type),
+            ],
+            schema=BLOCK,
+        )
 
 
 def _blocks(pattern: str, ranks_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, n = [], [], 0
+        numbering = _Numbering(pattern_of(pattern), ranks_path)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids.append(doc_id)
                 held.append(text)
                 n += len(text)
                 if n >= BLOCK_CHARS:
-                    yield _block(ids, held, pattern_of(pattern), ranks_path)
+                    yield numbering.block(ids, held)
                     ids, held, n = [], [], 0
         if held:
-            yield _block(ids, held, pattern_of(pattern), ranks_path)
+            yield numbering.block(ids, held)
 
     return run
 
@@ -253,59 +275,53 @@ def merge_parts(token: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encoded_blocks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Blocks of documents with the ids and the decoded bytes of each distinct word."""
+    """Blocks of documents with the ids and the decoded bytes of each word that is new to the task."""
     table = RankTable(ranks_path)
     blocks = texts(docs).mapInArrow(_blocks(pattern, ranks_path), BLOCK_DDL)
     both = lambda ids: F.struct(ids.alias("ids"), table.decode(ids).alias("decoded"))
     words = F.transform(table.encode(F.col("words")), both)
-    return blocks.select("doc_ids", "docs", "chunks", "long", words.alias("words"))
+    return blocks.select("doc_ids", "docs", "chunks", "anew", "long", words.alias("words"))
 
 
-def _words(row: dict) -> tuple[list[np.ndarray], list[bytes]]:
-    ids, decoded = [], []
-    for w in row["words"]:
-        ids.append(w["ids"])
-        decoded.append(w["decoded"])
-    for w in row["long"]:
-        ids[w["word"]], decoded[w["word"]] = w["ids"], w["decoded"]
-    return ids, decoded
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Per block: document ids, chunk indexes of each document, words of each chunk, and the words' ids and bytes."""
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], list[bytes], list[bytes]]]:
+    """Per block: document ids, the chunk numbers of each document, and all the task's chunks so far as ids
+    (little-endian 32 bit) and as decoded bytes."""
+    words: list[tuple[bytes, bytes]] = []
+    ids: list[bytes] = []
+    decoded: list[bytes] = []
     for batch in batches:
-        for row in batch.to_pylist():
-            ids, decoded = _words(row)
-            docs = [np.frombuffer(d, "<i4") for d in row["docs"]]
-            yield row["doc_ids"], docs, row["chunks"], ids, decoded
+        for at in range(len(batch)):
+            cell = lambda name, at=at: batch.column(name)[at]  # noqa: B023, E731
+            if cell("anew").as_py():
+                words, ids, decoded = [], [], []
+            told = cell("words").values
+            flat, ends = told.field("ids").flatten().to_numpy().astype("<i4").tobytes(), told.field("ids").offsets.to_numpy()
+            ends = (ends - ends[0]) * 4
+            new = [(flat[a:b], d) for a, b, d in zip(ends[:-1], ends[1:], told.field("decoded").to_pylist(), strict=True)]
+            for w in cell("long").as_py():
+                new[w["word"]] = (np.array(w["ids"], "<i4").tobytes(), w["decoded"])
+            words += new
+            for c in cell("chunks").as_py():
+                ids.append(b"".join([words[w][0] for w in c]))
+                decoded.append(b"".join([words[w][1] for w in c]))
+            yield cell("doc_ids").as_py(), [np.frombuffer(d, "<i4") for d in cell("docs").as_py()], ids, decoded
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for doc_ids, docs, chunks, ids, _ in _rows(batches):
-        by_chunk = [np.array([i for w in c for i in ids[w]], np.int32) for c in chunks]
-        for at in range(0, len(docs), 1000):
-            out = [np.concatenate([by_chunk[c] for c in d]) if len(d) else np.array([], np.int32) for d in docs[at : at + 1000]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids[at : at + 1000], pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"]
-            )
+    for doc_ids, docs, ids, _ in _told(batches):
+        out = [np.frombuffer(b"".join([ids[c] for c in d.tolist()]), "<i4") for d in docs]
+        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for doc_ids, docs, chunks, ids, decoded in _rows(batches):
-        counts = np.array([sum(len(ids[w]) for w in c) for c in chunks], np.int64)
-        shown = [" ".join(map(str, w)).encode() for w in ids]
-        shown = [b" ".join([shown[w] for w in c]) for c in chunks]
-        whole = [b"".join([decoded[w] for w in c]) for c in chunks]
+    for doc_ids, docs, ids, decoded in _told(batches):
         out: list[tuple] = []
         for d in docs:
             at = d.tolist()
-            out.append(
-                (
-                    int(counts[d].sum()) if len(d) else 0,
-                    hashlib.sha256(b" ".join([shown[c] for c in at])).hexdigest(),
-                    hashlib.sha256(b"".join([whole[c] for c in at])).hexdigest(),
-                )
-            )
+            numbers = np.frombuffer(b"".join([ids[c] for c in at]), "<i4").tolist()
+            text = b"".join([decoded[c] for c in at])
+            shown = " ".join(map(str, numbers)).encode()
+            out.append((len(numbers), hashlib.sha256(shown).hexdigest(), hashlib.sha256(text).hexdigest()))
         n, first, second = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],

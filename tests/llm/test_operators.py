@@ -410,3 +410,26 @@ def test_line_dedup_of_odd_rows(make, odd):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "removed_places"] and out.count() == len(odd)
     assert line_dedup.dedup_lines(make([])).count() == 0
+
+
+def test_blocks_number_words_once_and_start_anew(monkeypatch):
+    """Many blocks in one task, with words told in earlier ones, and a numbering that starts anew."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(byte_bpe, "NUMBERED", 25)
+    ranks = byte_bpe.ranks_of(BYTE_RANKS)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{rng.integers(30)}" for _ in range(rng.integers(0, 20))) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    blocks = list(byte_bpe._blocks(public_tokenizers.PATTERN, BYTE_RANKS)([batch]))
+    assert len(blocks) > 5 and sum(b.column("anew")[0].as_py() for b in blocks) > 1
+
+    def encoded(block):
+        words = [[{"ids": byte_bpe.merge_parts(bytes(w), ranks), "decoded": bytes(w)} for w in block.column("words")[0].as_py()]]
+        kind = pa.list_(pa.struct([("ids", pa.list_(pa.int64())), ("decoded", pa.binary())]))
+        return block.set_column(block.schema.get_field_index("words"), "words", pa.array(words, kind))
+
+    out = [r for b in byte_bpe._ids(map(encoded, blocks)) for r in b.to_pylist()]
+    by_rank = {r: t for t, r in ranks.items()}
+    assert [b"".join(by_rank[i] for i in r["ids"]).decode() for r in out] == texts
