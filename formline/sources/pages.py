@@ -77,16 +77,41 @@ def regular_rows(pages: DataFrame, *, page="page_id", html="html", ids: Sequence
     return rows.select(page, "position", F.transform(cells, lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", ""))).alias("cells"))
 
 
+TABLE_TAG = re.compile(r"<(/?)table\b[^>]*>", re.IGNORECASE)
+
+
+def find_table(html: str | None, ids: Sequence[str] = TABLE_IDS) -> str | None:
+    """Markup of the wanted table, tables nested in it included: in the live page first, else inside a comment."""
+    if not html:
+        return None
+    live, comments = re.sub(COMMENT, "", html), "\n".join(re.findall(COMMENT, html))
+    for text in (live, comments):
+        for table_id in ids:
+            begin = re.search(rf"<table[^>]*\bid\s*=\s*[\"']{re.escape(table_id)}[\"'][^>]*>", text)
+            depth = 0
+            for tag in TABLE_TAG.finditer(text, begin.start()) if begin else ():
+                depth += -1 if tag[1] else 1
+                if depth == 0:
+                    return text[begin.start() : tag.end()]
+            if begin:
+                return text[begin.start() :]
+    return None
+
+
 class _TableParser(HTMLParser):
-    """Collects the rows of one table; spanning cells are repeated."""
+    """Collects the rows of one table; cells that span columns or rows are repeated.
+
+    The text of a nested table belongs to the cell that holds it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.head: list[list[str]] = []
         self.body: list[list[str]] = []
-        self._row: list[str] | None = None
+        self._row: list[tuple[str, int, int]] | None = None
         self._cell: list[str] | None = None
-        self._span, self._in_head, self._depth = 1, False, 0
+        self._span, self._down, self._in_head, self._depth = 1, 1, False, 0
+        self._above: dict[int, tuple[int, str]] = {}  # columns that cells of earlier rows still fill
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
@@ -100,8 +125,11 @@ class _TableParser(HTMLParser):
             self._row = []
         elif tag in ("td", "th") and self._row is not None:
             self._end_cell()
-            span = dict(attrs).get("colspan") or "1"
-            self._cell, self._span = [], max(1, int(span)) if span.isdigit() else 1
+            given = dict(attrs)
+            self._cell = []
+            self._span, self._down = (
+                max(1, int(n)) if (n := given.get(name) or "1").isdigit() else 1 for name in ("colspan", "rowspan")
+            )
 
     def handle_endtag(self, tag):
         if self._depth == 1:
@@ -111,7 +139,7 @@ class _TableParser(HTMLParser):
                 self._end_row()
             elif tag == "thead":
                 self._end_row()
-                self._in_head = False
+                self._in_head, self._above = False, {}
         if tag == "table":
             self._depth -= 1
 
@@ -122,15 +150,37 @@ class _TableParser(HTMLParser):
     def _end_cell(self):
         if self._cell is not None:
             text = " ".join("".join(self._cell).split())
-            self._row += [text] * self._span
+            self._row.append((text, self._span, self._down))
             self._cell = None
 
     def _end_row(self):
         self._end_cell()
         if self._row:
-            (self.head if self._in_head else self.body).append(self._row)
+            (self.head if self._in_head else self.body).append(self._placed(self._row))
         self._row = None
 
+    def _placed(self, row: list[tuple[str, int, int]]) -> list[str]:
+        """The texts by column, with those of cells from above in between."""
+        out: list[str] = []
+        below: dict[int, tuple[int, str]] = {}
+
+        def from_above() -> None:
+            while len(out) in self._above:
+                rows, text = self._above[len(out)]
+                if rows > 1:
+                    below[len(out)] = (rows - 1, text)
+                out.append(text)
+
+        for text, span, down in row:
+            from_above()
+            for _ in range(span):
+                if down > 1:
+                    below[len(out)] = (down - 1, text)
+                out.append(text)
+        from_above()
+        self._above = below
+        return out
+
 
 def parse_table(markup: str) -> tuple[list[str], list[list[str | None]]]:
     """Header names and rows of one table; blank cells are missing, short rows are padded."""
@@ -149,22 +199,24 @@ def parse_table(markup: str) -> tuple[list[str], list[list[str | None]]]:
     return header, [[c or None for c in row] + [None] * (width - len(row)) for row in body]
 
 
-def parsed_tables(pages: DataFrame, *, page="page_id", html="html", ids: Sequence[str] = TABLE_IDS) -> DataFrame:
-    """One row per page that has the table: header names and rows of cells."""
-    kind = pages.schema[page].dataType.simpleString()
-    found = pages.select(F.col(page).alias("page"), table_html(html, ids).alias("table")).where(
-        F.col("table").isNotNull()
-    )
+def parsed_tables(
+    pages: DataFrame, *, page="page_id", html="html", ids: Sequence[str] = TABLE_IDS, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One row per page that has the table: header names and rows of cells, and the columns to ``keep``."""
+    kept = [page, *keep]
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tables = [parse_table(t) for t in batch["table"]]
-            yield pd.DataFrame(
-                {"page": batch["page"], "header": [h for h, _ in tables], "cells": [r for _, r in tables]}
-            )
+            found = [find_table(text, ids) for text in batch["_html"]]
+            tables = [parse_table(t) for t in found if t is not None]
+            rows = batch.loc[[t is not None for t in found], kept]
+            columns = {"header": [h for h, _ in tables], "cells": [r for _, r in tables]}
+            # A batch without a table still needs columns of lists.
+            yield rows.assign(**{c: pd.Series(v, rows.index, object) for c, v in columns.items()})
 
-    schema = f"page {kind}, header array<string>, cells array<array<string>>"
-    return found.mapInPandas(parse, schema).withColumnRenamed("page", page)
+    schema = f"{kinds}, header array<string>, cells array<array<string>>"
+    return pages.select(*kept, F.col(html).alias("_html")).mapInPandas(parse, schema)
 
 
 def gamelog_rows(
@@ -181,11 +233,12 @@ def gamelog_rows(
     ``metadata`` columns of the page table are carried to its rows.  Headers the map does
     not know stay in the ``extra`` map.
     """
-    tables = parsed_tables(pages, page=page, html=html, ids=ids)
+    carried = [c for c in metadata if c in pages.columns]
+    tables = parsed_tables(pages, page=page, html=html, ids=ids, keep=carried)
     names = F.transform("header", lambda h: lookup(h, HEADERS, h))
     # A repeated header row starts with the first header text.
     body = F.filter("cells", lambda r: ~r[0].eqNullSafe(F.lit("Rk")))
-    tables = tables.select(page, names.alias("names"), body.alias("body"))
+    tables = tables.select(page, *carried, names.alias("names"), body.alias("body"))
 
     def only_marks(i: Column) -> Column:
         return F.forall("body", lambda r: F.coalesce(F.trim(r[i]), F.lit("")).isin("@", "", "nan"))
@@ -194,7 +247,7 @@ def gamelog_rows(
     marked = F.filter(F.sequence(F.lit(0), F.size("names") - 1), only_marks)
     away_at = F.when(named > 0, named - 1).otherwise(F.try_element_at(marked, F.lit(1)))
     rows = tables.withColumn("away_at", away_at).select(
-        page, "names", "away_at", F.posexplode("body").alias("row_number", "cells")
+        page, *carried, "names", "away_at", F.posexplode("body").alias("row_number", "cells")
     )
     columns = [c for c in dict.fromkeys(HEADERS.values()) if c != "home_away"]
 
@@ -210,12 +263,10 @@ def gamelog_rows(
     )
     mark = F.trim(F.get("cells", F.col("away_at")))
     home = F.when(F.col("away_at").isNull(), F.lit(1)).otherwise(1 - flag(mark == "@"))
-    rows = rows.select(page, "row_number", home.alias("home_game"), *[cell(c).alias(c) for c in columns], pairs.alias("extra"))
+    rows = rows.select(page, *carried, "row_number", home.alias("home_game"), *[cell(c).alias(c) for c in columns if c not in carried], pairs.alias("extra"))
     rows = not_dnp(not_summary(rows, date=date_of("game_date", date_format), rank="rank"), "mp")
     rows = rows.withColumns(
         {c: number(c) for c in NUMERIC}
         | {"minutes": parse_minutes("mp"), "game_date": date_of("game_date", date_format)}
     ).drop("mp")
-    carried = [c for c in metadata if c in pages.columns]
-    out = rows.join(pages.select(page, *carried), page) if carried else rows
-    return keep_existing(out, [page, "row_number", *LEAD_COLUMNS], lead_only=True)
+    return keep_existing(rows, [page, "row_number", *LEAD_COLUMNS], lead_only=True)

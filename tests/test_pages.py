@@ -77,3 +77,22 @@ def test_labels(spark):
     assert label(spark, "season_avg_usage_rate", 0.4, 0.2, first_match=True) is None
     assert label(spark, "position_enc", 0.4, 1.0) is None
     assert len(label_table()) == 23
+
+
+def test_nested_and_row_spanning_cells(spark):
+    """A nested table is part of its cell, and a cell that spans rows counts in each of them."""
+    nested = BODY.replace("<td>33:24</td>", "<td>33:24<table><tr><td></td></tr></table></td>")
+    spanning = (
+        "<tr><th>1</th><td rowspan='2'>2024-01-02</td><td rowspan=2>BRK</td><td>@</td><td>SAS</td><td>33:24</td><td>21</td></tr>"
+        "<tr><th>2</th><td></td><td>DEN</td><td>12</td><td>7</td></tr>"
+    )
+    rows = [(k, f"<html><table id='pgl_basic'><thead>{HEAD}</thead><tbody>{b}</tbody></table></html>") for k, b in enumerate((nested, spanning))]
+    out = gamelog_rows(spark.createDataFrame(rows, "page_id int, html string")).orderBy("page_id", "row_number")
+    got = [(r["page_id"], str(r["game_date"]), r["opponent"], r["minutes"], r["pts"]) for r in out.collect()]
+    assert got[:2] == [(0, "2024-01-02", "SAS", 33.4, 21.0), (0, "2024-01-04", "DEN", 12.0, None)]
+    assert got[2:] == [(1, "2024-01-02", "SAS", 33.4, 21.0), (1, "2024-01-02", "DEN", 12.0, 7.0)]
+
+
+def test_extraction_reads_the_pages_once(spark):
+    plan = gamelog_rows(pages(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInPandas") == 1
