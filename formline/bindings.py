@@ -102,11 +102,11 @@ team_stats as (
 
 
 def side_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Schedule rows with a matchup text from ``events``; every tenth row is left out."""
+    """Schedule rows with a matchup text from ``events``."""
     sides = F.array(*[F.lit(s) for s in ("view", "error", "click", "purchase", "signup")])
     mine = F.element_at(sides, (F.col("user_id") % 5 + 1).cast("int"))
     mark = F.when(F.col("event_id") % 2 == 1, " vs. ").otherwise(" @ ")
-    return table(spark, sf_dir, "events").where(F.col("event_id") % 10 != 0).select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("game_id"),
         F.col("ts").alias("game_date"),
         F.to_date("ts").alias("game_day"),
@@ -123,7 +123,7 @@ side_schedule as (
     ['view','error','click','purchase','signup'][(user_id % 5 + 1)::int] as team_abbrev,
     ['view','error','click','purchase','signup'][(user_id % 5 + 1)::int]
       || (case when event_id % 2 = 1 then ' vs. ' else ' @ ' end) || event_type as matchup
-  from events where event_id % 10 <> 0)"""
+  from events)"""
 
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:

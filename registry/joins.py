@@ -15,16 +15,23 @@ ON = ["team_abbrev", "opponent_abbrev", "game_day"]
 
 DAYS_SQL = """
 days as (select team_abbrev, split_part(split_part(matchup, ' vs. ', 2) || split_part(matchup, ' @ ', 2), ' ', 1)
-    as opponent_abbrev, game_day, game_id, game_id % 4 as rest_days from side_schedule where season <> 3),
+    as opponent_abbrev, case when season = 3 then game_day + 20000 else game_day end as game_day, game_id,
+    game_id % 4 as rest_days from side_schedule),
 slim as (select * exclude (i) from (select *, row_number() over (partition by team_abbrev, opponent_abbrev, game_day
   order by game_id) as i from days) where i = 1)"""
 
 
+def moved_days(rows):
+    """The rows of period 3 moved far ahead."""
+    moved = F.date_add(F.col("game_day"), 20_000)
+    return rows.withColumn("game_day", F.when(F.col("season") == 3, moved).otherwise(F.col("game_day")))
+
+
 def days(spark, sf):
-    """Schedule rows by calendar day; several per key, one period left out."""
+    """Schedule rows by calendar day; several per key, one period moved to days that no log has."""
     from formline.functions.columns import rival_from_matchup
 
-    rows = B.side_schedule(spark, sf).where("season <> 3").withColumn("opponent_abbrev", rival_from_matchup("matchup"))
+    rows = moved_days(B.side_schedule(spark, sf)).withColumn("opponent_abbrev", rival_from_matchup("matchup"))
     return rows.select(*ON, "game_id", (F.col("game_id") % 4).alias("rest_days"))
 
 
@@ -99,11 +106,12 @@ def side_dim(spark, sf):
 
 @query(
     "jn_id_to_code",
-    "select c_custkey, n_name from customer left join (select * from nation where n_nationkey < 20) "
-    "on c_nationkey = n_nationkey",
+    "select c_custkey, n_name from customer left join nation on c_nationkey = case when n_nationkey < 20 then n_nationkey "
+    "else n_nationkey + 100 end",
 )
 def id_to_code(spark, sf):
-    codes = B.table(spark, sf, "nation").where("n_nationkey < 20").withColumnRenamed("n_nationkey", "c_nationkey")
+    key = F.col("n_nationkey")
+    codes = B.table(spark, sf, "nation").select("n_name", F.when(key < 20, key).otherwise(key + 100).alias("c_nationkey"))
     rows = B.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     return J.id_to_code(rows, codes, id_column="c_nationkey", code_column="n_name").drop("c_nationkey")
 
@@ -160,7 +168,8 @@ defense as (select *, floor(rank() over (partition by season, position order by
 DEFENSE_SQL = (
     POINTS_SQL
     + """,
-holes as (select * from defense where not (season = 3 and opponent_abbrev = 'click') union all
+holes as (select * replace (case when season = 3 and opponent_abbrev = 'click' then 'nobody' else opponent_abbrev end as
+    opponent_abbrev) from defense union all
   select * from defense where season = 4 and opponent_abbrev = 'view'),
 singles as (select opponent_abbrev, season, position, any_value(pts_allowed_per_game) as opp_pts_allowed_pos,
   any_value(rank)::double as rank from holes group by 1, 2, 3 having count(*) = 1),
@@ -177,7 +186,8 @@ def defense_with_holes(spark, sf):
         B.team_stats(spark, sf).withColumnRenamed("team_abbrev", "opponent_abbrev"), rival="opponent_abbrev"
     )
     doubled = rows.where("season = 4 and opponent_abbrev = 'view'")
-    return rows.where("not (season = 3 and opponent_abbrev = 'click')").unionByName(doubled)
+    hole = (F.col("season") == 3) & (F.col("opponent_abbrev") == "click")
+    return rows.withColumn("opponent_abbrev", F.when(hole, "nobody").otherwise(F.col("opponent_abbrev"))).unionByName(doubled)
 
 
 def looked_up(spark, sf):
@@ -303,8 +313,8 @@ def next_event(spark, sf):
 
 
 REST_SQL = """
-history as (select o_custkey as team_id, o_orderdate as past_date from orders where o_custkey % 9 <> 0 and
-  not (o_custkey % 5 = 0 and o_orderdate < timestamp '1999-06-01')),
+history as (select case when o_custkey % 9 = 0 or (o_custkey % 5 = 0 and o_orderdate < timestamp '1999-06-01')
+    then -o_custkey else o_custkey end as team_id, o_orderdate as past_date from orders),
 lasts as (select u.team_id, max(past_date) as last from upcoming u join history h on u.team_id = h.team_id
   and past_date < u.game_date group by 1),
 rested as (select u.*, case when u.team_id not in (select team_id from history) then 1 when last is null then -1
@@ -314,9 +324,9 @@ rested as (select u.*, case when u.team_id not in (select team_id from history)
 
 def history(spark, sf):
     """Past events: some sides have none at all, some only late ones."""
-    rows = B.table(spark, sf, "orders").where("o_custkey % 9 <> 0")
-    rows = rows.where("not (o_custkey % 5 = 0 and o_orderdate < timestamp_ntz '1999-06-01 00:00:00')")
-    return rows.select(F.col("o_custkey").alias("team_id"), F.col("o_orderdate").alias("past_date"))
+    other = "o_custkey % 9 = 0 or (o_custkey % 5 = 0 and o_orderdate < timestamp_ntz '1999-06-01 00:00:00')"
+    side = F.when(F.expr(other), -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    return B.table(spark, sf, "orders").select(side.alias("team_id"), F.col("o_orderdate").alias("past_date"))
 
 
 def rested(spark, sf):
@@ -357,11 +367,17 @@ def task_grid(spark, sf):
     return J.task_grid(B.roster(spark, sf).select("id"), YEARS, period="season")
 
 
+def stranged(rows):
+    """Two thirds of the players as players that nothing else knows."""
+    player = F.col("player_id")
+    return rows.withColumn("player_id", F.when(player % 3 == 0, player).otherwise(-player))
+
+
 LIVE_SQL = """
 base as (select player_id, max(pts) as pts, max(minutes) as minutes, max(season) as season, count(*) as rows_seen
   from game_logs group by 1),
-live as (select player_id, avg(pts) as pts, case when player_id % 4 <> 0 then min(minutes) end as minutes
-  from game_logs where player_id % 3 = 0 group by 1)"""
+live as (select case when player_id % 3 = 0 then player_id else -player_id end as player_id, avg(pts) as pts,
+    min(case when player_id % 4 <> 0 then minutes end) as minutes from game_logs group by 1)"""
 
 
 @query(
@@ -380,9 +396,9 @@ def live_overlay(spark, sf):
         F.max("pts").alias("pts"), F.max("minutes").alias("minutes"), F.max("season").alias("season"),
         F.count("*").alias("rows_seen"),
     )
-    live = B.game_logs(spark, sf).where("player_id % 3 = 0").groupBy("player_id").agg(
+    live = stranged(B.game_logs(spark, sf).withColumn("_own", F.col("player_id"))).groupBy("player_id").agg(
         F.avg("pts").alias("pts"),
-        F.min(F.when(F.col("player_id") % 4 != 0, F.col("minutes"))).alias("minutes"),
+        F.min(F.when(F.col("_own") % 4 != 0, F.col("minutes"))).alias("minutes"),
         F.lit(1).alias("unknown_column"),
     )
     return rounded(J.live_overlay(base, live, entity="player_id", period="season", period_value=2026))
@@ -391,12 +407,14 @@ def live_overlay(spark, sf):
 NOW_SQL = """
 now as (select team_abbrev, team_def_rating as def_rating, team_pace as pace, floor(rank() over (order by
     team_def_rating) + (count(*) over (partition by team_def_rating) - 1) / 2.0)::int as def_rank
-  from team_stats where season = 2 and team_abbrev <> 'signup')"""
+  from (select * replace (case team_abbrev when 'signup' then 'nobody' else team_abbrev end as team_abbrev) from team_stats)
+  where season = 2)"""
 
 
 def current_stats(spark, sf):
-    """One period's ratings with ranks; one side is unknown."""
-    rows = B.team_stats(spark, sf).where("season = 2 and team_abbrev <> 'signup'")
+    """The current period's ratings with ranks; one side has an unknown code."""
+    code = F.when(F.col("team_abbrev") == "signup", "nobody").otherwise(F.col("team_abbrev"))
+    rows = B.team_stats(spark, sf).where("season = 2").withColumn("team_abbrev", code)
     ranked = average_rank(rows, partition=["season"], value="team_def_rating", name="def_rank", truncate=True)
     return ranked.select(
         "team_abbrev", F.col("team_def_rating").alias("def_rating"), F.col("team_pace").alias("pace"), "def_rank"
