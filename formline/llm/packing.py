@@ -69,9 +69,10 @@ class ChunkTokens(dict):
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             ids = self._ids(" ".join(part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(cuts) == len(part):
-                self.words.update(zip(part, map(bytes, np.split(ids.view("u1").reshape(-1, 4), cuts[:-1])), strict=True))
+                raw = ids.tobytes()
+                self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
             else:
                 self.words.update((w, self._ids(w).tobytes()) for w in part)
         for c in new:
