@@ -27,7 +27,7 @@ OWN = 16_384  # most frequent words, symbols of their own
 KNOWN = 262_144  # most frequent words whose counts every task holds; others' counts are joined
 CLASSES = 256
 STEPS = 6  # Baum-Welch passes
-PADDED = 300_000  # tokens, padding included, of the documents that are scored together
+PADDED = 1_000_000  # tokens, padding included, of the documents that are scored together
 FLUSH = 400_000  # distinct words a task counts before it hands them on
 PRIOR = 10.0  # weight of the symbols' overall shares in each state
 
