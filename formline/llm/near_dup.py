@@ -23,7 +23,7 @@ from .graph import components
 K = 64  # values in a sketch
 SHARED = 32  # values that linked documents' sketches share at least, where a sketch is not the whole set
 PIVOTS = 64  # documents of a list that are compared with all others of it in one round
-MEMO = 500_000
+MEMO = 100_000
 
 
 class _WordHash(dict):
