@@ -51,6 +51,15 @@ def same(a, b, *, places=9):
     assert sorted(left, key=repr) == sorted(right, key=repr)
 
 
+def close(a, b):
+    """Equal but for the last digits of sums taken in another order, which rounding can tell apart at ties."""
+    assert a.columns == b.columns
+    key = lambda row: (repr([v for v in row if not isinstance(v, float)]), repr(row))
+    left, right = sorted(a.collect(), key=key), sorted(b.collect(), key=key)
+    assert len(left) == len(right)
+    assert all(x == (pytest.approx(y, rel=1e-9) if isinstance(y, float) else y) for r, q in zip(left, right, strict=True) for x, y in zip(r, q, strict=True))
+
+
 def test_plan_cuts_only_the_large_key(hot):
     plan = slice_plan(hot, ["player_id"], ["game_date", "game_id"], rows_per_slice=SMALL)
     rows = {r["player_id"]: r["_cuts"] for r in plan.cuts.collect()}
@@ -98,7 +107,7 @@ def test_slicing_changes_nothing(hot, name):
 @pytest.mark.parametrize("name", OPERATORS)
 def test_slicing_changes_nothing_without_times_or_in_a_burst(untimed, name):
     run = OPERATORS[name]
-    same(run(untimed, SMALL), run(untimed, WHOLE), places=6)
+    close(run(untimed, SMALL), run(untimed, WHOLE))
 
 
 def test_rows_without_a_time_come_last(untimed):
