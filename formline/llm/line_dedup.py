@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are found through line hashes: each line leads from every later document to the first that
-holds it, so pairs grow with the lines and not with their square.  A patience diff aligns the two documents, and
-aligned common blocks go from the later one.
+Documents that share a block are found through its runs: a run is consecutive lines that just reach the words of a
+block, and leads from every later document to the first that holds it, so pairs grow with the lines and not with their
+square.  A patience diff aligns the two documents, and aligned common blocks go from the later one, as do blocks that
+the first document holds in another place than the alignment's.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from formline.session import stored
 
 from .common import words_of
 
-LINE_WORDS = 8  # words of a line that can lead to another document
+LINE_WORDS = 8  # words of a line that the first brute force of the tests leads by; nothing else uses it
 BLOCK_WORDS = 20  # words of an aligned block that is deleted
 
 
@@ -76,8 +78,54 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+# An odd number, whose powers weigh the lines of a run, and its inverse, both modulo 2 ** 64.
+WEIGHT = 0x9E3779B97F4A7C15
+BACK = pow(WEIGHT, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def runs(lines: np.ndarray, words: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the runs of documents laid end to end, ``ends`` being where each ends.
+
+    Runs are the shortest from each line on, and the shortest up to each line, of at least ``least`` words.  Both kinds
+    together cover every block of so many words, and only it.
+    """
+    n = len(lines)
+    total = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    at = np.arange(n)
+    doc = np.searchsorted(ends, at, "right")
+    stop, begin = ends[doc], np.r_[0, ends][doc]
+    from_here = np.searchsorted(total, total[:-1] + max(1, least))
+    up_to = np.searchsorted(total, total[1:] - max(1, least), "right") - 1
+    ahead, behind = from_here <= stop, up_to >= begin
+    found = np.unique(np.stack([np.r_[at[ahead], up_to[behind]], np.r_[from_here[ahead], at[behind] + 1]]), axis=1)
+    start, end = found
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(lines.astype(np.int64).view(np.uint64) * _powers(WEIGHT, n), dtype=np.uint64)]
+    return start, end, ((sums[end] - sums[start]) * _powers(BACK, n + 1)[start]).view(np.int64)
+
+
+def moved_blocks(first: list[int], later: list[int], words: list[int], least: int) -> list[int]:
+    """Places in ``later`` of runs of at least ``least`` words that ``first`` holds anywhere."""
+    n, both = len(first), [*first, *later]
+    # Equal lines have equal words; a line of ``first`` alone is in no common run.
+    of = dict.fromkeys(first, 0) | dict(zip(later, words, strict=True))
+    number = dict(zip(of, np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, len(of)).tolist(), strict=True))
+    lines, sizes = (np.array([x[line] for line in both], np.int64) for x in (number, of))
+    start, end, run = runs(lines, sizes, np.array([n, len(both)]), least)
+    shared = (start >= n) & np.isin(run, run[start < n])
+    edge = np.zeros(len(later) + 1, np.int64)
+    np.add.at(edge, start[shared] - n, 1)
+    np.add.at(edge, end[shared] - n, -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0).tolist()
+
+
 def common_blocks(first: list[int], later: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Places in ``later`` of aligned runs of lines of at least ``least`` words."""
+    """Places in ``later`` of runs of lines of at least ``least`` words, aligned or held elsewhere by ``first``."""
     out: list[int] = []
     run: list[int] = []
     last = (-2, -2)
@@ -88,7 +136,22 @@ def common_blocks(first: list[int], later: list[int], words: list[int], least: i
             run = []
         run.append(j)
         last = (i, j)
-    return out
+    # One alignment cannot hold blocks that changed places, nor a block twice.
+    return sorted({*out, *moved_blocks(first, later, words, least)})
+
+
+def _run_hashes(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, words = batch.column("lines"), batch.column("words")
+            ends = np.cumsum(pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64))
+            start, _, found = runs(lines.flatten().to_numpy(), words.flatten().to_numpy(), ends, least)
+            doc = np.searchsorted(ends, start, "right")
+            kept = np.unique(np.stack([doc, found]), axis=1)
+            ids = batch.column("doc_id").take(pa.array(kept[0]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(kept[1])], ["doc_id", "run"])
+
+    return run
 
 
 def _align(least: int):
@@ -110,8 +173,8 @@ def _align(least: int):
     return run
 
 
-def repeated_places(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, places``: the lines (from 0) of each document that an earlier document holds in an aligned block."""
+def repeated_places(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, places``: the lines (from 0) of each document that an earlier document holds in a block."""
     rows = docs.filter("doc_id is not null and text is not null")
     lines = F.split("text", "\n", -1)
     hashed = rows.select(
@@ -120,10 +183,9 @@ def repeated_places(docs: DataFrame, line_words: int = LINE_WORDS, block_words:
         F.transform(lines, lambda line: F.size(words_of(line))).alias("words"),
     )
     hashed = stored(hashed, "lines")
-    long = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= line_words)
-    held = hashed.select("doc_id", F.explode(F.array_distinct(F.transform(long, lambda x: x["lines"]))).alias("line"))
-    first = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    pairs = held.join(first, "line").filter("doc_id > first").select("first", "doc_id").distinct()
+    held = hashed.mapInArrow(_run_hashes(block_words), "doc_id bigint, run bigint")
+    first = held.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    pairs = held.join(first, "run").filter("doc_id > first").select("first", "doc_id").distinct()
     # Rows that repeat an id are one document, of the row with the smallest lines.
     one = hashed.groupBy("doc_id").agg(F.min(F.struct("lines", "words")).alias("x")).select("doc_id", "x.lines", "x.words")
     one = stored(one, "line_lists")
@@ -134,16 +196,16 @@ def repeated_places(docs: DataFrame, line_words: int = LINE_WORDS, block_words:
 
 
 def dedup_lines(
-    docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS, places: str | None = "removed_places"
+    docs: DataFrame, block_words: int = BLOCK_WORDS, places: str | None = "removed_places"
 ) -> DataFrame:
     """The documents, all columns kept, without the lines of blocks that an earlier document (smaller id) holds.
 
-    Every document is judged on the input.  A document of which nothing is left keeps its row with an empty text.  Null
+    A block is consecutive lines of at least ``block_words`` words that stand in the earlier document in a row too.  Every document is judged on the input.  A document of which nothing is left keeps its row with an empty text.  Null
     and empty texts and rows without an id stay as they are; rows that repeat an id lose the same places; lines
     compare without surrounding spaces; an empty table gives no rows.  ``places`` names an added column of the lines
     removed, empty where nothing went; None adds none.
     """
-    removed = repeated_places(docs, line_words, block_words).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
+    removed = repeated_places(docs, block_words).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
     out = docs.join(removed, docs["doc_id"] == removed["__id"], "left")
     numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
     left = F.transform(F.filter(numbered, lambda x: ~F.array_contains("__places", x["i"])), lambda x: x["line"])

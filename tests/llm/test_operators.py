@@ -395,6 +395,53 @@ def test_line_dedup_equals_brute_force(spark, sf):
     assert any(want.values())
 
 
+def removed_by_all_pairs(rows, least=line_dedup.BLOCK_WORDS):
+    """Brute force without alignment: each run of enough words that any earlier document holds in a row."""
+    lines = {d: [x.strip(" ") for x in t.split("\n")] for d, t in rows}
+    count = {x: len(WORD.findall(x)) for held in lines.values() for x in held}
+    out = {d: set() for d in lines}
+    for d, b in lines.items():
+        for a in (lines[e] for e in lines if e < d):
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                        k += 1
+                    if sum(count[x] for x in b[j : j + k]) >= least:
+                        out[d] |= set(range(j, j + k))
+    return out
+
+
+def removed_places(docs):
+    return {r["doc_id"]: set(r["removed_places"]) for r in line_dedup.dedup_lines(docs).collect()}
+
+
+def test_line_dedup_finds_blocks_whose_lines_came_first_elsewhere(make):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(12)) for c in "xyz")
+    texts = [one, two, f"{one}\n{two}", f"{one}\n{two}", f"{two}\n{three}\n{one}", f"a b\n{one}\n{two}\n{three}\n{one}"]
+    # Blocks of short lines, changed in order and held twice.
+    short = [f"s{i} t{i} u{i}" for i in range(14)]
+    texts += ["\n".join([*short, "", one]), "\n".join(["new", *short[7:], *short[:7], *short[7:]])]
+    got = removed_places(make(texts))
+    assert got == removed_by_all_pairs(enumerate(texts))
+    assert got[3] == {0, 1} and got[7] == set(range(1, 22))
+
+
+def test_line_dedup_equals_brute_force_over_all_earlier_documents(make):
+    rng = np.random.default_rng(11)
+    stock = ["", *(" ".join(f"v{k}w{i}" for i in range(rng.integers(1, 14))) for k in range(14))]
+    texts = ["\n".join(stock[k] for k in rng.integers(0, len(stock), rng.integers(0, 14))) for _ in range(90)]
+    got, want = removed_places(make(texts)), removed_by_all_pairs(enumerate(texts))
+    assert got == want and sum(map(len, want.values())) > 50
+    # What an alignment with any earlier document gives is among it.
+    lines = [t.split("\n") for t in texts]
+    for d in range(len(lines)):
+        words = [len(WORD.findall(x)) for x in lines[d]]
+        for e in range(d):
+            ids = {x: i for i, x in enumerate(dict.fromkeys(lines[e] + lines[d]))}
+            assert set(line_dedup.common_blocks([ids[x] for x in lines[e]], [ids[x] for x in lines[d]], words)) <= got[d]
+
+
 def test_patience_keeps_order_and_equality():
     rng = np.random.default_rng(6)
     for _ in range(200):
