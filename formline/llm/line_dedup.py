@@ -46,11 +46,69 @@ def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+LCS_BITS = 1 << 28  # bits of the table that is kept to trace one alignment; larger ranges are halved first
+
+
+def _lcs_rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each start of ``a`` the bits of ``b`` where the longest common subsequence does not grow."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    row = whole
+    yield row
+    for x in a:
+        same = row & at.get(x, 0)
+        row = ((row + same) | (row - same)) & whole
+        yield row
+
+
+def _lcs_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of ``a`` with each start of ``b``."""
+    row = 0
+    for row in _lcs_rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), count=len(b), bitorder="little")
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: rows of bits, traced back; halved as long as the rows are too many."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        left, right = a[a0:a1], b[b0:b1]
+        if len(left) > 1 and (len(left) + 1) * len(right) > LCS_BITS:
+            half = len(left) // 2
+            cut = int(np.argmax(_lcs_lengths(left[:half], right) + _lcs_lengths(left[: half - 1 : -1], right[::-1])[::-1]))
+            todo += [(a0, a0 + half, b0, b0 + cut), (a0 + half, a1, b0 + cut, b1)]
+            continue
+        rows = list(_lcs_rows(left, right))
+        i, j = len(left), len(right)
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif rows[i - 1] >> (j - 1) & 1:
+                i, j = i - 1, j - 1
+                out.append((a0 + i, b0 + j))
+            else:
+                i -= 1
+    return sorted(out)
+
+
+def _shared_lines(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of two ranges, of the lines that both hold."""
+    both = set(a[a0:a1]) & set(b[b0:b1])
+    at_a, at_b = [i for i in range(a0, a1) if a[i] in both], [j for j in range(b0, b1) if b[j] in both]
+    return [(at_a[i], at_b[j]) for i, j in longest_common([a[i] for i in at_a], [b[j] for j in at_b])]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of equal lines, rising in both, by patience diff.
 
     Lines that both ranges hold once are matched along their longest rising run, extended over equal neighbours, and
-    the gaps are aligned in the same way.
+    the gaps are aligned in the same way.  A range without such lines is aligned by a longest common subsequence.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -68,8 +126,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         place = {a[i]: i for i in range(a0, a1) if once_a[a[i]] == 1}
         shared = sorted((place[b[j]], j) for j in range(b0, b1) if once_b[b[j]] == 1 and b[j] in place)
         anchors = longest_rising(shared)
+        if not anchors:
+            out += _shared_lines(a, b, a0, a1, b0, b1)
+            continue
         last = (a0, b0)
-        for i, j in [*anchors, (a1, b1)] if anchors else []:
+        for i, j in [*anchors, (a1, b1)]:
             if (i, j) != (a1, b1):
                 out.append((i, j))
             if last[0] < i and last[1] < j:

@@ -452,6 +452,34 @@ def test_patience_keeps_order_and_equality():
     assert line_dedup.patience([1, 2, 3, 4], [9, 1, 2, 3, 4]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
 
 
+def lcs_length(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 40])
+def test_ranges_without_unique_lines_are_aligned_like_a_plain_lcs(monkeypatch, bits):
+    monkeypatch.setattr(line_dedup, "LCS_BITS", bits)
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        a, b = (rng.integers(0, 5, rng.integers(0, 30)).tolist() for _ in range(2))
+        # Each line twice in both, so that no line is unique.
+        for x, y in ((a, b), (a + a[::-1], b + b[::-1])):
+            pairs = line_dedup.longest_common(x, y)
+            assert len(pairs) == lcs_length(x, y) and all(x[i] == y[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        twice = [7, *a, *a, 7], [8, *b, *b, 8]
+        if len(set(twice[0]) & set(twice[1])):
+            assert len(line_dedup.patience(*twice)) == lcs_length(*twice)
+    # A passage that stands twice in the later text, and one that stands twice in the first.
+    assert line_dedup.patience([1, 2], [9, 1, 2, 8, 1, 2, 7]) == [(0, 1), (1, 2)]
+    assert line_dedup.common_blocks([1, 2], [9, 1, 2, 8, 1, 2, 7], [12] * 7) == [1, 2, 4, 5]
+    assert line_dedup.common_blocks([5, 1, 2, 6, 1, 2, 4], [9, 1, 2, 7], [12] * 4) == [1, 2]
+
+
 def test_line_dedup_of_odd_rows(make, odd):
     docs = make(odd, CLASHING)
     out = line_dedup.dedup_lines(docs)
