@@ -6,7 +6,6 @@ time, and the bins that stay underfull are packed once more across blocks.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,6 @@ from .common import texts
 CAPACITY = 2048
 BLOCK = 65_536  # pieces packed together in memory
 MEMO = 500_000  # chunks and words a worker remembers
-ROUNDS = 8  # passes of the local search over a block's underfull bins
 OPEN_SHARE = 1 / 64  # free share of a bin from which it is packed again across blocks
 
 # Text of these characters is lower-cased and composed alike by every Unicode version.
@@ -124,75 +122,116 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def exchange(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[list[int]]:
+class _Underfull:
+    """Bins with room, found by the size of a piece they hold (0 for any bin) and their room."""
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size = bins, size
+        self.room = [capacity - sum(size[i] for i in b) for b in bins]
+        self.at: dict[tuple[int, int], set[int]] = {}
+        self.rooms = [0] * (capacity + 1)  # by size: bit r is set when a bin with room r holds a piece of it
+        for b in range(len(bins)):
+            self.add(b)
+
+    def _keys(self, b: int) -> set[tuple[int, int]]:
+        return {(t, self.room[b]) for t in (0, *(self.size[i] for i in self.bins[b]))} if self.bins[b] and self.room[b] else set()
+
+    def add(self, b: int) -> None:
+        for t, room in self._keys(b):
+            self.at.setdefault((t, room), set()).add(b)
+            self.rooms[t] |= 1 << room
+
+    def remove(self, b: int) -> None:
+        for t, room in self._keys(b):
+            held = self.at[t, room]
+            held.remove(b)
+            if not held:
+                self.rooms[t] ^= 1 << room
+
+    def taker(self, giver: int, t: int, gain: int) -> int | None:
+        """The fullest bin that holds a piece of size ``t``, has room for ``gain`` and is not emptier than the giver."""
+        most = self.room[giver]
+        fitting = (self.rooms[t] & ((2 << most) - 1)) >> gain
+        while fitting:
+            room = gain + (fitting & -fitting).bit_length() - 1
+            for b in self.at[t, room]:
+                if b != giver:
+                    return b
+            fitting &= fitting - 1
+        return None
+
+    def widest(self, giver: int) -> int:
+        """The largest room of the bins that are not emptier than the giver."""
+        most = self.room[giver]
+        rooms = self.rooms[0] & ((2 << most) - 1)
+        if self.at[0, most] == {giver}:
+            rooms ^= 1 << most
+        return rooms.bit_length() - 1
+
+    def step(self, giver: int) -> tuple[int, tuple[int, ...], int] | None:
+        """The exchange that gains most: the taker, the giver's pieces and the size that comes back (0 for none)."""
+        widest = self.widest(giver)
+        if widest < 1:
+            return None
+        mine: dict[int, list[int]] = {}
+        for i in self.bins[giver]:
+            mine.setdefault(self.size[i], []).append(i)
+        best, found = 0, None
+        for s, held in mine.items():
+            if best < s <= widest and (b := self.taker(giver, 0, s)) is not None:
+                best, found = s, (b, (held[0],), 0)
+        offers = [(s, (held[0],)) for s, held in mine.items()]
+        sizes = sorted(mine)
+        for k, x in enumerate(sizes):
+            offers += [(x + y, (mine[x][0], mine[y][0])) for y in sizes[:k]]
+            offers += [(2 * x, tuple(mine[x][:2]))] if len(mine[x]) > 1 else []
+        for s, out in offers:
+            # The smallest piece that comes back gains most.
+            for t in range(max(1, s - widest), min(s - best, len(self.rooms))):
+                if self.rooms[t] >> (s - t) and (b := self.taker(giver, t, s - t)) is not None:
+                    best, found = s - t, (b, out, t)
+                    break
+        return found
+
+    def apply(self, giver: int, taker: int, out: tuple[int, ...], t: int) -> None:
+        back = [next(i for i in self.bins[taker] if self.size[i] == t)] if t else []
+        gain = sum(self.size[i] for i in out) - t
+        self.remove(giver)
+        self.remove(taker)
+        for b, gone, come in ((giver, out, back), (taker, back, out)):
+            self.bins[b] = [i for i in self.bins[b] if i not in gone] + list(come)
+        self.room[giver] += gain
+        self.room[taker] -= gain
+        self.add(giver)
+        self.add(taker)
+
+
+def exchange(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Local search over underfull bins.
 
-    The emptiest bin gives to the fuller ones: a document moves, one is exchanged for a shorter one, or two are
-    exchanged for one shorter than both together.  Every step raises the sum of squared fills, so it ends; a bin that
-    has given everything away is gone.
+    Each bin, the emptiest first, gives to bins at least as full: a document moves, one is exchanged for a shorter one,
+    or two are exchanged for one shorter than both together.  Passes over all bins end when one changes nothing, or the
+    bins are as few as their tokens allow.  Every step raises the sum of squared fills, so that comes; a bin that has
+    given everything away is gone.
     """
     size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    done = [b for b, f in zip(bins, fill, strict=True) if f == capacity]
-    rest = [b for b, f in zip(bins, fill, strict=True) if f < capacity]
-    for _ in range(rounds):
-        if len(done) + len(rest) <= least:
-            break
-        rest.sort(key=lambda b: sum(size[i] for i in b))
+    left, least = len(bins), -(-sum(size[i] for b in bins for i in b) // capacity)
+    if left <= least:
+        return bins
+    under = _Underfull([list(b) for b in bins], size, capacity)
+    changed = True
+    while changed and left > least:
         changed = False
-        for d in range(min(len(rest), 64)):
-            giver = rest[d]
-            takers = sorted(((capacity - sum(size[i] for i in b), k) for k, b in enumerate(rest) if k > d))
-            for room, k in reversed(takers):
-                if not giver or room == 0:
+        for giver in sorted(range(len(bins)), key=lambda b: -under.room[b]):
+            while under.bins[giver] and under.room[giver] and (step := under.step(giver)):
+                under.apply(giver, *step)
+                changed = True
+            if not under.bins[giver] and under.room[giver] == capacity:
+                under.room[giver] = 0
+                left -= 1
+                if left <= least:
                     break
-                taker = rest[k]
-                if sum(size[i] for i in taker) < sum(size[i] for i in giver):
-                    continue
-                gained = _improve(giver, taker, size, room)
-                changed |= gained
-        rest = [b for b in rest if b]
-        done += [b for b in rest if sum(size[i] for i in b) == capacity]
-        rest = [b for b in rest if sum(size[i] for i in b) < capacity]
-        if not changed:
-            break
-    return done + rest
-
-
-def _improve(giver: list[int], taker: list[int], size: list[int], room: int) -> bool:
-    """Fill ``taker`` from ``giver`` as far as it goes; true if anything changed."""
-    changed = False
-    while room and giver:
-        best, step = 0, None
-        theirs = sorted((size[i], i) for i in taker)
-        for i in giver:
-            if best < size[i] <= room:
-                best, step = size[i], ((i,), ())
-            # The shortest of the taker's that makes place for i gains the most.
-            k = bisect.bisect_left(theirs, (size[i] - room, -1))
-            if k < len(theirs) and best < size[i] - theirs[k][0] <= room:
-                best, step = size[i] - theirs[k][0], ((i,), (theirs[k][1],))
-        if best < room:
-            mine = sorted((size[i], i) for i in giver)
-            for x in range(len(mine)):
-                for y in range(x):
-                    both = mine[x][0] + mine[y][0]
-                    k = bisect.bisect_left(theirs, (both - room, -1))
-                    if k < len(theirs) and best < both - theirs[k][0] <= room:
-                        best, step = both - theirs[k][0], ((mine[x][1], mine[y][1]), (theirs[k][1],))
-        if step is None:
-            return changed
-        out, back = step
-        for i in out:
-            giver.remove(i)
-            taker.append(i)
-        for i in back:
-            taker.remove(i)
-            giver.append(i)
-        room -= best
-        changed = True
-    return changed
+    return [b for b in under.bins if b]
 
 
 PACKED = (

@@ -76,6 +76,32 @@ def test_local_search_never_loses_and_helps():
     assert len(packing.exchange([[0], [1], [2]], np.array([1500, 500, 500]))) == 2
 
 
+def gains(giver, taker, size, room):
+    """What the exchanges of two bins would fill the taker by, by trying all."""
+    outs = [(i,) for i in giver] + [(i, j) for i in giver for j in giver if i < j]
+    moved = [sum(size[i] for i in o) - back for o in outs for back in ([0] if len(o) == 1 else []) + [size[i] for i in taker]]
+    return [g for g in moved if 0 < g <= room]
+
+
+def test_local_search_ends_where_no_two_bins_have_an_exchange():
+    """Pieces that nothing can be done with lead the order, more than a few bins behind them can be improved."""
+    rng = np.random.default_rng(4)
+    behind = np.repeat([690, 680, 678], 90)
+    cases = [np.r_[np.repeat(1379, 70), behind], rng.integers(500, 1400, 150), rng.integers(1, 1500, 150), rng.integers(600, 720, 200)]
+    for lengths in cases:
+        bins = packing.best_fit(lengths)
+        better = packing.exchange([list(b) for b in bins], lengths)
+        assert sorted(i for b in better for i in b) == list(range(len(lengths)))
+        rooms = [2048 - int(sum(lengths[i] for i in b)) for b in better]
+        assert min(rooms) >= 0 and len(better) <= len(bins)
+        if len(better) > math.ceil(lengths.sum() / 2048):
+            for x, giver in enumerate(better):
+                for y, taker in enumerate(better):
+                    assert x == y or rooms[x] < rooms[y] or not gains(giver, taker, lengths.tolist(), rooms[y])
+        if lengths is cases[0]:
+            assert len(bins) == 70 + 45 + 30 + 30 and len(better) <= 70 + 102
+
+
 def test_byte_bpe_equals_the_library(docs):
     import tiktoken
 
