@@ -26,6 +26,8 @@ RATE = 0.5
 EM_STEPS = 50
 REJECT = 0.5  # probability of being bad from which a document is rejected
 MEMO = 300_000
+SPAN = 2_000  # words among which distinct ones are counted
+PIECE = 64  # characters of a word that make a shape; a longer word has several
 SYMBOLS = re.compile(r"[#*$%&|<>{}\\^~=_]")
 
 # What a labeller says: the document is bad, it is good, or nothing.
@@ -65,7 +67,8 @@ def look(text: str) -> Text:
             "exclaimed": ends["!"] / n,
             "repeated_windows": float((times[inverse] > 1).mean()) if len(windows) else 0.0,
             "repeated_neighbours": float((seq[1:] == seq[:-1]).mean()) if len(seq) > 1 else 0.0,
-            "distinct": len(ids) / n,
+            # The mean over consecutive spans, by their words.
+            "distinct": len(np.unique(np.arange(len(seq)) // SPAN * len(ids) + seq)) / n,
             "separators": sum(len(w) == 1 and not w.isalnum() for w in words) / n,
             "repeated_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
             "stops": sum(ends[e] for e in ".!?") / n,
@@ -89,7 +92,7 @@ def votes(seen: Text) -> str:
             _vote(c["exclaimed"], 0.3, 0.02),
             _vote(c["repeated_windows"], 0.4, 0.1) if long else SILENT,
             _vote(c["repeated_neighbours"], 0.15, 0.03) if long else SILENT,
-            _vote(-c["distinct"], -0.2, -0.45) if 20 <= n <= 2000 else SILENT,
+            _vote(-c["distinct"], -0.2, -0.45) if long else SILENT,
             _vote(c["separators"], 0.15, 0.03) if long else SILENT,
             _vote(c["repeated_lines"], 0.5, 0.1) if long else SILENT,
             (GOOD if 0.02 <= c["stops"] <= 0.4 else SILENT) if long else SILENT,
@@ -127,12 +130,12 @@ def _slot(name: str) -> int:
 
 
 class _Shapes(dict):
-    """The slot of a word's shape: letters, capitals and digits as classes, runs once, other characters as they are."""
+    """The slot of the shape of a word, or of a piece of a long one: letters, capitals and digits as classes, runs once, other characters as they are."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]]
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word]
         shape = "".join(k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1])
         slot = self[word] = _slot(f"shape {shape}")
         return slot
@@ -143,8 +146,11 @@ _shapes = _Shapes()
 
 def features(seen: Text) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text, of length one."""
-    n = max(1, len(seen.words))
-    slots, times = np.unique(np.fromiter(map(_shapes.__getitem__, seen.words), np.int64, len(seen.words)), return_counts=True)
+    parts = seen.words
+    if any(len(w) > PIECE for w in parts):
+        parts = [w[at : at + PIECE] for w in parts for at in range(0, len(w), PIECE)]
+    n = max(1, len(parts))
+    slots, times = np.unique(np.fromiter(map(_shapes.__getitem__, parts), np.int64, len(parts)), return_counts=True)
     marks = [_slot("always")]
     for name in ("repeated_windows", "repeated_neighbours", "repeated_lines", "capitals", "exclaimed", "distinct"):
         marks.append(_slot(f"{name} {min(9, int(10 * seen.counts[name]))}"))

@@ -267,6 +267,19 @@ def test_weak_labels_find_bad_documents(spark, sf):
     assert found.filter("quality = 1 and not kept").count() <= 0.01 * n
 
 
+def test_long_texts_and_long_words_are_seen_whole():
+    rng = np.random.default_rng(13)
+    at = quality_classifier.LABELLERS.index("few_distinct")
+    for n in (1_900, 2_001, 5_000, 20_000):
+        salad = quality_classifier.look(" ".join(f"w{k}" for k in rng.integers(0, 40, n)))
+        assert quality_classifier.votes(salad)[at] == quality_classifier.BAD
+    plain = quality_classifier.look(" ".join(f"w{k}" for k in rng.integers(0, 3_000, 9_000)))
+    assert quality_classifier.votes(plain)[at] == quality_classifier.GOOD
+    # Unspaced lines that differ behind their first characters only.
+    slots = [set(quality_classifier.features(quality_classifier.look("x" * 300 + end))[0].tolist()) for end in ("", "#1#2" * 9)]
+    assert slots[0] < slots[1]
+
+
 def test_classifying_odd_rows(make, odd):
     docs = make(odd, CLASHING)
     assert quality_classifier.classify(docs).count() == len(odd)
