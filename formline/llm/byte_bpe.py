@@ -38,6 +38,11 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@lru_cache(4)
+def tokens_of(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks_of(path).items()}
+
+
 @lru_cache(4)
 def pattern_of(pattern: str) -> regex.Pattern:
     """The splitting pattern with Unicode's white space, which the library's ``\\s`` exceeds."""
@@ -136,7 +141,8 @@ class _Numbering:
         long = []
         for i, w in enumerate(as_bytes):
             if len(w) > LONG_WORD:
-                long.append({"word": i, "ids": merge_long(w, ranks_of(self.ranks_path)), "decoded": w})
+                ids, tokens = merge_long(w, ranks_of(self.ranks_path)), tokens_of(self.ranks_path)
+                long.append({"word": i, "ids": ids, "decoded": b"".join([tokens[t] for t in ids])})
                 as_bytes[i] = b""
         lengths = np.cumsum([0, *map(len, as_bytes)], dtype=np.int32)
         flat = pa.array(np.frombuffer(b"".join(as_bytes), "u1").astype(np.int16))

@@ -130,6 +130,15 @@ def test_heap_merges_equal_plain_merges():
         assert byte_bpe.merge_long(word, ranks) == byte_bpe.merge_parts(word, ranks)
 
 
+def test_long_words_are_decoded_from_their_ids(monkeypatch):
+    numbering = byte_bpe._Numbering(byte_bpe.pattern_of(public_tokenizers.PATTERN), BYTE_RANKS)
+    word = "abcdefg" * 200
+    assert numbering.block([1], [word]).column("long")[0].as_py()[0]["decoded"] == word.encode()
+    ranks = byte_bpe.ranks_of(BYTE_RANKS)
+    monkeypatch.setattr(byte_bpe, "merge_long", lambda word, _: [ranks[b"x"], ranks[b"y"]])
+    assert numbering.block([1], ["b" * 1_001]).column("long")[0].as_py()[0]["decoded"] == b"xy"
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
