@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, line_dedup, lm_scoring, near_dup, packing, pii, quality_classifier, quality_rules, suffix_dedup
+from . import byte_bpe, filter_audit, fingerprints, line_dedup, lm_scoring, manifest, mixing, near_dup, packing, pii
+from . import quality_classifier, quality_rules, suffix_dedup
 from .common import table
 
 QUERIES: dict = {}
@@ -80,3 +81,18 @@ def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_hidden_markov_model")
 def hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_audit", filter_audit.sql())
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_merkle_manifest", manifest.sql())
+def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proofs(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_mixing", mixing.sql())
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, sf, name):
 
 
 def test_one_query_per_operator():
-    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 14)] == [1] * 13
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "personal_data", "packing"]
 
 
