@@ -58,26 +58,35 @@ def label_table(first_match: bool = False) -> list[tuple]:
     return sorted(fixed, key=lambda row: -len(row[0]))
 
 
+def _shown(template: str, digits: int | None, value: Column) -> Column:
+    if digits is None:
+        return F.lit(template)
+    head, tail = template.split("%s")
+    return F.concat(F.lit(head), F.format_string(f"%.{digits}f", F.bround(value, digits)), F.lit(tail))
+
+
 def reason_label(feature, contribution, value, *, first_match: bool = False) -> Column:
     """The text for one contribution, null for features without a label."""
     feature, contribution, value = col(feature), col(contribution), col(value)
     negative = F.when(feature.isin(*BY_VALUE), value > 0.5).otherwise(~(contribution > 0))
-
-    def text(template: str, digits: int | None) -> Column:
-        if digits is None:
-            return F.lit(template)
-        head, tail = template.split("%s")
-        shown = F.format_string(f"%.{digits}f", F.bround(value, digits))
-        return F.concat(F.lit(head), shown, F.lit(tail))
-
     chain = None
     for pattern, up, down, digits in label_table(first_match):
-        label = F.when(negative, text(down, digits)).otherwise(text(up, digits))
+        label = F.when(negative, _shown(down, digits, value)).otherwise(_shown(up, digits, value))
         hit = F.contains(feature, F.lit(pattern))
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
     return chain
 
 
+def feature_label(feature: str, contribution, value, *, first_match: bool = False) -> Column | None:
+    """As ``reason_label`` for a feature known beforehand; None if it never has a label."""
+    contribution, value = col(contribution), col(value)
+    for pattern, up, down, digits in label_table(first_match):
+        if pattern in feature:
+            negative = value > 0.5 if feature in BY_VALUE else ~(contribution > 0)
+            return F.when(negative, _shown(down, digits, value)).otherwise(_shown(up, digits, value))
+    return None
+
+
 def warning_messages(*, availability_warning, predicted, average, rows, back_to_back) -> Column:
     """The warnings of a prediction, in fixed order."""
     predicted, average, rows = col(predicted), col(average), col(rows)

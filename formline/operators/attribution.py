@@ -67,72 +67,135 @@ def base_value(paths: Mapping[int, dict]) -> float:
     return float(sum((g["value"] * g["bound"][:, :, 2].prod(axis=1)).sum() for g in paths.values()))
 
 
-def shapley(x: np.ndarray, paths: Mapping[int, dict], n_features: int) -> np.ndarray:
-    """Path-dependent Shapley values of a batch of rows.
+def leaf_weights(share: np.ndarray, agrees: np.ndarray) -> np.ndarray:
+    """What each feature of a leaf's path adds, per unit of the leaf's value (last axis: features of the path).
+
+    A leaf pays its value only if every feature on its path agrees; an unknown feature
+    agrees with its share.  Summed over coalition sizes this needs only the coefficients
+    of the product of (share + agrees * t) over the *other* features.  The product over
+    all of them is built once and divided by one factor at a time: work of the path's
+    length squared.  Dividing by (share + t) runs from the highest power down, where
+    every step multiplies by the share, which is at most 1, so that errors do not grow.
+    """
+    size = share.shape[-1]
+    share, agrees = np.broadcast_arrays(share, agrees)
+    product = np.zeros((size + 1, *share.shape[:-1]))
+    product[0] = 1.0
+    for j in range(size):
+        known, unknown = agrees[..., j], share[..., j]
+        for k in range(j + 1, 0, -1):
+            product[k] = product[k] * unknown + product[k - 1] * known
+        product[0] *= unknown
+    order = [factorial(k) * factorial(size - k - 1) / factorial(size) for k in range(size)]
+    out = np.empty(share.shape)
+    for i in range(size):
+        known, unknown = agrees[..., i], share[..., i]
+        mixed = np.zeros(share.shape[:-1])
+        above = np.zeros(share.shape[:-1])
+        for k in range(size - 1, -1, -1):
+            above = np.where(known > 0, product[k + 1] - unknown * above, product[k] / unknown)
+            mixed += order[k] * above
+        out[..., i] = mixed * (known - unknown)
+    return out
+
+
+TABLED = 8  # features of a path whose patterns of agreement are tabled: 2 ** TABLED rows a leaf
+CELLS = 1 << 18  # (row, leaf) pairs worked on at a time: two megabytes an array
+
 
-    A leaf pays its value only if every feature on its path agrees; an unknown
-    feature agrees with its share.  Summed over coalition sizes this needs only
-    the coefficients of the product of (share + agrees * t) over the other features.
+def tabled(paths: Mapping[int, dict]) -> dict[int, dict]:
+    """``paths`` ready for many rows: leaves in the order of each place's features, short paths with a table.
+
+    The table holds the contributions of every pattern of agreeing features, so that a row
+    only has to find its pattern at each leaf.  Its size is bounded by the model's settings:
+    (leaves) * 2 ** depth * depth numbers.
     """
-    out = np.zeros((x.shape[0], n_features))
+    out = {}
     for size, group in paths.items():
         if size == 0:
             continue
-        feature, share = group["feature"], group["bound"][:, :, 2]
-        picked = x[:, feature]
-        agrees = ((picked > group["bound"][:, :, 0]) & (picked <= group["bound"][:, :, 1])).astype(float)
-        weight = [factorial(k) * factorial(size - k - 1) / factorial(size) for k in range(size)]
-        for i in range(size):
-            poly = [np.ones((x.shape[0], len(feature)))]
-            for j in range(size):
-                if j == i:
-                    continue
-                known, unknown = agrees[:, :, j], share[:, j]
-                grown = [c * unknown for c in poly] + [np.zeros_like(poly[0])]
-                for k, c in enumerate(poly):
-                    grown[k + 1] = grown[k + 1] + c * known
-                poly = grown
-            mixed = sum(w * c for w, c in zip(weight, poly, strict=True))
-            paid = mixed * (agrees[:, :, i] - share[:, i]) * group["value"]
-            one_hot = np.zeros((len(feature), n_features))
-            one_hot[np.arange(len(feature)), feature[:, i]] = 1.0
-            out += paid @ one_hot
+        places = []
+        for j in range(size):
+            by_feature = np.argsort(group["feature"][:, j], kind="stable")
+            features, first = np.unique(group["feature"][by_feature, j], return_index=True)
+            places.append((by_feature, features, first))
+        group = group | {"places": places}
+        if size <= TABLED:
+            patterns = (np.arange(1 << size)[:, None] >> np.arange(size)) & 1
+            paid = leaf_weights(group["bound"][:, None, :, 2], patterns[None].astype(float))
+            paid *= group["value"][:, None, None]
+            group["paid"] = [np.ascontiguousarray(paid[..., j]).ravel() for j in range(size)]
+        out[size] = group
+    return out
+
+
+def _block(x: np.ndarray, size: int, group: dict, out: np.ndarray) -> None:
+    """Adds what the leaves of one path length pay to a few rows."""
+    bound, feature = group["bound"], group["feature"]
+    agrees = []
+    for j in range(size):
+        picked = x[:, feature[:, j]]
+        agrees.append((picked > bound[:, j, 0]) & (picked <= bound[:, j, 1]))
+    if "paid" in group:
+        pattern = np.arange(len(feature)) << size
+        pattern = pattern + sum(a.astype(np.int64) << j for j, a in enumerate(agrees))
+    else:
+        weights = leaf_weights(bound[:, :, 2], np.stack(agrees, axis=-1).astype(float)) * group["value"][:, None]
+    for j, (by_feature, features, first) in enumerate(group["places"]):
+        paid = group["paid"][j][pattern[:, by_feature]] if "paid" in group else weights[:, by_feature, j]
+        out[:, features] += np.add.reduceat(paid, first, axis=1)
+
+
+def shapley(x: np.ndarray, ready: Mapping[int, dict], n_features: int) -> np.ndarray:
+    """Path-dependent Shapley values of a batch of rows; ``ready`` comes from ``tabled``."""
+    out = np.zeros((x.shape[0], n_features))
+    for size, group in ready.items():
+        step = max(1, CELLS // (len(group["value"]) * (1 if "paid" in group else size)))
+        for start in range(0, len(x), step):
+            _block(x[start : start + step], size, group, out[start : start + step])
     return out
 
 
 BATCH = 256
 
 
-def contributions(df: DataFrame, models: ModelSet, *, key: str) -> DataFrame:
-    """Per row and target: base value and one contribution per feature (in model order).
+def row_contributions(df: DataFrame, models: ModelSet, *, key: str) -> tuple[DataFrame, dict[str, float]]:
+    """One line per row: ``values`` and, per target, ``phi_<target>`` (in model order); and the base values.
 
-    The model arrays are broadcast (their size is bounded by the model settings); the
-    rows stay where they are, so there is no shuffle.
+    The leaves are broadcast (their number is bounded by the model settings); the rows
+    stay where they are, so there is no shuffle.
     """
     spark, n = df.sparkSession, len(models.features)
     paths = {t: leaf_paths(spark, m) for t, m in models.models.items()}
-    bases = {t: base_value(p) for t, p in paths.items()}
-    shared = spark.sparkContext.broadcast((paths, bases))
+    shared = spark.sparkContext.broadcast(paths)
     kind = df.schema[key].dataType.simpleString()
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, base = shared.value
+        # Tables are made in the task: they are larger than the paths that are sent.
+        ready = {target: tabled(tree_paths) for target, tree_paths in shared.value.items()}
         for batch in batches:
             for start in range(0, len(batch), BATCH):
                 part = batch.iloc[start : start + BATCH]
                 x = np.stack(part["x"].to_numpy())
-                for target, tree_paths in held.items():
-                    phi = shapley(x, tree_paths, n)
-                    yield pd.DataFrame(
-                        {"key": part["key"].to_numpy(), "target": target, "base": base[target],
-                         "contributions": list(phi), "values": list(x)}
-                    )
+                found = {f"phi_{target}": list(shapley(x, held, n)) for target, held in ready.items()}
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "values": list(x)} | found)
 
     rows = prepared(df, models.prep, models.features).select(
         F.col(key).alias("key"), vector_to_array("features").alias("x")
     )
-    schema = f"key {kind}, target string, base double, contributions array<double>, values array<double>"
-    return rows.mapInPandas(explain, schema).withColumnRenamed("key", key)
+    phis = ", ".join(f"phi_{t} array<double>" for t in paths)
+    wide = rows.mapInPandas(explain, f"key {kind}, values array<double>, {phis}").withColumnRenamed("key", key)
+    return wide, {t: base_value(p) for t, p in paths.items()}
+
+
+def contributions(df: DataFrame, models: ModelSet, *, key: str) -> DataFrame:
+    """Per row and target: base value and one contribution per feature (in model order)."""
+    wide, bases = row_contributions(df, models, key=key)
+    each = [
+        F.struct(F.lit(t).alias("target"), F.lit(base).alias("base"), F.col(f"phi_{t}").alias("contributions"))
+        for t, base in bases.items()
+    ]
+    return wide.select(key, "values", F.explode(F.array(*each)).alias("c")).select(key, "c.*", "values")
 
 
 def long_contributions(wide: DataFrame, features: Sequence[str], *, key: str, least: float = 0.0) -> DataFrame:
@@ -149,6 +212,20 @@ def long_contributions(wide: DataFrame, features: Sequence[str], *, key: str, le
     return wide.select(key, "target", F.explode(strong).alias("c")).select(key, "target", "c.*")
 
 
+def linear_row_contributions(df: DataFrame, weights: Mapping[str, Mapping[str, float]], *, key: str) -> DataFrame:
+    """``weight * (value - mean)`` of one linear model per target, on one line per row as in ``row_contributions``.
+
+    All targets have the same features; a missing value contributes null.
+    """
+    features = list(next(iter(weights.values())))
+    means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
+    phis = {
+        f"phi_{t}": F.array(*[F.lit(float(w[f])) * (col(f) - F.lit(means[f])) for f in features]) for t, w in weights.items()
+    }
+    values = F.array(*[col(f).cast("double") for f in features])
+    return df.select(key, values.alias("values"), *[phi.alias(name) for name, phi in phis.items()])
+
+
 def linear_contributions(df: DataFrame, weights: Mapping[str, float], *, key: str) -> DataFrame:
     """Long table of ``weight * (value - mean)``: the same additive contract for a linear model."""
     means = df.agg(*[F.avg(f).alias(f) for f in weights]).first()

@@ -23,7 +23,7 @@ from ..functions.columns import (
 )
 from ..functions.labels import warning_messages
 from ..operators.aggregates import availability_inputs, entity_means, recent_stats
-from ..operators.attribution import contributions, long_contributions
+from ..operators.attribution import row_contributions
 from ..operators.joins import (
     context_with_fallback,
     live_overlay,
@@ -34,7 +34,7 @@ from ..operators.joins import (
     triple_lookup,
 )
 from ..operators.models import ModelSet, batch_score
-from ..operators.ranking import signed_summary, top_reasons
+from ..operators.ranking import reason_arrays, signed_summary
 from ..operators.rows import request_overrides
 from ..operators.series import over_series
 from ..operators.windows import last_n, latest_row, rolling_names, running_means, running_sums, trend_ratios
@@ -288,11 +288,9 @@ def prediction_cards(
     averages = entity_means(logs, entity=entity, value="minutes").withColumnRenamed("n_rows", "_rows")
     scored = lookup_join(scored, averages, [entity])
 
-    wide = contributions(feature_rows, models, key=request)
-    reasons = top_reasons(
-        long_contributions(wide, models.features, key=request, least=0.05), row=request, first_match=first_match
-    )
-    scored = lookup_join(scored, signed_summary(reasons, row=request), [request])
+    wide, _ = row_contributions(feature_rows, models, key=request)
+    explained = signed_summary(reason_arrays(wide, models.features, targets, first_match=first_match), targets)
+    scored = lookup_join(scored, explained.select(request, "reasoning"), [request])
 
     def given(name: str):
         return F.col(context[name]) if name in context else F.lit(None).cast("string")
@@ -309,7 +307,7 @@ def prediction_cards(
         F.struct(*[F.col(f"pred_{t}").alias(t) for t in targets]).alias("predictions"),
         F.struct(*[F.col(f"range_{t}").alias(t) for t in targets]).alias("ranges"),
         F.col("pred_fantasy_score").alias("fantasy_score"),
-        F.coalesce("reasoning", F.lit("Reasoning:\n")).alias("reasoning"),
+        "reasoning",
         warnings.alias("warnings"),
         given("injury_status").alias("injury_status"),
     )
