@@ -94,8 +94,8 @@ def next_event_context(
     )
 
 
-def live_rows(live: DataFrame, *, entity, event_time, tiebreak, pace: DataFrame | None = None, **kw) -> DataFrame:
-    """The newest row per entity of a fresh log with its rolling values.
+def live_inputs(live: DataFrame, *, entity, pace: DataFrame | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """The rows of a fresh log with their usage, the measures that roll and those with a running mean.
 
     ``pace`` has one row per entity with ``team_pace``; without one 99.5 is used.
     """
@@ -110,6 +110,12 @@ def live_rows(live: DataFrame, *, entity, event_time, tiebreak, pace: DataFrame
         speed = F.coalesce(F.nullif("_pace", F.lit(0.0)), F.lit(99.5)) if pace is not None else F.lit(99.5)
         rows = rows.withColumn("usage_rate", usage_rate(F.coalesce("fga", F.lit(0.0)), "fta", "tov", "minutes", speed))
         measures, means = [*measures, "usage_rate"], [*means, "usage_rate"]
+    return rows, measures, means
+
+
+def live_rows(live: DataFrame, *, entity, event_time, tiebreak, pace: DataFrame | None = None, **kw) -> DataFrame:
+    """The newest row per entity of a fresh log with its rolling values."""
+    rows, measures, means = live_inputs(live, entity=entity, pace=pace)
     out = over_series(
         rows, keys=[entity], order=[event_time, tiebreak], lookback=max(SIZES), inputs=measures,
         rolling=rolling_names(measures, SIZES),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import pickle
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.joins import first_by_key
-from ..plans.outlook import live_rows
+from ..plans.outlook import SIZES, live_inputs, live_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,43 +26,257 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, files_p
     return reader.options(**options).parquet(path)
 
 
-def run_live_refresh(
-    stream: DataFrame, *, log: str, table: str, checkpoint: str, entity: str, event_time: str, tiebreak: str
-) -> None:
-    """Let the whole log of each entity that a batch touches give its live row; runs until the input is used up.
+class RecentRows(StatefulProcessor):
+    """Keeps an entity's newest rows, and counts and sums over all of its rows.
 
-    Each batch is added to the stored log, in a folder of its own named by the batch; the entities it touches are
-    computed from all of the log, whichever batch or file their rows came in, and go to a folder of the same name.
-    A batch that is run again replaces its own output and nothing else.  Rows that repeat (entity, time, tiebreak)
-    count once.
+    Rows may come in any order and again.  What was counted is remembered in blocks of
+    time, so that a row that comes again replaces its own numbers; a frame of rows reads
+    and writes the blocks that it falls into and nothing else.  A block's width is set when
+    an entity first comes, for about ``PER_BLOCK`` rows at the density of that frame.
     """
 
+    PER_BLOCK = 512
+    WIDTH = 28 * 86_400_000_000  # microseconds, for an entity that comes with one row
+
+    def __init__(self, measures: Sequence[str], tie: T.DataType, kept: int):
+        self.measures, self.tie, self.kept = list(measures), tie, kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        numbers = [T.StructField(f"m{i}", T.ArrayType(T.DoubleType())) for i in range(len(self.measures))]
+        at, tie = T.StructField("at", T.ArrayType(T.LongType())), T.StructField("tie", T.ArrayType(self.tie))
+        total = T.StructType([T.StructField("width", T.LongType()), T.StructField("n", T.LongType())])
+        total = total.add("sums", T.ArrayType(T.DoubleType())).add("nums", T.ArrayType(T.LongType()))
+        tail = T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", self.tie), T.StructField("row", T.StringType())])
+        self.blocks = handle.getMapState("blocks", T.StructType([T.StructField("block", T.LongType())]), T.StructType([at, tie, *numbers]))
+        self.total = handle.getValueState("total", total)
+        self.tail = handle.getListState("tail", tail)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        tail = {(at, tie): row for at, tie, row in self.tail.get()} if self.tail.exists() else {}
+        width, n, sums, nums = self.total.get() if self.total.exists() else (None, 0, [0.0] * len(self.measures), [0] * len(self.measures))
+        sums, nums = list(sums), list(nums)
+        for frame in rows:
+            at, tie = frame["at"].tolist(), frame["tie"].tolist()
+            if width is None:
+                span = max(at) - min(at)
+                width = max(1, span * self.PER_BLOCK // len(at)) if span else self.WIDTH
+            numbers = [[None if pd.isna(v) else float(v) for v in frame[f"m{i}"].tolist()] for i in range(len(self.measures))]
+            fresh: dict[int, dict] = {}
+            for place, *values in zip(zip(at, tie, strict=True), *numbers, strict=True):
+                fresh.setdefault(place[0] // width, {})[place] = values
+            for block, new in fresh.items():
+                held = self._block(block)
+                for place, values in new.items():
+                    old = held.get(place)
+                    n += old is None
+                    for i, value in enumerate(values):
+                        was = None if old is None else old[i]
+                        sums[i] += (value or 0.0) - (was or 0.0)
+                        nums[i] += (value is not None) - (was is not None)
+                    held[place] = values
+                places = list(held)
+                columns = [[held[place][i] for place in places] for i in range(len(self.measures))]
+                self.blocks.updateValue((block,), ([p[0] for p in places], [p[1] for p in places], *columns))
+            tail |= zip(zip(at, tie, strict=True), frame["row"].tolist(), strict=True)
+            tail = dict(sorted(tail.items(), key=lambda item: item[0])[-self.kept :])
+        self.total.update((width, n, sums, nums))
+        self.tail.put([(at, tie, row) for (at, tie), row in tail.items()])
+        yield pd.DataFrame({"key": [key[0]], "rows": [list(tail.values())], "n": [n], "sums": [sums], "nums": [nums]})
+
+    def _block(self, block: int) -> dict:
+        if not self.blocks.containsKey((block,)):
+            return {}
+        at, tie, *numbers = self.blocks.getValue((block,))
+        return {place: list(values) for place, *values in zip(zip(at, tie, strict=True), *numbers, strict=True)}
+
+    def close(self) -> None:
+        pass
+
+
+def recent_state(stream: DataFrame, *, entity: str, event_time: str, tiebreak: str) -> tuple[DataFrame, T.StructType, list[str]]:
+    """Per entity that a batch touches: its newest rows as JSON, and number and sums of all its rows so far.
+
+    Also the schema of the rows and the names of the summed measures.  Rows without an entity
+    or a time belong to no series and are left out.  Needs the RocksDB state store.
+    """
+    rows, _, means = live_inputs(stream.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull()), entity=entity)
+    kinds, row = {f.name: f.dataType for f in rows.schema.fields}, rows.schema
+    told = rows.select(
+        entity, F.unix_micros(F.col(event_time).cast("timestamp")).alias("at"), F.col(tiebreak).alias("tie"),
+        F.to_json(F.struct(*rows.columns)).alias("row"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(means)],
+    )
+    out = T.StructType([T.StructField("key", kinds[entity]), T.StructField("rows", T.ArrayType(T.StringType()))])
+    out = out.add("n", T.LongType()).add("sums", T.ArrayType(T.DoubleType())).add("nums", T.ArrayType(T.LongType()))
+    state = told.groupBy(entity).transformWithStateInPandas(
+        statefulProcessor=RecentRows(means, kinds[tiebreak], max(SIZES) + 1), outputStructType=out,
+        outputMode="Update", timeMode="None",
+    )
+    return state, row, means
+
+
+def rows_of_state(state: DataFrame, row: T.StructType, means: Sequence[str], *, entity, event_time, tiebreak) -> DataFrame:
+    """The live row of each entity in ``state``: rolling values from its newest rows, running means from its sums."""
+    tails = state.select("n", "sums", "nums", F.explode("rows").alias("row"))
+    tails = tails.select("n", "sums", "nums", F.from_json("row", row).alias("row")).select("row.*", "n", "sums", "nums")
+    totals = tails.withColumnsRenamed({"n": "_n", "sums": "_sums", "nums": "_nums"})
+    live = live_rows(totals, entity=entity, event_time=event_time, tiebreak=tiebreak)
+    # The newest row is in the sums and not in its own means.
+    earlier = {
+        f"season_avg_{m}": (F.get("_sums", F.lit(i)) - F.coalesce(F.col(m).cast("double"), F.lit(0.0)))
+        / F.nullif(F.get("_nums", F.lit(i)) - F.col(m).isNotNull().cast("bigint"), F.lit(0))
+        for i, m in enumerate(means)
+    }
+    return live.withColumns(earlier | {"games_played_season": F.col("_n") - 1}).drop("_n", "_sums", "_nums")
+
+
+def run_live_refresh(stream: DataFrame, *, table: str, checkpoint: str, entity: str, event_time: str, tiebreak: str) -> None:
+    """Keep a table of live rows, one per entity, from a log that arrives in any order; runs until the input is used up.
+
+    All that a batch needs of earlier ones stands in the state of the entities it touches, so
+    its work depends on its own rows, not on the length of the log.  Rows that repeat (entity,
+    time, tiebreak) count once, the last to come.  Live rows of a batch go to a folder of its
+    own: a batch that is run again replaces its own output and nothing else.
+    """
+    order = {"entity": entity, "event_time": event_time, "tiebreak": tiebreak}
+    state, row, means = recent_state(stream, **order)
+
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # A final batch without rows only moves the watermark: it must not write.
-        if batch.isEmpty():
-            return
-        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        stored = spark.read.parquet(log).where(F.col("batch") <= batch_id)
-        touched = stored.where(F.col("batch") == batch_id).select(entity).distinct()
-        rows = stored.join(touched, entity, "left_semi")
-        newest = first_by_key(rows, [entity, event_time, tiebreak], [F.col("batch").desc()]).drop("batch")
-        live = live_rows(newest, entity=entity, event_time=event_time, tiebreak=tiebreak)
-        live.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        touched = batch.persist()
+        try:
+            if touched.isEmpty():
+                return
+            live = rows_of_state(touched, row, means, **order)
+            live.write.mode("overwrite").parquet(f"{table}/batches/batch={batch_id}")
+        finally:
+            touched.unpersist()
+        compact_live_table(batch.sparkSession, table, entity=entity)
 
     query = (
-        stream.writeStream.foreachBatch(refresh)
+        state.writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
 
 
+def _numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers of the complete folders ``name=<number>``, in order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    paths = [s.getPath() for s in files.listStatus(at) if s.isDirectory()]
+    whole = [p for p in paths if p.getName().startswith(f"{name}=") and files.exists(p.suffix("/_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in whole)
+
+
+def _parts(spark: SparkSession, table: str) -> tuple[int | None, list[int]]:
+    """The last batch that the newest snapshot holds, and the batches after it."""
+    upto = (_numbered(spark, f"{table}/snapshots", "upto") or [None])[-1]
+    return upto, [b for b in _numbered(spark, f"{table}/batches", "batch") if upto is None or b > upto]
+
+
 def live_table(spark: SparkSession, table: str, *, entity: str) -> DataFrame:
     """The live rows: those of the last batch that touched each entity."""
-    rows = spark.read.parquet(table)
-    return first_by_key(rows, [entity], [F.col("batch").desc()]).drop("batch")
+    upto, batches = _parts(spark, table)
+    parts = [] if upto is None else [spark.read.parquet(f"{table}/snapshots/upto={upto}").withColumn("_batch", F.lit(-1))]
+    if batches:
+        paths = [f"{table}/batches/batch={b}" for b in batches]
+        rows = spark.read.option("basePath", f"{table}/batches").parquet(*paths).withColumnRenamed("batch", "_batch")
+        parts.append(rows.withColumn("_batch", F.col("_batch").cast("int")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return first_by_key(rows, [entity], [F.col("_batch").desc()]).drop("_batch")
+
+
+def compact_live_table(spark: SparkSession, table: str, *, entity: str) -> bool:
+    """Fold the batches since the last snapshot into a new one, sorted by entity, once they hold as many rows as it.
+
+    Each row of a batch thus pays for a bounded number of rows rewritten, however many batches
+    come.  A snapshot counts from the moment it is complete; the one before it and its batches
+    are kept for readers that began earlier, older ones are removed.
+    """
+    upto, batches = _parts(spark, table)
+    count = lambda *paths: spark.read.parquet(*paths).count()
+    fresh = count(*[f"{table}/batches/batch={b}" for b in batches]) if batches else 0
+    if not batches or len(batches) < 2 or (upto is not None and fresh < count(f"{table}/snapshots/upto={upto}")):
+        return False
+    rows = live_table(spark, table, entity=entity)
+    path = f"{table}/snapshots/upto={batches[-1]}"
+    rows.repartitionByRange(entity).sortWithinPartitions(entity).write.mode("overwrite").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if upto is not None:
+        for b in _numbered(spark, f"{table}/batches", "batch"):
+            if b <= upto:
+                files.delete(hadoop(f"{table}/batches/batch={b}"), True)
+        for s in _numbered(spark, f"{table}/snapshots", "upto"):
+            if s < upto:
+                files.delete(hadoop(f"{table}/snapshots/upto={s}"), True)
+    return True
+
+
+CHUNK = 65_536  # rows of an entity held at a time
+STEP = 1_024  # rows of each sorted run held while runs are merged
+
+
+def in_order(frames: Iterator[pd.DataFrame], order: Sequence[str], chunk: int = CHUNK, step: int = STEP) -> Iterator[pd.DataFrame]:
+    """The rows of the frames, sorted, in frames of bounded size.
+
+    Up to ``chunk`` rows are sorted in memory.  More are written as sorted runs to a file that
+    goes with the task, and merged: what every run has up to the smallest of the runs' last
+    held rows is complete and can be handed on.
+    """
+    order = list(order)
+    with tempfile.TemporaryFile() as file:
+        runs: list[list[int]] = []
+        held: list[pd.DataFrame] = []
+
+        def write() -> None:
+            whole = pd.concat(held, ignore_index=True).sort_values(order, ignore_index=True)
+            places = []
+            for start in range(0, len(whole), step):
+                places.append(file.tell())
+                pickle.dump(whole.iloc[start : start + step], file, protocol=5)
+            runs.append(places)
+            held.clear()
+
+        for frame in frames:
+            for start in range(0, len(frame), chunk):
+                held.append(frame.iloc[start : start + chunk])
+                if sum(map(len, held)) >= chunk:
+                    write()
+        if not runs:
+            if held:
+                yield pd.concat(held, ignore_index=True).sort_values(order, ignore_index=True)
+            return
+        if held:
+            write()
+
+        def read(run: int) -> pd.DataFrame | None:
+            if not runs[run]:
+                return None
+            file.seek(runs[run].pop(0))
+            return pickle.load(file)
+
+        heads = {run: read(run) for run in range(len(runs))}
+        while heads:
+            bound = min(tuple(head[order].iloc[-1]) for run, head in heads.items() if runs[run]) if any(runs[r] for r in heads) else None
+            ready = []
+            for run, head in list(heads.items()):
+                if bound is None:
+                    cut = len(head)
+                else:
+                    keys = list(zip(*[head[c] for c in order], strict=True))
+                    cut = bisect.bisect_right(keys, bound)
+                ready.append(head.iloc[:cut])
+                rest = head.iloc[cut:] if cut < len(head) else read(run)
+                if rest is None:
+                    del heads[run]
+                else:
+                    heads[run] = rest
+            yield pd.concat(ready, ignore_index=True).sort_values(order, ignore_index=True)
 
 
 class RollingMeans(StatefulProcessor):
@@ -72,18 +289,19 @@ class RollingMeans(StatefulProcessor):
         self.last = handle.getListState("last", self.kept)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows)).sort_values(self.order)
-        held = pd.DataFrame(list(self.last.get()) if self.last.exists() else [], columns=self.kept.fieldNames())
-        values = pd.concat([held.astype(float), fresh[self.measures].astype(float)], ignore_index=True)
-        out = fresh[[self.order[1]]].reset_index(drop=True)
-        for m in self.measures:
-            for n in self.sizes:
-                means = values[m].shift(1).rolling(n, min_periods=1).mean()
-                out[f"rolling_last{n}_{m}"] = means.iloc[len(held) :].to_numpy()
-        tail = values.tail(max(self.sizes))
+        names = self.kept.fieldNames()
+        tail = pd.DataFrame(list(self.last.get()) if self.last.exists() else [], columns=names).astype(float)
+        for fresh in in_order(rows, self.order):
+            values = pd.concat([tail, fresh[self.measures].astype(float)], ignore_index=True) if len(tail) else fresh[self.measures].astype(float)
+            out = fresh[[self.order[1]]].reset_index(drop=True)
+            for m in self.measures:
+                for n in self.sizes:
+                    means = values[m].shift(1).rolling(n, min_periods=1).mean()
+                    out[f"rolling_last{n}_{m}"] = means.iloc[len(tail) :].to_numpy()
+            tail = values.tail(max(self.sizes))
+            out.insert(0, "key", key[0])
+            yield out.astype(object).where(out.notna(), None)
         self.last.put([tuple(None if pd.isna(v) else float(v) for v in r) for r in tail.itertuples(index=False)])
-        out.insert(0, "key", key[0])
-        yield out.astype(object).where(out.notna(), None)
 
     def close(self) -> None:
         pass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from formline import bindings as B
@@ -13,6 +15,18 @@ from . import EVENTS, query, rounded, sql
 SHOWN = ("pts", "minutes")
 
 
+@contextmanager
+def rocksdb(spark):
+    """The state store that stateful processors need, for the streams started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, L.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @query(
     "str_live_refresh",
     sql(
@@ -33,14 +47,15 @@ SHOWN = ("pts", "minutes")
     ),
 )
 def live_refresh(spark, sf):
-    """Half the events of everybody, the logs of half the players in many files, then the rest."""
-    source, log, table = new_path(spark, "fresh"), new_path(spark, "log"), new_path(spark, "live")
+    """A log in ten batches, out of order; a part of it came before, with other values."""
+    source, table = new_path(spark, "fresh"), new_path(spark, "live")
     logs = B.game_logs(spark, sf)
-    odd = (F.col("game_id") % 2 == 1) & (F.col("player_id") % 2 == 1)
-    for part in (logs.where("game_id % 2 = 0"), logs.where("player_id % 2 = 0"), logs.where(odd)):
-        part.repartition(3, "game_id").write.mode("append").parquet(source)
-    stream = L.file_stream(spark, source, logs.schema, files_per_trigger=2)
-    L.run_live_refresh(stream, log=log, table=table, checkpoint=new_path(spark, "check"), **EVENTS)
+    logs.where("game_id % 10 = 3").withColumn("pts", F.col("pts") + 1).coalesce(1).write.parquet(source)
+    dealt = logs.withColumn("_part", F.pmod(F.xxhash64("game_id"), F.lit(9)))
+    dealt.repartitionByRange(9, "_part").drop("_part").write.mode("append").parquet(source)
+    stream = L.file_stream(spark, source, logs.schema)
+    with rocksdb(spark):
+        L.run_live_refresh(stream, table=table, checkpoint=new_path(spark, "check"), **EVENTS)
     rows = L.live_table(spark, table, entity="player_id")
     names = [f"rolling_last{n}_{m}" for m in SHOWN for n in (3, 10)]
     return rounded(rows, "player_id", "game_id", "games_played_season", *names, "season_avg_pts", digits=9)
@@ -69,11 +84,7 @@ def rolling_state(spark, sf):
     parts = (at < low, (at >= low) & (at < high), at >= high - 86_400)
     for part in parts:
         logs.where(part).coalesce(1).write.mode("append").parquet(source)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", L.ROCKSDB)
-    try:
+    with rocksdb(spark):
         stream = L.rolling_state(L.file_stream(spark, source, logs.schema), measures=SHOWN, **EVENTS)
         L.run_to_table(stream, path=path, checkpoint=new_path(spark, "check"))
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return rounded(spark.read.parquet(path))

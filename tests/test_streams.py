@@ -1,5 +1,10 @@
 """Streams over several batches."""
 
+import os
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,22 +44,81 @@ def test_rolling_state_drops_repeats_and_late_rows(spark, tmp_path, store):
     assert got == {0: (None, None), 1: (2.0, 2.0), 2: (3.0, 3.0), 3: (4.0, 3.0), 4: (8.0, 6.0), 9: (None, None)}
 
 
-def test_live_refresh_replaces_entities(spark, tmp_path):
+def test_live_refresh_replaces_entities(spark, tmp_path, store):
     source, table = str(tmp_path / "in"), str(tmp_path / "live")
     write(spark, source, [(1, 0, 0, 2.0), (1, 1, 1, 4.0), (2, 0, 5, 7.0), (2, 1, 6, 9.0)])
     schema = write(spark, source, [(1, 0, 0, 2.0), (1, 1, 1, 4.0), (1, 2, 2, 6.0)])
     stream = L.file_stream(spark, source, schema).withColumnRenamed("v", "pts")
-    L.run_live_refresh(stream, log=str(tmp_path / "log"), table=table, checkpoint=str(tmp_path / "check"), **SERIES)
+    L.run_live_refresh(stream, table=table, checkpoint=str(tmp_path / "check"), **SERIES)
     rows = {r["e"]: (r["k"], r["rolling_last3_pts"]) for r in L.live_table(spark, table, entity="e").collect()}
     assert rows == {1: (2, 3.0), 2: (6, 7.0)}
 
 
-def test_live_refresh_over_a_log_in_many_files(spark, tmp_path):
+def test_live_refresh_over_a_log_in_many_files(spark, tmp_path, store):
     """Thirteen events of one entity over three files and two batches count together."""
     source, table = str(tmp_path / "in"), str(tmp_path / "live")
     for part in (range(0, 13, 3), range(1, 13, 3), range(2, 13, 3)):
         schema = write(spark, source, [(1, d, d, float(d)) for d in part])
     stream = L.file_stream(spark, source, schema, files_per_trigger=2).withColumnRenamed("v", "pts")
-    L.run_live_refresh(stream, log=str(tmp_path / "log"), table=table, checkpoint=str(tmp_path / "check"), **SERIES)
+    L.run_live_refresh(stream, table=table, checkpoint=str(tmp_path / "check"), **SERIES)
     row = L.live_table(spark, table, entity="e").first()
     assert (row["k"], row["games_played_season"], row["rolling_last10_pts"]) == (12, 12, 6.5)
+
+
+def test_live_refresh_over_many_batches_equals_the_whole_log(spark, tmp_path, store):
+    """Late, repeated and corrected rows, over more batches than a snapshot holds."""
+    rng = np.random.default_rng(5)
+    source, table, check = (str(tmp_path / name) for name in ("in", "live", "check"))
+    rows, kept = [(int(e), int(d), int(k), float(k % 7)) for k, (e, d) in enumerate(rng.integers(0, [3, 40], (60, 2)))], {}
+    for batch in range(6):
+        part = [rows[i] for i in rng.permutation(60)[:10]] if batch < 5 else rows
+        part = [(e, d, k, v + batch) for e, d, k, v in part]
+        kept |= {(e, d, k): v for e, d, k, v in part}
+        schema = write(spark, source, part)
+        if batch % 2:  # a query that starts again goes on from its state
+            stream = L.file_stream(spark, source, schema).withColumnRenamed("v", "pts")
+            L.run_live_refresh(stream, table=table, checkpoint=check, **SERIES)
+    got = {r["e"]: r for r in L.live_table(spark, table, entity="e").collect()}
+    for e in range(3):
+        series = [v for (own, _, _), v in sorted(kept.items()) if own == e]
+        row = got[e]
+        assert row["games_played_season"] == len(series) - 1 and row["pts"] == series[-1]
+        assert row["season_avg_pts"] == pytest.approx(np.mean(series[:-1]))
+        for n in (3, 5, 10):
+            assert row[f"rolling_last{n}_pts"] == pytest.approx(np.mean(series[:-1][-n:]))
+    # Snapshots have taken in older batches, whose folders are gone.
+    assert L._numbered(spark, f"{table}/snapshots", "upto")
+    assert len(os.listdir(f"{table}/batches")) < 6
+
+
+def test_a_hot_entity_is_ordered_in_bounded_memory():
+    rng = np.random.default_rng(6)
+    n = 100_000
+    at, tie = rng.integers(0, 5_000, n), rng.permutation(n)
+
+    def frames(rows):
+        for start in range(0, rows, 10_000):
+            part = slice(start, min(rows, start + 10_000))
+            yield pd.DataFrame({"t": at[part], "k": tie[part], "v": at[part] * 0.5})
+
+    peaks = []
+    for rows in (n // 4, n):
+        tracemalloc.start()
+        last, seen = (-1, -1), 0
+        for part in L.in_order(frames(rows), ["t", "k"], chunk=5_000, step=64):
+            keys = list(zip(part["t"], part["k"], strict=True))
+            assert last < keys[0] and all(a < b for a, b in zip(keys, keys[1:], strict=False)) and len(part) <= 10_000
+            last, seen = keys[-1], seen + len(part)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert seen == rows
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 100])
+def test_runs_with_ties_missing_and_few_rows(size):
+    rng = np.random.default_rng(size)
+    whole = pd.DataFrame({"t": rng.integers(0, 3, size), "k": rng.integers(0, 4, size)})
+    parts = [whole.iloc[i : i + 13] for i in range(0, size, 13)]
+    got = list(L.in_order(iter(parts), ["t", "k"], chunk=16, step=3))
+    assert [tuple(r) for p in got for r in p.to_numpy()] == sorted(tuple(r) for r in whole.to_numpy())
