@@ -218,7 +218,7 @@ def compact_live_table(spark: SparkSession, table: str, *, entity: str) -> bool:
 
 
 CHUNK = 65_536  # rows of an entity held at a time
-STEP = 1_024  # rows of each sorted run held while runs are merged
+STEP = 256  # rows of a sorted run read at least at once; beyond CHUNK / STEP runs the memory grows by that a run
 
 
 def in_order(frames: Iterator[pd.DataFrame], order: Sequence[str], chunk: int = CHUNK, step: int = STEP) -> Iterator[pd.DataFrame]:
@@ -254,28 +254,34 @@ def in_order(frames: Iterator[pd.DataFrame], order: Sequence[str], chunk: int =
         if held:
             write()
 
-        def read(run: int) -> pd.DataFrame | None:
+        def read(run: int) -> list | None:
+            """The next block of a run, its sort keys, and how many of its rows are done."""
             if not runs[run]:
                 return None
-            file.seek(runs[run].pop(0))
-            return pickle.load(file)
-
+            pieces = []
+            for place in runs[run][:at_once]:
+                file.seek(place)
+                pieces.append(pickle.load(file))
+            del runs[run][:at_once]
+            block = pd.concat(pieces, ignore_index=True)
+            return [block, list(zip(*[block[c].tolist() for c in order], strict=True)), 0]
+
+        at_once = max(1, chunk // len(runs) // step)  # all runs together hold one chunk
         heads = {run: read(run) for run in range(len(runs))}
         while heads:
-            bound = min(tuple(head[order].iloc[-1]) for run, head in heads.items() if runs[run]) if any(runs[r] for r in heads) else None
+            more = [head[1][-1] for run, head in heads.items() if runs[run]]
+            bound = min(more) if more else None
             ready = []
             for run, head in list(heads.items()):
-                if bound is None:
-                    cut = len(head)
-                else:
-                    keys = list(zip(*[head[c] for c in order], strict=True))
-                    cut = bisect.bisect_right(keys, bound)
-                ready.append(head.iloc[:cut])
-                rest = head.iloc[cut:] if cut < len(head) else read(run)
-                if rest is None:
-                    del heads[run]
-                else:
-                    heads[run] = rest
+                block, keys, done = head
+                cut = len(keys) if bound is None else bisect.bisect_right(keys, bound, lo=done)
+                if cut > done:
+                    ready.append(block.iloc[done:cut])
+                    head[2] = cut
+                if cut == len(keys):
+                    heads[run] = read(run)
+                    if heads[run] is None:
+                        del heads[run]
             yield pd.concat(ready, ignore_index=True).sort_values(order, ignore_index=True)
 
 

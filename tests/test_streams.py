@@ -105,7 +105,7 @@ def test_a_hot_entity_is_ordered_in_bounded_memory():
     for rows in (n // 4, n):
         tracemalloc.start()
         last, seen = (-1, -1), 0
-        for part in L.in_order(frames(rows), ["t", "k"], chunk=5_000, step=64):
+        for part in L.in_order(frames(rows), ["t", "k"], chunk=5_000, step=50):
             keys = list(zip(part["t"], part["k"], strict=True))
             assert last < keys[0] and all(a < b for a, b in zip(keys, keys[1:], strict=False)) and len(part) <= 10_000
             last, seen = keys[-1], seen + len(part)
