@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, flag, won_flag
 from .joins import lookup_join
-from .series import value_ladder
+from .series import over_series, value_ladder
 from .windows import last_n
 
 # Average points per position used to scale ratings.
@@ -33,15 +33,32 @@ def entity_counts(df: DataFrame, *, name: str, event_time: str) -> DataFrame:
     )
 
 
-def home_win_rate(df, *, side: str, home: str, result: str, default: float = 0.575, source=None) -> DataFrame:
-    """Add each side's share of won home events (all rows of ``source``, else of ``df``, count)."""
+def home_win_rate(
+    df, *, side: str, home: str, result: str, default: float = 0.575, source=None, as_of: str | None = None, **kw
+) -> DataFrame:
+    """Add each side's share of won home events (all rows of ``source``, else of ``df``, count).
+
+    With ``as_of``, the name of a date or time column, only events before the row's own date
+    count: all rows of one date see the same past.  Wins and events are added up per side and
+    date first, so only those are put in order, hot sides in slices.
+    """
     rows = df if source is None else source
-    rates = (
-        rows.where((F.col(home) == 1) & F.col(side).isNotNull())
-        .groupBy(side)
-        .agg(F.avg(won_flag(result).cast("double")).alias("_rate"))
-    )
-    out = lookup_join(df, rates, [side])
+    at_home = F.coalesce(F.col(home) == 1, F.lit(False))
+    won = won_flag(result).cast("double")
+    if as_of is None:
+        rates = rows.where(at_home & F.col(side).isNotNull()).groupBy(side).agg(F.avg(won).alias("_rate"))
+        out = lookup_join(df, rates, [side])
+    else:
+        day = F.to_date(as_of)
+        counted = rows.select(side, day.alias("_day"), F.when(at_home, won).alias("_won"), F.when(at_home & won.isNotNull(), 1).alias("_one"))
+        if source is not None:  # the days on which the rate is asked for
+            asked = df.select(side, day.alias("_day"), F.lit(None).cast("double").alias("_won"), F.lit(None).cast("int").alias("_one"))
+            counted = counted.unionByName(asked)
+        days = counted.where(F.col(side).isNotNull() & F.col("_day").isNotNull()).groupBy(side, "_day")
+        days = days.agg(F.sum("_won").alias("_won"), F.sum("_one").alias("_one"))
+        past = over_series(days, keys=[side], order=["_day"], running={"_wins": F.col("_won"), "_games": F.col("_one")}, **kw)
+        rates = past.select(side, "_day", (F.col("_wins") / F.col("_games")).alias("_rate"))
+        out = lookup_join(df.withColumn("_day", day), rates, [side, "_day"]).drop("_day")
     return out.withColumn("home_court_factor", F.bround(F.coalesce("_rate", F.lit(default)), 3)).drop("_rate")
 
 
@@ -65,6 +82,34 @@ def group_medians(df: DataFrame, *, group: Sequence[str], value: str, name: str
     return placed.groupBy(*group).agg((middle / F.lit(2.0)).alias(name))
 
 
+def prefix_medians(df: DataFrame, columns: Sequence[str], *, part: str, n_parts: int, **kw) -> DataFrame:
+    """``column, part, median``: exact medians over the rows of all smaller parts, for parts 1 to ``n_parts``.
+
+    All columns and all expanding prefixes come out of one grouped pass: a value is counted
+    once per prefix, the counts run along the values of each column, and the middle is picked.
+    Missing values (null, NaN) do not count; a column without values has no row.
+    """
+    parts = range(1, n_parts + 1)
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.col(part).alias("_part"), F.explode(each).alias("_e")).select("_part", "_e.*")
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = long.groupBy("column", "value").agg(*[F.count_if(F.col("_part") < p).alias(f"n{p}") for p in parts])
+    ladder = over_series(counts, keys=["column"], order=["value"], running={f"s{p}": F.col(f"n{p}") for p in parts}, **kw)
+    totals = counts.groupBy("column").agg(*[F.sum(f"n{p}").alias(f"t{p}") for p in parts])
+    placed = lookup_join(ladder, totals, ["column"])
+
+    def middle(p: int) -> Column:
+        below = F.coalesce(f"s{p}", F.lit(0))
+
+        def at(place: Column) -> Column:
+            return F.max(F.when((below <= place) & (place < below + F.col(f"n{p}")), F.col("value")))
+
+        return (at(F.floor((F.col(f"t{p}") - 1) / 2)) + at(F.floor(F.col(f"t{p}") / 2))) / F.lit(2.0)
+
+    found = placed.groupBy("column").agg(F.array(*[F.struct(F.lit(p).alias("part"), middle(p).alias("median")) for p in parts]).alias("m"))
+    return found.select("column", F.explode("m").alias("m")).select("column", "m.part", "m.median").where(F.col("median").isNotNull())
+
+
 def group_median_fill(
     df: DataFrame, *, group: Sequence[str], value: str, exact: bool = True, source: DataFrame | None = None, **kw
 ) -> DataFrame:

@@ -64,6 +64,26 @@ def stored(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, folder: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def numbered_folders(spark: SparkSession, folder: str, name: str, mark: str = "_SUCCESS") -> list[int]:
+    """The numbers of the complete folders ``name=<number>`` in ``folder``, in order; ``mark`` is what tells."""
+    at, files = _files(spark, folder)
+    if not files.exists(at):
+        return []
+    paths = [s.getPath() for s in files.listStatus(at) if s.isDirectory()]
+    whole = [p for p in paths if p.getName().startswith(f"{name}=") and files.exists(p.suffix(f"/{mark}"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in whole)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    at, files = _files(spark, folder)
+    files.delete(at, True)
+
+
 _stages: dict[tuple, object] = {}
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.joins import first_by_key
 from ..plans.outlook import SIZES, live_inputs, live_rows
+from ..session import numbered_folders, remove_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -161,21 +162,10 @@ def run_live_refresh(stream: DataFrame, *, table: str, checkpoint: str, entity:
     query.awaitTermination()
 
 
-def _numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
-    """The numbers of the complete folders ``name=<number>``, in order."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(at):
-        return []
-    paths = [s.getPath() for s in files.listStatus(at) if s.isDirectory()]
-    whole = [p for p in paths if p.getName().startswith(f"{name}=") and files.exists(p.suffix("/_SUCCESS"))]
-    return sorted(int(p.getName().partition("=")[2]) for p in whole)
-
-
 def _parts(spark: SparkSession, table: str) -> tuple[int | None, list[int]]:
     """The last batch that the newest snapshot holds, and the batches after it."""
-    upto = (_numbered(spark, f"{table}/snapshots", "upto") or [None])[-1]
-    return upto, [b for b in _numbered(spark, f"{table}/batches", "batch") if upto is None or b > upto]
+    upto = (numbered_folders(spark, f"{table}/snapshots", "upto") or [None])[-1]
+    return upto, [b for b in numbered_folders(spark, f"{table}/batches", "batch") if upto is None or b > upto]
 
 
 def live_table(spark: SparkSession, table: str, *, entity: str) -> DataFrame:
@@ -205,15 +195,13 @@ def compact_live_table(spark: SparkSession, table: str, *, entity: str) -> bool:
     rows = live_table(spark, table, entity=entity)
     path = f"{table}/snapshots/upto={batches[-1]}"
     rows.repartitionByRange(entity).sortWithinPartitions(entity).write.mode("overwrite").parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if upto is not None:
-        for b in _numbered(spark, f"{table}/batches", "batch"):
+        for b in numbered_folders(spark, f"{table}/batches", "batch"):
             if b <= upto:
-                files.delete(hadoop(f"{table}/batches/batch={b}"), True)
-        for s in _numbered(spark, f"{table}/snapshots", "upto"):
+                remove_folder(spark, f"{table}/batches/batch={b}")
+        for s in numbered_folders(spark, f"{table}/snapshots", "upto"):
             if s < upto:
-                files.delete(hadoop(f"{table}/snapshots/upto={s}"), True)
+                remove_folder(spark, f"{table}/snapshots/upto={s}")
     return True
 
 

@@ -40,6 +40,25 @@ def home_win_rate(spark, sf):
     return rows.select("game_id", "home_court_factor")
 
 
+@query(
+    "agg_home_win_rate_as_of",
+    sql(
+        """
+select s.game_id, round_even(coalesce(r.wins / r.games, 0.575), 3) as home_court_factor from schedule s left join (
+  select team_id, day, sum(won) over w as wins, sum(n) over w as games from (
+    select team_id, game_date::date as day, sum(case when home_game = 1 then (coalesce(result, '') like 'W%')::int end)::double as won,
+      sum(case when home_game = 1 then 1 end)::double as n from schedule group by 1, 2)
+  window w as (partition by team_id order by day rows between unbounded preceding and 1 preceding)) r
+  on s.team_id = r.team_id and s.game_date::date = r.day""",
+        "schedule",
+    ),
+)
+def home_win_rate_as_of(spark, sf):
+    rows = B.schedule(spark, sf)
+    rows = A.home_win_rate(rows, side="team_id", home="home_game", result="result", as_of="game_date")
+    return rows.select("game_id", "home_court_factor")
+
+
 @query(
     "agg_group_median_fill",
     sql(

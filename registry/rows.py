@@ -358,3 +358,32 @@ def ts_split(spark, sf):
 )
 def holdout(spark, sf):
     return S.holdout_tail(B.schedule(spark, sf), ["game_date", "game_id"]).select("game_id", "is_validation")
+
+
+BY_DATE_SQL = """
+days as (select game_date::date as day, count(*) as c from schedule group by 1),
+placed as (select *, coalesce(sum(c) over (order by day rows between unbounded preceding and 1 preceding), 0)::bigint as date_start,
+  (sum(c) over ())::bigint as n, (sum(c) over () // 6)::bigint as s from days)"""
+
+
+@query(
+    "spl_time_series_split_by_date",
+    sql(
+        "select game_id, date_start, case when date_start < n - 5 * s then 0 else (date_start - (n - 5 * s)) // s + 1 end::int as "
+        "test_fold from schedule join placed on game_date::date = day",
+        "schedule", ctes=BY_DATE_SQL,
+    ),
+)
+def ts_split_by_date(spark, sf):
+    return S.time_series_split_by_date(B.schedule(spark, sf), "game_date", k=5).select("game_id", "date_start", "test_fold")
+
+
+@query(
+    "spl_holdout_tail_by_date",
+    sql(
+        "select game_id, date_start >= floor(0.85 * n) as is_validation from schedule join placed on game_date::date = day",
+        "schedule", ctes=BY_DATE_SQL,
+    ),
+)
+def holdout_by_date(spark, sf):
+    return S.holdout_tail_by_date(B.schedule(spark, sf), "game_date").select("game_id", "is_validation")

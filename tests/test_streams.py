@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from formline.session import numbered_folders
 from formline.streaming import live as L
 
 SERIES = {"entity": "e", "event_time": "t", "tiebreak": "k"}
@@ -87,7 +88,7 @@ def test_live_refresh_over_many_batches_equals_the_whole_log(spark, tmp_path, st
         for n in (3, 5, 10):
             assert row[f"rolling_last{n}_pts"] == pytest.approx(np.mean(series[:-1][-n:]))
     # Snapshots have taken in older batches, whose folders are gone.
-    assert L._numbered(spark, f"{table}/snapshots", "upto")
+    assert numbered_folders(spark, f"{table}/snapshots", "upto")
     assert len(os.listdir(f"{table}/batches")) < 6
 
 
