@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -15,6 +15,7 @@ from ..functions.columns import (
     days_into_period,
     late_flag,
     normal_probability,
+    numeric,
     phase_bucket,
     prediction_range,
     probability_blend,
@@ -194,6 +195,33 @@ def request_status(stats: Sequence[str], known: Column, n: Column) -> Column:
     )
 
 
+def recent_values(
+    asked: DataFrame, logs: DataFrame, live: DataFrame | None, stats: Sequence[str], *, entity, event_time, tiebreak, most: int
+) -> DataFrame:
+    """``entity, stat, is_live, values``: each entity's last values of the stats asked for, newest first.
+
+    ``asked`` has ``entity, stat, _most``, one row each.  Entities in ``live`` answer from it alone: there
+    missing values are left out before the last ones are taken, in ``logs`` after.
+    """
+
+    def long(rows: DataFrame, is_live: bool) -> DataFrame:
+        have = [s for s in stats if s in rows.columns]
+        each = F.array(*[F.struct(F.lit(s).alias("stat"), numeric(rows, s).alias("v")) for s in have])
+        out = rows.where(F.col(entity).isNotNull()).select(entity, event_time, tiebreak, F.explode(each).alias("_e"))
+        out = out.select(entity, event_time, tiebreak, "_e.*", F.lit(is_live).alias("is_live"))
+        return out.where(F.col("v").isNotNull()) if is_live else out
+
+    rows = long(logs, False)
+    if live is not None:
+        rows = rows.join(live.select(entity).distinct(), entity, "left_anti").unionByName(long(live, True))
+    # The largest window of all limits the groups before the shuffle, that of the entity what is collected.
+    newest = Window.partitionBy(entity, "stat").orderBy(F.col(event_time).desc_nulls_last(), F.col(tiebreak).desc())
+    rows = rows.withColumn("_newest", F.row_number().over(newest)).where(F.col("_newest") <= most)
+    rows = rows.join(asked, [entity, "stat"]).where(F.col("_newest") <= F.col("_most"))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("_newest").alias("i"), "v")))
+    return rows.groupBy(entity, "stat").agg(F.transform(listed, lambda x: x["v"]).alias("_values"))
+
+
 def probabilities(
     requests: DataFrame,
     logs: DataFrame,
@@ -203,30 +231,33 @@ def probabilities(
     tiebreak="game_id",
     stats: Sequence[str] = TARGETS,
     window: int = 20,
+    live: DataFrame | None = None,
 ) -> DataFrame:
     """Over/under probability for a table of (entity, stat, threshold, direction).
 
-    Each entity contributes one row with its last ``window`` values per stat, so a
-    request meets at most one row.  A request may have a ``window`` of its own, up to
-    that many rows.  Every request gives a row; ``status`` tells why one has no answer.
+    A request may have a ``window`` of its own, of any size.  Entities with rows in ``live``,
+    the log of the current period, are answered from it, others from ``logs``; ``source``
+    tells which, with the number of values.  An (entity, stat) contributes one row with as
+    many values as its largest request asks for.  Every request gives a row; ``status`` tells
+    why one has no answer.
     """
-    stats = [s for s in stats if s in logs.columns]
-    recent = last_n(
-        logs.where(F.col(entity).isNotNull()), entity=entity, event_time=event_time, tiebreak=tiebreak, n=window, index="_newest"
-    )
-    # At most ``window`` values are collected per entity.
-    lists = [
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(F.col("_newest").alias("i"), F.col(s).cast("double").alias("v")))), lambda x: x["v"]
-        ).alias(s)
-        for s in stats
-    ]
-    known = recent.groupBy(entity).agg(*lists).withColumn("_known", F.lit(True))
-    by_stat = F.create_map(*[x for s in stats for x in (F.lit(s), F.col(s))])
-    rows = requests.join(known, entity, "left")
-    asked = F.coalesce(F.col("window"), F.lit(window)).cast("int") if "window" in requests.columns else F.lit(window)
-    values = F.filter(F.slice(F.element_at(by_stat, F.col("stat")), F.lit(1), F.greatest(asked, F.lit(0))), lambda v: v.isNotNull())
-    rows = rows.withColumn("_values", values).withColumn("status", request_status(stats, F.col("_known"), F.size("_values")))
+    if live is not None and "trb" in live.columns and "reb" not in live.columns:
+        live = live.withColumnRenamed("trb", "reb")
+    stats = [s for s in stats if s in logs.columns or (live is not None and s in live.columns)]
+    own = F.coalesce(F.col("window").cast("int"), F.lit(window)) if "window" in requests.columns else F.lit(window)
+    rows = requests.withColumn("_window", F.greatest(own, F.lit(0)))
+    asked = rows.where(F.col("stat").isin(*stats)).groupBy(entity, "stat").agg(F.max("_window").alias("_most"))
+    most = window if "window" not in requests.columns else (asked.agg(F.max("_most")).first()[0] or 0)
+    values = recent_values(asked, logs, live, stats, entity=entity, event_time=event_time, tiebreak=tiebreak, most=most)
+    known = logs.where(F.col(entity).isNotNull()).select(entity, F.lit(False).alias("_live"))
+    if live is not None:
+        known = known.unionByName(live.where(F.col(entity).isNotNull()).select(entity, F.lit(True).alias("_live")))
+    known = known.groupBy(entity).agg(F.max("_live").alias("_live"))
+    rows = lookup_join(lookup_join(rows, known, [entity]), values, [entity, "stat"])
+    none = F.array().cast("array<double>")
+    held = F.filter(F.slice(F.coalesce("_values", none), F.lit(1), F.col("_window")), lambda v: v.isNotNull())
+    rows = rows.withColumn("_values", held)
+    rows = rows.withColumn("status", request_status(stats, F.col("_live").isNotNull(), F.size("_values")))
     n = F.when(F.col("status") == "ok", F.size("_values").cast("bigint"))
     total = F.aggregate("_values", F.lit(0.0), lambda got, v: got + v)
     rows = rows.withColumn("sample_size", n).withColumn("stat_mean", total / F.col("sample_size"))
@@ -239,7 +270,10 @@ def probabilities(
     blended = probability_blend("hit_rate", "normal_prob", "sample_size")
     rows = rows.withColumn("probability", F.when(F.col("status") == "ok", blended))
     rows = rows.withColumn("normal_prob", F.when(F.col("status") == "ok", F.col("normal_prob")))
-    found = ("probability", "hit_rate", "normal_prob", "sample_size", "stat_mean", "stat_std", "status")
+    kind = F.when(F.col("_live"), "current season").otherwise("training data")
+    told = F.concat(kind, F.lit(" ("), F.col("sample_size").cast("string"), F.lit(" games)"))
+    rows = rows.withColumn("source", told)
+    found = ("probability", "hit_rate", "normal_prob", "sample_size", "stat_mean", "stat_std", "status", "source")
     return rows.select(*requests.columns, *found)
 
 

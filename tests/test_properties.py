@@ -137,7 +137,7 @@ def test_contributions_equal_brute_force(spark, sf, tmp_path):
 
 
 def test_card_is_complete(spark, sf):
-    cards = registry.QUERIES["pip_prediction_card"](spark, sf)
+    cards = RM.cards(spark, sf)
     rows = cards.collect()
     assert len(rows) == B.game_logs(spark, sf).select("player_id").distinct().join(
         RM.feature_table(spark, sf), "player_id", "left_semi"
