@@ -133,7 +133,12 @@ def league_mean_scale(stats, *, period, rival, rating, categories=POSITION_POINT
 
 
 def profile(df, *, entity, period, event_time, measures: Sequence[str]) -> DataFrame:
-    """Rows, entities, periods, time range and mean/min/max per measure, as one row."""
+    """Rows, entities, periods, time range and mean/min/max per measure, as one row.
+
+    The periods are made distinct before the shuffle, so that only they are gathered.
+    """
+    periods = df.select(F.col(period).alias("p")).where(F.col("p").isNotNull()).distinct()
+    listed = periods.agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p.cast("string")), ",")).scalar()
     stats = [
         f(m).cast("double").alias(f"{m}_{tag}")
         for m in measures
@@ -143,7 +148,7 @@ def profile(df, *, entity, period, event_time, measures: Sequence[str]) -> DataF
         F.count("*").alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
         F.count_distinct(entity).alias("n_entities"),
-        F.array_join(F.transform(F.sort_array(F.collect_set(period)), lambda p: p.cast("string")), ",").alias("periods"),
+        F.first(listed).alias("periods"),
         F.min(event_time).alias("first_event"),
         F.max(event_time).alias("last_event"),
         *stats,

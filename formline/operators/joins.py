@@ -241,22 +241,25 @@ def live_overlay(base, live, *, entity, period=None, period_value=None) -> DataF
     return out.withColumns(values).select(*base.columns)
 
 
-def context_with_fallback(events, stats, *, rival, side, code, def_rating=113.5, def_rank=15, pace=99.5) -> DataFrame:
-    """Rival's rating and rank and the side's pace, with fixed values where unknown."""
+def context_with_fallback(
+    events, stats, *, rival, side, code, period: str | None = None, def_rating=113.5, def_rank=15, pace=99.5
+) -> DataFrame:
+    """Rival's rating and rank and the side's pace, with fixed values where unknown.
+
+    ``stats`` has one row per code, or, with ``period``, one per code and period of the event.
+    """
+    of = [F.col(period).alias("_period")] if period else []
     rivals = stats.select(
-        F.col(code).alias("_rival"),
-        F.col("def_rating").alias("_rating"),
-        F.col("def_rank").alias("_rank"),
-    )
-    sides = stats.select(F.col(code).alias("_side"), F.col("pace").alias("_pace"))
-    joined = events.join(rivals, F.col(rival) == F.col("_rival"), "left").join(
-        sides, code_normalise(side, SHORT_CODES) == F.col("_side"), "left"
+        F.col(code).alias("_rival"), *of, F.col("def_rating").alias("_rating"), F.col("def_rank").alias("_rank")
     )
+    sides = stats.select(F.col(code).alias("_side"), *[c.alias("_own_period") for c in of], F.col("pace").alias("_pace"))
+    same, own = F.col(rival) == F.col("_rival"), code_normalise(side, SHORT_CODES) == F.col("_side")
+    if period:
+        same, own = same & (F.col(period) == F.col("_period")), own & (F.col(period) == F.col("_own_period"))
+    joined = events.join(rivals, same, "left").join(sides, own, "left")
     return joined.select(
         *events.columns,
         F.bround(F.coalesce("_rating", F.lit(def_rating)), 1).alias("opp_def_rating"),
         F.coalesce("_rank", F.lit(def_rank)).cast("int").alias("opp_def_rank"),
         F.bround(F.coalesce("_pace", F.lit(pace)), 1).alias("team_pace"),
     )
-
-

@@ -404,37 +404,43 @@ def live_overlay(spark, sf):
     return rounded(J.live_overlay(base, live, entity="player_id", period="season", period_value=2026))
 
 
-NOW_SQL = """
-now as (select team_abbrev, team_def_rating as def_rating, team_pace as pace, floor(rank() over (order by
-    team_def_rating) + (count(*) over (partition by team_def_rating) - 1) / 2.0)::int as def_rank
-  from (select * replace (case team_abbrev when 'signup' then 'nobody' else team_abbrev end as team_abbrev) from team_stats)
-  where season = 2)"""
+RATED_SQL = """
+rated as (select season, team_abbrev, team_def_rating as def_rating, team_pace as pace, floor(rank() over (partition by season
+    order by team_def_rating) + (count(*) over (partition by season, team_def_rating) - 1) / 2.0)::int as def_rank
+  from (select * replace (case team_abbrev when 'signup' then 'nobody' else team_abbrev end as team_abbrev) from team_stats))"""
+NOW_SQL = f"""{RATED_SQL},
+now as (select * from rated where season = (select max(season) from rated))"""
 
 
-def current_stats(spark, sf):
-    """The current period's ratings with ranks; one side has an unknown code."""
+def rated_sides(spark, sf):
+    """Every period's ratings with ranks; one side has an unknown code."""
     code = F.when(F.col("team_abbrev") == "signup", "nobody").otherwise(F.col("team_abbrev"))
-    rows = B.team_stats(spark, sf).where("season = 2").withColumn("team_abbrev", code)
+    rows = B.team_stats(spark, sf).withColumn("team_abbrev", code)
     ranked = average_rank(rows, partition=["season"], value="team_def_rating", name="def_rank", truncate=True)
     return ranked.select(
-        "team_abbrev", F.col("team_def_rating").alias("def_rating"), F.col("team_pace").alias("pace"), "def_rank"
+        "season", "team_abbrev", F.col("team_def_rating").alias("def_rating"), F.col("team_pace").alias("pace"), "def_rank"
     )
 
 
+def current_stats(spark, sf):
+    """The ratings of the newest period."""
+    rows = rated_sides(spark, sf)
+    return rows.where(F.col("season") == rows.agg(F.max("season")).scalar()).drop("season")
+
+
 @query(
     "jn_context_with_fallback",
     sql(
         """
 select game_id, round_even(coalesce(r.def_rating, 113.5), 1) as opp_def_rating, coalesce(r.def_rank, 15)::int
   as opp_def_rank, round_even(coalesce(s.pace, 99.5), 1) as team_pace
-from game_logs l left join now r on l.opponent_abbrev = r.team_abbrev
-left join now s on upper(l.team_abbrev) = upper(s.team_abbrev)""",
-        "game_logs", "team_stats", ctes=NOW_SQL,
+from game_logs l left join rated r on l.opponent_abbrev = r.team_abbrev and l.season = r.season
+left join rated s on upper(l.team_abbrev) = upper(s.team_abbrev) and l.season = s.season""",
+        "game_logs", "team_stats", ctes=RATED_SQL,
     ),
 )
 def context_fallback(spark, sf):
-    stats = current_stats(spark, sf)
-    upper = stats.withColumn("team_abbrev", F.upper("team_abbrev"))
-    logs = B.game_logs(spark, sf).select("game_id", F.upper("opponent_abbrev").alias("opponent_abbrev"), "team_abbrev")
-    out = J.context_with_fallback(logs, upper, rival="opponent_abbrev", side="team_abbrev", code="team_abbrev")
+    upper = rated_sides(spark, sf).withColumn("team_abbrev", F.upper("team_abbrev"))
+    logs = B.game_logs(spark, sf).select("game_id", "season", F.upper("opponent_abbrev").alias("opponent_abbrev"), "team_abbrev")
+    out = J.context_with_fallback(logs, upper, rival="opponent_abbrev", side="team_abbrev", code="team_abbrev", period="season")
     return out.select("game_id", "opp_def_rating", "opp_def_rank", "team_pace")

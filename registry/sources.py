@@ -24,7 +24,7 @@ def csv_typed(spark, sf):
 
 
 @query(
-    "src_html_table_rows",
+    "src_html_list_links",
     """
 select page_id, i - 1 as position, l[i][1] as href, l[i][2] as text, title from (
   select page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') as title,
@@ -32,7 +32,7 @@ select page_id, i - 1 as position, l[i][1] as href, l[i][2] as text, title from
       regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) as l from pages), unnest(range(1, len(l) + 1)) as t(i)
 """.replace("i - 1 as position", "(i - 1)::int as position"),
 )
-def html_rows(spark, sf):
+def html_links(spark, sf):
     pages = B.table(spark, sf, "pages")
     titles = pages.select("page_id", P.page_title("html").alias("title"))
     return P.page_links(pages).join(titles, "page_id")
@@ -162,3 +162,23 @@ def regular_rows(spark, sf):
     return rows.select(
         "page_id", "position", F.element_at("cells", 1).alias("first_cell"), F.element_at("cells", 4).alias("fourth_cell")
     )
+
+
+ROW_SQL = "game_id::varchar || '|1|' || game_day::varchar || '|' || team_abbrev || '|' || case home_game when 1 then '?' else '@' end || '|' || opponent_abbrev"
+
+
+@query(
+    "src_html_table_rows",
+    sql(
+        f"""
+select game_id as page_id, p::int as position, case p when 0 then {ROW_SQL} when 1 then '{"|".join(h or "?" for h in HEADER[:6])}'
+  when 2 then '9|?|' || game_day::varchar || '|?|?|?' else 'Total|?|?|30 Games|?|?' end as first_cells, {len(HEADER)}::int as n_headers
+from game_logs, unnest(range(4)) as t(p) where game_id % 3 <> 2""",
+        "game_logs",
+    ),
+)
+def html_rows(spark, sf):
+    """Every row of the wanted table of every page, whether live or in a comment, by the parser; empty cells are null."""
+    tables = P.parsed_tables(log_pages(spark, sf))
+    rows = tables.select("page_id", F.size("header").alias("n_headers"), F.posexplode("cells").alias("position", "cells"))
+    return rows.select("page_id", "position", F.array_join(F.slice("cells", 1, 6), "|", "?").alias("first_cells"), "n_headers")
