@@ -3,6 +3,9 @@
 Heuristic labellers vote on each text.  Expectation-maximisation over the counts of vote patterns estimates how each
 labeller votes on good and on bad documents; the posterior of a document's pattern is its soft label.  The soft labels
 train a logistic scorer over hashed word shapes and repetition marks, which judges every document.
+
+Texts are looked at once: their votes and marks are stored, and every step of the fit sums its gradient over the marks
+of all documents, so that the model does not depend on how the rows are dealt over partitions.
 """
 
 from __future__ import annotations
@@ -18,14 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formline.session import stored
+
 from .common import texts
 
 DIMENSIONS = 1 << 14
-ROUNDS = 3  # passes of the scorer over all documents
-RATE = 0.5
+STEPS = 100  # of the scorer's fit, at most
+ENOUGH = 1e-8  # the largest slope of the mean loss at which the fit ends
+MOVES = 10  # steps that the next one is shaped by
+PENALTY = 1e-4  # on the squared weights
 EM_STEPS = 50
 REJECT = 0.5  # probability of being bad from which a document is rejected
-MEMO = 300_000
+MEMO = 100_000  # words whose shape a task remembers; none is longer than PIECE
 SPAN = 2_000  # words among which distinct ones are counted
 PIECE = 64  # characters of a word that make a shape; a longer word has several
 SYMBOLS = re.compile(r"[#*$%&|<>{}\\^~=_]")
@@ -141,72 +148,131 @@ class _Shapes(dict):
         return slot
 
 
-_shapes = _Shapes()
-
-
-def features(seen: Text) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a text, of length one."""
+def features(seen: Text, shapes: _Shapes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots, rising, and values of a text, of length one."""
+    shapes = _Shapes() if shapes is None else shapes
     parts = seen.words
     if any(len(w) > PIECE for w in parts):
         parts = [w[at : at + PIECE] for w in parts for at in range(0, len(w), PIECE)]
     n = max(1, len(parts))
-    slots, times = np.unique(np.fromiter(map(_shapes.__getitem__, parts), np.int64, len(parts)), return_counts=True)
+    slots, times = np.unique(np.fromiter(map(shapes.__getitem__, parts), np.int64, len(parts)), return_counts=True)
     marks = [_slot("always")]
     for name in ("repeated_windows", "repeated_neighbours", "repeated_lines", "capitals", "exclaimed", "distinct"):
         marks.append(_slot(f"{name} {min(9, int(10 * seen.counts[name]))}"))
-    slots = np.concatenate([slots, np.array(marks)])
+    both = np.concatenate([slots, np.array(marks)])
     values = np.concatenate([np.sqrt(times / n), np.ones(len(marks))])
-    return slots, values / np.sqrt((values**2).sum())
+    values /= np.sqrt((values**2).sum())
+    slots, place = np.unique(both, return_inverse=True)
+    return slots, np.bincount(place, values)
 
 
-def _weigh(seen: Text, weights: np.ndarray) -> float:
-    slots, values = features(seen)
-    return 1 / (1 + np.exp(-np.clip((weights[slots] * values).sum(), -50, 50)))
+MARKS = "doc_id bigint, votes string, slots array<int>, marks array<double>"
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shapes = _Shapes()  # goes with the task
     for batch in batches:
-        found = Counter(votes(look(t)) for t in batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["votes", "n"]
-        )
+        said, slots, values = [], [], []
+        for text in batch.column("text").to_pylist():
+            seen = look(text)
+            own, worth = features(seen, shapes)
+            said.append(votes(seen))
+            slots.append(own.astype(np.int32))
+            values.append(worth)
+        arrays = [batch.column("doc_id"), pa.array(said, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "votes", "slots", "marks"])
+
 
+def marked(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``votes`` and the scorer's ``slots`` and ``marks`` of every text."""
+    return texts(docs).mapInArrow(_marks, MARKS)
 
-def _train(posterior: dict[str, float], start: np.ndarray):
-    """Gradient steps over a partition's documents; the weights they lead to, and their number."""
+
+def _logits(slots: pa.ListArray, marks: pa.ListArray, weights: np.ndarray) -> np.ndarray:
+    """The scorer's logit of each row."""
+    if not len(slots):
+        return np.zeros(0)
+    # No row is empty: every text has the mark that all have.
+    parts = weights[slots.flatten().to_numpy()] * marks.flatten().to_numpy()
+    return np.add.reduceat(parts, np.r_[0, np.cumsum(slots.value_lengths().to_numpy())[:-1]])
+
+
+def _chances(logits: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
+
+
+def _slopes(posterior: dict[str, float], weights: np.ndarray):
+    """Of a partition: the sum of the scorer's gradient by slot, of its loss (slot -1) and of the rows (slot -2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, n = start.copy(), 0
+        gradient, loss, n = np.zeros(DIMENSIONS), 0.0, 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen = look(text)
-                slots, values = features(seen)
-                wrong = posterior[votes(seen)] - 1 / (1 + np.exp(-np.clip((weights[slots] * values).sum(), -50, 50)))
-                np.add.at(weights, slots, RATE * wrong * values)
-                n += 1
+            slots, marks = batch.column("slots"), batch.column("marks")
+            bad = np.array([posterior[v] for v in batch.column("votes").to_pylist()])
+            logits = _logits(slots, marks, weights)
+            wrong = np.repeat(_chances(logits) - bad, slots.value_lengths().to_numpy())
+            gradient += np.bincount(slots.flatten().to_numpy(), wrong * marks.flatten().to_numpy(), DIMENSIONS)
+            loss += float((np.logaddexp(0, logits) - bad * logits).sum())
+            n += len(bad)
         if n:
-            used = np.flatnonzero(weights)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[-1, used], pa.int32()), pa.array(np.r_[n, n * weights[used]], pa.float64())], ["slot", "total"]
-            )
+            used = np.flatnonzero(gradient)
+            arrays = [pa.array(np.r_[-2, -1, used], pa.int32()), pa.array(np.r_[n, loss, gradient[used]], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["slot", "total"])
 
     return run
 
 
+def fit_scorer(marks: DataFrame, posterior: dict[str, float]) -> np.ndarray:
+    """The weights of the logistic scorer: each document counts as bad with its posterior and as good with the rest.
+
+    Each step sums the gradient over all documents; the steps are those of limited-memory BFGS, whose few vectors of
+    ``DIMENSIONS`` numbers the driver holds.  The loss is convex: where the steps end does not depend on partitions.
+    """
+    weights = np.zeros(DIMENSIONS)
+    if not posterior:
+        return weights
+
+    def slope(at: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = marks.select("votes", "slots", "marks").mapInArrow(_slopes(posterior, at), "slot int, total double")
+        found = {r["slot"]: r["total"] for r in parts.groupBy("slot").agg(F.sum("total").alias("total")).collect()}
+        n, loss = found.pop(-2), found.pop(-1)
+        gradient = PENALTY * at
+        gradient[list(found)] += np.array(list(found.values())) / n
+        return loss / n + PENALTY / 2 * (at @ at), gradient
+
+    loss, gradient = slope(weights)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(gradient).max() < ENOUGH:
+            break
+        way, shares = gradient.copy(), []
+        for moved, turned in reversed(moves):
+            shares.append((moved @ way) / (moved @ turned))
+            way -= shares[-1] * turned
+        way *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 4.0
+        for (moved, turned), share in zip(moves, reversed(shares), strict=True):
+            way += moved * (share - (turned @ way) / (moved @ turned))
+        length = 1.0
+        while True:
+            ahead = weights - length * way
+            new_loss, new_gradient = slope(ahead)
+            if new_loss <= loss - 1e-4 * length * (gradient @ way):
+                break
+            length /= 2
+            if length < 1e-3:  # rounding is all that is left
+                return weights
+        moves = [*moves, (ahead - weights, new_gradient - gradient)][-MOVES:]
+        weights, loss, gradient = ahead, new_loss, new_gradient
+    return weights
+
+
 def _score(posterior: dict[str, float], weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [look(t) for t in batch.column("text").to_pylist()]
-            said = [votes(s) for s in seen]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(said, pa.string()),
-                    pa.array([posterior.get(v, 0.0) for v in said], pa.float64()),
-                    pa.array([_weigh(s, weights) for s in seen], pa.float64()),
-                ],
-                ["doc_id", "votes", "weak_bad", "score_bad"],
-            )
+            chances = _chances(_logits(batch.column("slots"), batch.column("marks"), weights))
+            weak = [posterior.get(v, 0.0) for v in batch.column("votes").to_pylist()]
+            arrays = [batch.column("doc_id"), batch.column("votes"), pa.array(weak, pa.float64()), pa.array(chances)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "votes", "weak_bad", "score_bad"])
 
     return run
 
@@ -216,8 +282,8 @@ class QualityModel:
     posterior: dict[str, float]
     weights: np.ndarray
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        return texts(docs).mapInArrow(
+    def score(self, marks: DataFrame) -> DataFrame:
+        return marks.mapInArrow(
             _score(self.posterior, self.weights), "doc_id bigint, votes string, weak_bad double, score_bad double"
         )
 
@@ -225,38 +291,40 @@ class QualityModel:
         """The documents, all columns, that the scorer does not reject; those with a null text count as empty."""
         weights = self.weights
 
+        def good(text: str | None, shapes: _Shapes) -> bool:
+            slots, values = features(look(text or ""), shapes)
+            return 1 / (1 + np.exp(-np.clip((weights[slots] * values).sum(), -50, 50))) < REJECT
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shapes = _Shapes()
             for batch in batches:
                 at = batch.schema.get_field_index("text")
-                good = [_weigh(look(t or ""), weights) < REJECT for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(good, pa.bool_()))
+                kept = [good(t, shapes) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(kept, pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
 
 
-def fit(docs: DataFrame) -> QualityModel:
-    """Fit labellers and scorer on all documents.
+def fit_marks(marks: DataFrame) -> QualityModel:
+    """Fit labellers and scorer on the stored marks of all documents.
 
     The driver holds the counts of vote patterns (at most three to the number of labellers) and ``DIMENSIONS`` weights.
-    Each pass starts all partitions from the same weights and averages what they learn, by documents.
     """
-    rows = texts(docs)
-    counted = rows.mapInArrow(_votes, "votes string, n bigint").groupBy("votes").agg(F.sum("n").alias("n"))
+    counted = marks.groupBy("votes").agg(F.count("*").alias("n"))
     posterior = fit_labellers({r["votes"]: r["n"] for r in counted.collect()})
-    weights = np.zeros(DIMENSIONS)
-    for _ in range(ROUNDS if posterior else 0):
-        parts = rows.mapInArrow(_train(posterior, weights), "slot int, total double").groupBy("slot")
-        found = {r["slot"]: r["total"] for r in parts.agg(F.sum("total").alias("total")).collect()}
-        n = found.pop(-1)
-        weights = np.zeros(DIMENSIONS)
-        weights[list(found)] = np.array(list(found.values())) / n
-    return QualityModel(posterior, weights)
+    return QualityModel(posterior, fit_scorer(marks, posterior))
+
+
+def fit(docs: DataFrame) -> QualityModel:
+    """Fit labellers and scorer on all documents."""
+    return fit_marks(stored(marked(docs), "quality_marks"))
 
 
 def classify(docs: DataFrame) -> DataFrame:
     """``doc_id``, the labellers' ``votes``, ``weak_bad`` (their posterior), ``score_bad`` (the scorer) and ``kept``.
 
     A null text counts as empty; the labellers are silent on it.  Repeated rows are judged alike; other columns are
-    left out; an empty table gives no rows.
+    left out; an empty table gives no rows.  Long texts are seen whole; equal votes have equal posteriors.
     """
-    return fit(docs).score(docs).withColumn("kept", F.col("score_bad") < REJECT)
+    marks = stored(marked(docs), "quality_marks")
+    return fit_marks(marks).score(marks).withColumn("kept", F.col("score_bad") < REJECT)

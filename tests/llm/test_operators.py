@@ -276,6 +276,54 @@ def test_weak_labels_find_bad_documents(spark, sf):
     assert found.filter("quality = 1 and not kept").count() <= 0.01 * n
 
 
+def test_scores_do_not_depend_on_partitions(spark, sf):
+    big = sf.replace("0.001", "0.01")
+    docs, labels = documents(spark, big), spark.read.parquet(f"{big}/labels.parquet")
+    bad = {r["doc_id"] for r in labels.filter("quality = 0").collect()}
+    scores = []
+    for n in (1, 8, 211):
+        got = {r["doc_id"]: r for r in quality_classifier.classify(docs.repartition(n)).collect()}
+        scores.append(np.array([got[i]["score_bad"] for i in sorted(got)]))
+        assert sum(got[i]["kept"] for i in bad) <= 0.03 * len(bad)
+    assert max(np.abs(s - scores[0]).max() for s in scores) < 1e-6
+
+
+def test_labellers_and_scorer_equal_plain_loops(spark, make, sf):
+    """Expectation-maximisation document by document, and the gradient of the scorer's loss, which must vanish."""
+    docs = documents(spark, sf)
+    marks = quality_classifier.marked(docs).cache()
+    rows = marks.collect()
+    model = quality_classifier.fit_marks(marks)
+    said = [r["votes"] for r in rows]
+    bad = [0.9 if "b" in v else 0.05 for v in said]
+    for _ in range(quality_classifier.EM_STEPS):
+        prior, right = [0.0, 0.0], defaultdict(lambda: 0.1)
+        for v, p in zip(said, bad, strict=True):
+            for c, w in ((0, 1 - p), (1, p)):
+                prior[c] += w
+                for place, vote in enumerate(v):
+                    right[c, place, vote] += w
+        old, bad = bad, []
+        for v in said:
+            like = [prior[c] / len(said) for c in (0, 1)]
+            for c in (0, 1):
+                for place, vote in enumerate(v):
+                    if vote != "-":
+                        like[c] *= right[c, place, vote] / (right[c, place, "b"] + right[c, place, "g"])
+            bad.append(like[1] / sum(like))
+        if max(abs(a - b) for a, b in zip(old, bad, strict=True)) < 1e-9:
+            break
+    assert np.allclose([model.posterior[v] for v in said], bad, atol=1e-6)
+    gradient = np.zeros(quality_classifier.DIMENSIONS)
+    for r in rows:
+        slots, values = np.array(r["slots"]), np.array(r["marks"])
+        assert abs((values**2).sum() - 1) < 0.2 and (np.diff(slots) > 0).all()
+        chance = 1 / (1 + math.exp(-(model.weights[slots] * values).sum()))
+        gradient[slots] += (chance - model.posterior[r["votes"]]) * values
+    gradient = gradient / len(rows) + quality_classifier.PENALTY * model.weights
+    assert np.abs(gradient).max() < 1e-6
+
+
 def test_long_texts_and_long_words_are_seen_whole():
     rng = np.random.default_rng(13)
     at = quality_classifier.LABELLERS.index("few_distinct")
