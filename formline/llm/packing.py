@@ -6,13 +6,14 @@ time, and the bins that stay underfull are packed once more across blocks.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,47 +24,52 @@ from .common import texts
 
 CAPACITY = 2048
 BLOCK = 65_536  # pieces packed together in memory
-MEMO = 500_000  # chunks and words a worker remembers
+MEMO = 8_000_000  # characters of words that a task remembers
 OPEN_SHARE = 1 / 64  # free share of a bin from which it is packed again across blocks
 
 # Text of these characters is lower-cased and composed alike by every Unicode version.
-PLAIN = regex.compile(r"[\x21-\x7eÀ-ÿ]*")
-# The splitting pattern of the tokenizer, a fixed value.
-TOKEN_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]*")
+PLAIN_TEXT = re.compile(r"[\x20-\x7e\nÀ-ÿ]*")
+# The splitting pattern of the tokenizer, a fixed value: 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+# Here for lower-cased plain text, whose letters and digits are these.
+TOKEN_WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zß-öø-ÿ]+")
 
 
-class ChunkTokens(dict):
-    """Ids (little-endian unsigned 32 bit) of chunks between spaces or line ends, remembered.
+@functools.cache
+def _tokenizer(path: str):
+    """The tokenizer, which a worker reads once, and which of its ids end a word."""
+    from tokenizers import Tokenizer
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a row.
+    tokenizer = Tokenizer.from_file(path)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        ends[i] = token.endswith("</w>")
+    return tokenizer, ends, tuple(t.content.lower() for t in tokenizer.get_added_tokens_decoder().values())
+
+
+class WordTokens:
+    """Ids (little-endian unsigned 32 bit) of texts, by way of their words, which a task remembers.
+
+    The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks between
+    spaces or line ends in a row, and those of a plain text or chunk are those of its words.  A chunk with the name of
+    an added token, which the tokenizer takes out before it looks for words, is left to it.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.ends[i] = token.endswith("</w>")
+        self.tokenizer, self.ends, self.added = _tokenizer(path)
         self.words: dict[str, bytes] = {}
-        self[""] = b""
+        self.held = 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, chunks: set[str]) -> None:
-        """Remember the ids of the chunks that are new; the words among them are encoded together."""
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            self[""] = b""
-            new = [c for c in chunks if c]
-        if len(self.words) > MEMO:
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of the words that are new, encoded together."""
+        if self.held > MEMO:
             self.words.clear()
-        split = {c: TOKEN_WORD.findall(c.lower()) for c in new if PLAIN.fullmatch(c)}
-        fresh = list({w for words in split.values() for w in words if w not in self.words})
+            self.held = 0
+        fresh = [w for w in words if w not in self.words]
+        self.held += sum(map(len, fresh))
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
             ids = self._ids(" ".join(part))
@@ -73,28 +79,42 @@ class ChunkTokens(dict):
                 self.words.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
             else:
                 self.words.update((w, self._ids(w).tobytes()) for w in part)
-        for c in new:
-            self[c] = b"".join(map(self.words.__getitem__, split[c])) if c in split else self._ids(c).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
-
-_tokens: dict[str, ChunkTokens] = {}
-
-
-def pieces(docs: list[tuple[int | None, str]], path: str, capacity: int = CAPACITY) -> pd.DataFrame:
+    def _plain(self, text: str, kind: re.Pattern) -> list[str] | None:
+        """The words of a text of plain characters without the name of an added token."""
+        if not kind.fullmatch(text):
+            return None
+        lower = text.lower()
+        return None if any(name in lower for name in self.added) else TOKEN_WORD.findall(lower)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        parts: list[tuple[list, bool]] = []  # words, and ids of what is not plain; whether all are words
+        seen: set[str] = set()
+        for text in texts:
+            words = self._plain(text, PLAIN_TEXT)
+            plain = words is not None
+            if not plain:
+                words = []
+                for chunk in text.replace("\n", " ").split(" "):
+                    own = self._plain(chunk, PLAIN)
+                    words += [self._ids(chunk).tobytes()] if own is None else own
+            parts.append((words, plain))
+            seen.update(words if plain else (w for w in words if type(w) is str))
+        self._learn(seen)
+        known = self.words
+        return [b"".join(map(known.__getitem__, words) if plain else [known[w] if type(w) is str else w for w in words]) for words, plain in parts]
+
+
+def pieces(docs: list[tuple[int | None, str]], tokens: WordTokens, capacity: int = CAPACITY) -> pd.DataFrame:
     """The documents' token ids, each closed by id 0, cut into pieces of at most ``capacity``."""
-    if path not in _tokens:
-        _tokens[path] = ChunkTokens(path)
-    memo, rows = _tokens[path], []
-    for at in range(0, len(docs), 500):
-        part = docs[at : at + 500]
-        memo.learn({c for _, t in part for c in t.replace("\n", " ").split(" ")})
-        for doc_id, text in part:
-            ids = memo.encode(text) + b"\0\0\0\0"
-            for k, start in enumerate(range(0, len(ids), 4 * capacity)):
-                piece = ids[start : start + 4 * capacity]
+    rows, most = [], 4 * capacity
+    for at in range(0, len(docs), 200):
+        part = docs[at : at + 200]
+        for (doc_id, _), ids in zip(part, tokens.encode([t for _, t in part]), strict=True):
+            ids += b"\0\0\0\0"
+            for k, start in enumerate(range(0, len(ids), most)):
+                piece = ids[start : start + most]
                 rows.append((doc_id, k, start // 4, len(piece) // 4, zlib.crc32(piece)))
     return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
@@ -296,7 +316,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     """Pieces of all documents with the sequence and the offset each is packed at.
 
     Columns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.  A null or empty text is the closing id
-    alone.  Only documents longer than ``capacity`` are cut.  Repeated rows are packed as often as they occur; other
+    alone; the name of a special token in a text is that token.  Only documents longer than ``capacity`` are cut.  Repeated rows are packed as often as they occur; other
     columns are left out; an empty table gives no rows.
 
     The first round packs where the tokens are made: no shuffle, a block of ``BLOCK`` pieces in memory.  Its rows are
@@ -305,9 +325,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     spark = docs.sparkSession
 
     def tokenised(batches):
+        tokens = WordTokens(tokenizer)  # its words go with the task
         for batch in batches:
             rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True))
-            yield pieces(rows, tokenizer, capacity)
+            yield pieces(rows, tokens, capacity)
 
     def read(batches):
         for batch in batches:

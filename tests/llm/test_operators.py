@@ -44,7 +44,6 @@ def test_packing_keeps_every_token(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_TOKENIZER)
-    t.encode_special_tokens = True
     want = Counter()
     for doc_id, text in rows_of(docs):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
@@ -61,6 +60,22 @@ def test_packing_keeps_every_token(docs):
         assert at <= 2048
 
 
+def test_ids_equal_the_library_on_special_names_and_odd_signs():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD_TOKENIZER)
+    texts = [
+        "hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>", "<|endoftext|", "", " \n ",
+        "Plain words, and it's they'll 12 3.5\nnext LINE", "tab\tand\rothers\x0b", "naïve É ß\u0130stanbul e\u0301 \u2026 日本", "x" * 5000, "'s 's'S",
+    ]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [3306, 49407, 1002]
+    tokens = packing.WordTokens(WORD_TOKENIZER)
+    for _ in range(2):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in tokens.encode(texts)]
+        assert got == [t.encode(text, add_special_tokens=False).ids for text in texts]
+        tokens.held = packing.MEMO + 1
+
+
 def test_local_search_never_loses_and_helps():
     rng = np.random.default_rng(3)
     for _ in range(20):
