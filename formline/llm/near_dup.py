@@ -7,6 +7,7 @@ documents; the sketch of the union estimates their similarity; links are confirm
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,33 +23,35 @@ from .graph import components
 
 K = 64  # values in a sketch
 SHARED = 32  # values that linked documents' sketches share at least, where a sketch is not the whole set
-PIVOTS = 64  # documents of a list that are compared with all others of it in one round
-MEMO = 100_000
+TURNS = (64, 512)  # documents of a list that are asked in the second and third round; the next takes all that are left
+MEMO, MEMO_WORD = 100_000, 64  # words that a task remembers, and bytes of the longest of them
 
 
 class _WordHash(dict):
+    """Hashes of words; each task has its own, which goes with it."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_WORD:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
         return h
 
 
-_hashes = _WordHash()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+def shingle_hashes(text: bytes, width: int, hashes: _WordHash | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
+    hashes = _WordHash() if hashes is None else hashes
     words = text.lower().split()
     if not words:
         return np.array([], np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     out = np.full(n, min(len(h), width), np.uint64)
     for i in range(min(width, len(h))):
@@ -62,8 +65,9 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
 
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHash()
         for batch in batches:
-            sets = [shingle_hashes(t, width) for t in _bytes(batch)]
+            sets = [shingle_hashes(t, width, hashes) for t in _bytes(batch)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -79,8 +83,9 @@ def _sketches(width: int, k: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHash()
         for batch in batches:
-            sets = [shingle_hashes(t, width) for t in _bytes(batch)]
+            sets = [shingle_hashes(t, width, hashes) for t in _bytes(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     return run
@@ -111,11 +116,26 @@ def _postings(rows: DataFrame, percent: int, k: int) -> DataFrame:
     )
 
 
-def _unshared(lists: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+class _FullSets:
+    """The full shingle sets of the documents asked for so far, each made and stored once."""
+
+    def __init__(self, docs: DataFrame, width: int):
+        self.docs, self.width, self.made = texts(docs), width, None
+
+    def holding(self, asked: DataFrame) -> DataFrame:
+        """``doc_id, shingles`` of at least the documents ``asked``."""
+        if self.made is not None:
+            asked = asked.join(self.made.select("doc_id"), "doc_id", "left_anti")
+        rows = self.docs.join(asked, "doc_id", "left_semi")
+        new = stored(rows.mapInArrow(_sets(self.width), "doc_id bigint, shingles array<bigint>"), "shingles")
+        self.made = new if self.made is None else self.made.union(new)
+        return self.made
+
+
+def _unshared(lists: DataFrame, sets: _FullSets) -> DataFrame:
     """``doc_id, u``: of the documents in some lists, the shingles that no other of them holds."""
     asked = lists.select("doc_id").distinct()
-    full = texts(docs).join(asked, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles array<bigint>")
-    held = full.select("doc_id", F.explode("shingles").alias("shingle"))
+    held = sets.holding(asked).join(asked, "doc_id").select("doc_id", F.explode("shingles").alias("shingle"))
     once = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id")).filter("times = 1")
     return once.groupBy("doc_id").agg(F.count("*").alias("u"))
 
@@ -126,7 +146,7 @@ def estimate(a: Column, b: Column, k: int) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
-def _linked(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+def _linked(pairs: DataFrame, sketch: DataFrame, sets: _FullSets, percent: int, k: int) -> DataFrame:
     """Those pairs ``a, b`` whose full shingle sets are similar."""
 
     def beside(table: DataFrame, side: str, column: str) -> DataFrame:
@@ -134,9 +154,7 @@ def _linked(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, width: int, pe
 
     likely = pairs.join(beside(sketch, "a", "sketch"), "a").join(beside(sketch, "b", "sketch"), "b")
     likely = stored(likely.filter(estimate(F.col("sketch_a"), F.col("sketch_b"), k) >= SHARED / k).select("a", "b"), "pairs")
-    asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = texts(docs).join(asked, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles array<bigint>")
-    full = stored(full, "shingles")
+    full = sets.holding(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = likely.join(beside(full, "a", "shingles"), "a").join(beside(full, "b", "shingles"), "b")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     both = both.select("a", "b", common.alias("common"), (F.size("shingles_a") + F.size("shingles_b") - common).alias("union"))
@@ -148,23 +166,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     Documents of equal sets are one class from the start; the rest works on one document of each class.  A list of
     documents that share a posted value is worked off in rounds.  First all of it is compared with the document that
-    has the fewest values of its own.  Then only documents outside the list's largest component are asked, a bounded
-    number of them in a round, each against the list, and only where the shingles that they share with any document of
-    the open lists could suffice for a link.  So a group of near copies takes about as many comparisons as it has
-    members, and no link between components is lost.
+    has the fewest values of its own.  Then only documents outside the list's largest component are asked, each against
+    the list, and only where the shingles that they share with any document of the open lists could suffice for a
+    link: some, then more, then all that are left, so rounds do not grow with the lists.  A group of near copies takes
+    about as many comparisons as it has members, and no link between components is lost.
 
     A null or text without words has no shingles and is linked with nothing; rows without an id are linked with
     nothing and kept; rows that repeat an id count as one document; an empty table gives no rows.
     """
     sketch = stored(sketches(docs, width, k), "sketches")
     classes = stored(sketch.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    rows = sketch.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+    reps = stored(sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
+    rows = reps.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     posts = stored(_postings(rows, percent, k), "postings")
-    reps = sketch.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = _FullSets(docs, width)
     pivots = posts.groupBy("value").agg(F.min_by("doc_id", F.struct("own", "n", "doc_id")).alias("doc_id"))
     members = posts.withColumn("label", F.col("doc_id")).withColumn("u", F.lit(0))
     done = edges = unshared = None
-    while True:
+    for turn in itertools.count():
         pivots = stored(pivots, "pivots")
         if done is not None and pivots.isEmpty():
             break
@@ -174,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         most = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
         pairs = members.join(asked, "value").filter((F.col("label") != F.col("pl")) & (100 * most >= percent * (F.col("n") + F.col("pn") - most)))
         pairs = pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-        found = stored(_linked(pairs, reps, docs, width, percent, k), "links")
+        found = stored(_linked(pairs, reps, sets, percent, k), "links")
         edges = found if edges is None else edges.union(found)
         labels = stored(components(edges), "labels")
         done = pivots if done is None else done.union(pivots)
@@ -186,15 +205,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         )
         members = stored(members.join(lists.filter("m > 1"), "value"), "open")
         if unshared is None:
-            unshared = stored(_unshared(members, docs, width), "unshared")
+            unshared = stored(_unshared(members, sets), "unshared")
         members = members.join(unshared, "doc_id", "left").withColumn("u", F.coalesce("u", F.lit(0)))
         # A link needs n - u shared shingles at most, with a document of the list's least size at least.
         shared = F.col("n") - F.col("u")
         able = 100 * shared >= percent * F.greatest(F.col("n"), F.col("least") + F.col("u"))
         members = members.filter(able)
-        open_ = members.filter("label <> largest").join(done, ["value", "doc_id"], "left_anti")
-        turn = Window.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id")
-        pivots = open_.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= PIVOTS).select("value", "doc_id")
+        pivots = members.filter("label <> largest").join(done, ["value", "doc_id"], "left_anti").select("value", "doc_id")
+        if turn < len(TURNS):
+            place = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
+            pivots = pivots.withColumn("place", place).filter(F.col("place") <= TURNS[turn]).select("value", "doc_id")
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "digest", F.coalesce("label", "rep").alias("component_id")
     )
