@@ -2,8 +2,8 @@
 
 Documents that share a block are found through its runs: a run is consecutive lines that just reach the words of a
 block, and leads from every later document to the first that holds it, so pairs grow with the lines and not with their
-square.  A patience diff aligns the two documents, and aligned common blocks go from the later one, as do blocks that
-the first document holds in another place than the alignment's.
+square.  A patience diff aligns the two documents, and aligned common blocks go from the later one.  What is left of the
+later document and stands elsewhere in the first is aligned again, with the lines of the first where it stands.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from formline.session import stored
 
-from .common import words_of
+from .common import let, words_of
 
-LINE_WORDS = 8  # words of a line that the first brute force of the tests leads by; nothing else uses it
 BLOCK_WORDS = 20  # words of an aligned block that is deleted
 
 
@@ -170,35 +169,48 @@ def runs(lines: np.ndarray, words: np.ndarray, ends: np.ndarray, least: int) ->
     return start, end, ((sums[end] - sums[start]) * _powers(BACK, n + 1)[start]).view(np.int64)
 
 
-def moved_blocks(first: list[int], later: list[int], words: list[int], least: int) -> list[int]:
-    """Places in ``later`` of runs of at least ``least`` words that ``first`` holds anywhere."""
+def _aligned_blocks(first: list[int], later: list[int], words: list[int], least: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends in ``later`` of the alignment's runs, consecutive in both, of at least ``least`` words."""
+    start, last = 0, (-2, -2)
+    for i, j in [*patience(first, later), (-9, -9)]:
+        if (i, j) != (last[0] + 1, last[1] + 1):
+            if last[1] >= 0 and sum(words[start : last[1] + 1]) >= least:
+                yield start, last[1] + 1
+            start = j
+        last = (i, j)
+
+
+def _runs_elsewhere(first: list[int], later: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """Starts and ends in ``later`` of runs of at least ``least`` words that ``first`` holds, and where it does."""
     n, both = len(first), [*first, *later]
     # Equal lines have equal words; a line of ``first`` alone is in no common run.
     of = dict.fromkeys(first, 0) | dict(zip(later, words, strict=True))
     number = dict(zip(of, np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, len(of)).tolist(), strict=True))
     lines, sizes = (np.array([x[line] for line in both], np.int64) for x in (number, of))
     start, end, run = runs(lines, sizes, np.array([n, len(both)]), least)
-    shared = (start >= n) & np.isin(run, run[start < n])
-    edge = np.zeros(len(later) + 1, np.int64)
-    np.add.at(edge, start[shared] - n, 1)
-    np.add.at(edge, end[shared] - n, -1)
-    return np.flatnonzero(np.cumsum(edge[:-1]) > 0).tolist()
+    held, at = np.unique(run[start < n], return_index=True)
+    if not len(held):
+        return []
+    at = start[start < n][at]
+    place = np.minimum(np.searchsorted(held, run), len(held) - 1)
+    shared = (start >= n) & (held[place] == run)
+    return list(zip((start[shared] - n).tolist(), (end[shared] - n).tolist(), at[place[shared]].tolist(), strict=True))
 
 
 def common_blocks(first: list[int], later: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Places in ``later`` of runs of lines of at least ``least`` words, aligned or held elsewhere by ``first``."""
-    out: list[int] = []
-    run: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience(first, later), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in run) >= least:
-                out += run
-            run = []
-        run.append(j)
-        last = (i, j)
-    # One alignment cannot hold blocks that changed places, nor a block twice.
-    return sorted({*out, *moved_blocks(first, later, words, least)})
+    """Places in ``later`` of runs of lines of at least ``least`` words that a patience diff aligns with ``first``.
+
+    One alignment cannot hold blocks that changed places, nor a block twice: a run that it left and that ``first``
+    holds elsewhere is aligned again, with those lines of ``first``.
+    """
+    out = np.zeros(len(later), bool)
+    for low, high in _aligned_blocks(first, later, words, least):
+        out[low:high] = True
+    for low, high, at in _runs_elsewhere(first, later, words, least):
+        if not out[low:high].all():
+            for a, b in _aligned_blocks(first[at : at + high - low], later[low:high], words[low:high], least):
+                out[low + a : low + b] = True
+    return np.flatnonzero(out).tolist()
 
 
 def _run_hashes(least: int):
@@ -256,22 +268,40 @@ def repeated_places(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     return found.select("doc_id", F.explode("places").alias("place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
+def _unused(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not hold."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def dedup_lines(
     docs: DataFrame, block_words: int = BLOCK_WORDS, places: str | None = "removed_places"
 ) -> DataFrame:
     """The documents, all columns kept, without the lines of blocks that an earlier document (smaller id) holds.
 
-    A block is consecutive lines of at least ``block_words`` words that stand in the earlier document in a row too.  Every document is judged on the input.  A document of which nothing is left keeps its row with an empty text.  Null
+    A block is consecutive lines of at least ``block_words`` words that stand in the earlier document in a row too.
+    Every document is judged on the input.  Long texts are read whole, as one list of line hashes.  A document of which nothing is left keeps its row with an empty text.  Null
     and empty texts and rows without an id stay as they are; rows that repeat an id lose the same places; lines
     compare without surrounding spaces; an empty table gives no rows.  ``places`` names an added column of the lines
     removed, empty where nothing went; None adds none.
     """
-    removed = repeated_places(docs, block_words).select(F.col("doc_id").alias("__id"), F.col("places").alias("__places"))
-    out = docs.join(removed, docs["doc_id"] == removed["__id"], "left")
-    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    left = F.transform(F.filter(numbered, lambda x: ~F.array_contains("__places", x["i"])), lambda x: x["line"])
-    text = F.when(F.col("__places").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    key, gone = _unused("id", docs), _unused("gone", docs)
+    removed = repeated_places(docs, block_words).select(F.col("doc_id").alias(key), F.sort_array("places").alias(gone))
+    out = docs.join(removed, docs["doc_id"].cast("bigint") == removed[key], "left")
+    # The lines between one removed place and the next.
+    lows = F.concat(F.array(F.lit(-1)), F.col(gone))
+    left = let(
+        F.split("text", "\n", -1),
+        lambda lines: F.flatten(
+            F.zip_with(
+                lows, F.concat(F.col(gone), F.array(F.size(lines))), lambda low, high: F.slice(lines, low + 2, high - low - 1)
+            )
+        ),
+    )
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != places]
     if places:
-        columns.append(F.sort_array(F.coalesce("__places", F.array().cast("array<int>"))).alias(places))
+        columns.append(F.coalesce(F.col(gone), F.array().cast("array<int>")).alias(places))
     return out.select(*columns)

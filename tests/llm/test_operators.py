@@ -481,31 +481,6 @@ def test_previous_factors_equal_brute_force():
     assert got.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(60)]
 
 
-def removed_by_pairs(rows):
-    """Brute force: each later document aligned with the first holder of any line it shares."""
-    lines = {d: [x.strip(" ") for x in t.split("\n")] for d, t in rows}
-    out = {d: set() for d in lines}
-    for d in sorted(lines):
-        firsts = set()
-        for x in lines[d]:
-            if len(WORD.findall(x)) >= line_dedup.LINE_WORDS:
-                firsts.add(min(e for e in lines if x in lines[e]))
-        for e in firsts - {d}:
-            out[d] |= set(line_dedup.common_blocks(lines[e], lines[d], [len(WORD.findall(x)) for x in lines[d]]))
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark, sf):
-    docs = documents(spark, sf)
-    got = line_dedup.dedup_lines(docs).collect()
-    want = removed_by_pairs(rows_of(docs))
-    texts = dict(rows_of(docs))
-    for r in got:
-        assert set(r["removed_places"]) == want[r["doc_id"]]
-        assert r["text"] == "\n".join(x for i, x in enumerate(texts[r["doc_id"]].split("\n")) if i not in want[r["doc_id"]])
-    assert any(want.values())
-
-
 def removed_by_all_pairs(rows, least=line_dedup.BLOCK_WORDS):
     """Brute force without alignment: each run of enough words that any earlier document holds in a row."""
     lines = {d: [x.strip(" ") for x in t.split("\n")] for d, t in rows}
@@ -523,6 +498,31 @@ def removed_by_all_pairs(rows, least=line_dedup.BLOCK_WORDS):
     return out
 
 
+def test_line_dedup_equals_brute_force(spark, sf, monkeypatch):
+    docs = documents(spark, sf)
+    got = line_dedup.dedup_lines(docs).collect()
+    want = removed_by_all_pairs(rows_of(docs))
+    texts = dict(rows_of(docs))
+    for r in got:
+        assert set(r["removed_places"]) == want[r["doc_id"]]
+        if r["text"] is not None:
+            lines = texts[r["doc_id"]].split("\n")
+            assert r["text"] == "\n".join(x for i, x in enumerate(lines) if i not in want[r["doc_id"]])
+    assert any(want.values())
+
+
+def test_alignment_decides_what_is_cut(monkeypatch):
+    rng = np.random.default_rng(13)
+    pairs = [[rng.integers(0, 9, rng.integers(0, 16)).tolist() for _ in range(2)] for _ in range(300)]
+    found = [line_dedup.common_blocks(a, b, [7] * len(b)) for a, b in pairs]
+    # Blocks that stand in both in the same order need no second alignment.
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "_runs_elsewhere", lambda *_: [])
+        assert line_dedup.common_blocks([1, 2, 3, 8, 4, 5, 6], [1, 2, 3, 9, 4, 5, 6], [7] * 7) == [0, 1, 2, 4, 5, 6]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert any(found) and not any(line_dedup.common_blocks(a, b, [7] * len(b)) for a, b in pairs)
+
+
 def removed_places(docs):
     return {r["doc_id"]: set(r["removed_places"]) for r in line_dedup.dedup_lines(docs).collect()}
 
@@ -592,7 +592,7 @@ def test_ranges_without_unique_lines_are_aligned_like_a_plain_lcs(monkeypatch, b
 
 
 def test_line_dedup_of_odd_rows(make, odd):
-    docs = make(odd, CLASHING)
+    docs = make(odd, [*CLASHING, "__id", "__places", "id", "id_", "Gone", "places", "lines", "first"])
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "removed_places"] and out.count() == len(odd)
     assert line_dedup.dedup_lines(make([])).count() == 0
