@@ -7,7 +7,6 @@ sums; the scaled forward recursion gives a text's exact likelihood.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from .common import texts
 
 STATES = 8
 OWN = 16_384  # most frequent words, symbols of their own
-KNOWN = 262_144  # most frequent words whose counts every task holds; others' counts are joined
+KNOWN = 262_144  # most frequent words, at most, whose counts every task holds; others' counts are joined
 CLASSES = 256
 STEPS = 6  # Baum-Welch passes
 PADDED = 1_000_000  # tokens, padding included, of the documents that are scored together
@@ -91,12 +90,38 @@ class Lexicon:
         return len(self.shares)
 
 
+def known_words(words: DataFrame, most: int) -> list:
+    """At most ``most`` rows ``word, c``, the most frequent first, equal counts by word; whole steps of equal counts.
+
+    The cut is found on the steps' sizes, so only rows above it travel.  The step that would exceed ``most`` is left
+    out with all below, unless fewer than ``OWN`` are above it: then its first words, by word, make up ``OWN``.
+    """
+    steps = words.groupBy("c").agg(F.count("*").alias("v"))
+    # Steps are counted together from the first power of two on that holds too many, so few rows reach the driver.
+    rough = {r["p"]: r["v"] for r in steps.groupBy((F.length(F.bin("c")) - 1).alias("p")).agg(F.sum("v").alias("v")).collect()}
+    above, low = 0, 0
+    for power in sorted(rough, reverse=True):
+        if above + rough[power] > most:
+            low = 2 ** (power + 1)
+            within = steps.filter(F.col("c").between(2**power, low - 1)).orderBy(F.desc("c")).collect()
+            for step in within:
+                if above + step["v"] > most:
+                    break
+                above, low = above + step["v"], step["c"]
+            break
+        above += rough[power]
+    top = words.filter(F.col("c") >= low).collect()
+    if low and above < OWN:
+        top += words.filter(F.col("c") < low).orderBy(F.desc("c"), "word").limit(OWN - above).collect()
+    return sorted(top, key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def build_lexicon(counts: DataFrame) -> Lexicon:
     """The most frequent words by (count, word), and the totals of the classes of all others."""
     summed = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = counts.filter("word is null").agg(F.sum("c").alias("n")).first()["n"] or 0
     words = counts.filter("word is not null")
-    top = words.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    top = known_words(words, KNOWN)
     known = [bytes(r["word"]) for r in top]
     sizes = np.array([r["c"] for r in top], np.int64)
     own = min(OWN, len(known))
@@ -124,18 +149,12 @@ class _Places(dict):
         return self.n + word_class(word)
 
 
-_places: dict[str, _Places] = {}
-
-
 def _encode(shared):
     """Each document as symbols, with the sums that its known words give and its other words to be looked up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = shared.value
-        if shared.id not in _places:
-            _places.clear()
-            _places[shared.id] = _Places(lex.words)
-        places, n = _places[shared.id], len(lex.words)
+        places, n = _Places(lex.words), len(lex.words)
         kinds = np.array([word_class(w) for w in lex.words[lex.own :]], np.int64)
         symbol = np.r_[np.arange(lex.own), lex.own + kinds, lex.own + np.arange(CLASSES)].astype("<u2")
         logs = np.r_[np.log10(lex.counts + 0.5), np.zeros(CLASSES)]
@@ -326,7 +345,7 @@ def score_texts(docs: DataFrame, states: int = STATES, steps: int = STEPS) -> Da
     rows = texts(docs).withColumn("held_out", rest == 1)
     counts = stored(word_counts(rows.filter("not held_out").select("text")), "word_counts")
     lex = build_lexicon(counts)
-    encoded = rows.mapInArrow(_encode(_Shared(spark, lex)), ENCODED)
+    encoded = rows.mapInArrow(_encode(spark.sparkContext.broadcast(lex)), ENCODED)
     encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
     model, _ = train(encoded.filter("not held_out"), lex, states, steps)
     rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
@@ -346,15 +365,3 @@ def score_texts(docs: DataFrame, states: int = STATES, steps: int = STEPS) -> Da
         (F.col("logs") + F.col("rare_logs") - F.col("n_tokens") * base).alias("base_score"),
         (F.col("likelihood") + F.col("inside") + F.col("rare_logs")).alias("score"),
     )
-
-
-class _Shared:
-    """A broadcast value with a number that tells it from others in a worker."""
-
-    def __init__(self, spark, value):
-        self.held = spark.sparkContext.broadcast(value)
-        self.id = uuid.uuid4().hex
-
-    @property
-    def value(self):
-        return self.held.value

@@ -406,6 +406,17 @@ def test_base_scores_equal_brute_force(docs, monkeypatch):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+@pytest.mark.parametrize(("own", "most"), [(1, 1000), (1, 40), (1, 23), (30, 33), (1, 0)])
+def test_known_words_are_whole_steps_of_equal_counts(spark, monkeypatch, own, most):
+    monkeypatch.setattr(lm_scoring, "OWN", own)
+    counts = [(f"w{i % 97:02}".encode(), c) for i, c in enumerate([1] * 40 + [2] * 9 + [3, 4, 7, 8, 8, 9, 64, 64, 63, 1 << 29] * 2)]
+    words = spark.createDataFrame([(w, c) for w, c in counts], "word binary, c bigint")
+    got = [(r["c"], bytes(r["word"])) for r in lm_scoring.known_words(words, most)]
+    order = sorted(((c, w) for w, c in counts), key=lambda x: (-x[0], x[1]))
+    whole = [n for n in range(len(order) + 1) if n in (0, len(order)) or order[n - 1][0] != order[n][0]]
+    assert got == order[: max(own, max(n for n in whole if n <= most))]
+
+
 def test_the_model_beats_the_base_on_held_out_texts(spark, sf):
     rows = lm_scoring.score_texts(documents(spark, sf)).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
