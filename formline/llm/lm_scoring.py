@@ -1,8 +1,10 @@
 """Language-model scoring by a hidden Markov model.
 
-Frequent words are symbols of their own; every other word is one of a fixed number of classes, from which it is drawn
-by its count.  Baum-Welch passes over all training documents gather expected counts in every partition, which Spark
-sums; the scaled forward recursion gives a text's exact likelihood.
+Frequent words are symbols of their own from the start; the others first share classes, from which they are drawn by
+their counts.  Baum-Welch passes over all training documents gather expected counts in every partition, which Spark
+sums.  The last pass unties the classes: it gathers the expected counts of every training word in every state, a table
+that grows with the vocabulary, and each word gets emissions of its own.  The scaled forward recursion gives a text's
+exact likelihood.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from formline.session import stored
 from .common import texts
 
 STATES = 8
-OWN = 16_384  # most frequent words, symbols of their own
+OWN = 16_384  # most frequent words, symbols of their own in all passes; others get emissions of their own in the last
 KNOWN = 262_144  # most frequent words, at most, whose counts every task holds; others' counts are joined
 CLASSES = 256
-STEPS = 6  # Baum-Welch passes
+STEPS = 6  # Baum-Welch passes, that which unties the classes included
 PADDED = 1_000_000  # tokens, padding included, of the documents that are scored together
 FLUSH = 400_000  # distinct words a task counts before it hands them on
 PRIOR = 10.0  # weight of the symbols' overall shares in each state
+WORD_PRIOR = 10.0  # weight of a class's states in those of its words
 
 
 def word_class(word: bytes) -> int:
@@ -82,6 +85,7 @@ class Lexicon:
     total: int  # training tokens
     ends: int
     distinct: int
+    kinds: np.ndarray  # classes of the words that are not symbols of their own
     class_total: np.ndarray  # log10 of the smoothed total of each class
     shares: np.ndarray  # of the symbols: own words, classes, the end
 
@@ -89,6 +93,11 @@ class Lexicon:
     def symbols(self) -> int:
         return len(self.shares)
 
+    @property
+    def band(self) -> int:
+        """How many known words are not symbols of their own."""
+        return len(self.words) - self.own
+
 
 def known_words(words: DataFrame, most: int) -> list:
     """At most ``most`` rows ``word, c``, the most frequent first, equal counts by word; whole steps of equal counts.
@@ -133,9 +142,9 @@ def build_lexicon(counts: DataFrame) -> Lexicon:
         total[word_class(w)] -= c
         types[word_class(w)] -= 1
     shares = np.r_[sizes[:own], total, ends] + 0.5
-    return Lexicon(
-        known, sizes, own, summed["n"] or 0, ends, summed["v"], np.log10(total + 0.5 * (types + 1)), shares / shares.sum()
-    )
+    band = np.array([word_class(w) for w in known[own:]], np.int64)
+    class_total = np.log10(total + 0.5 * (types + 1))
+    return Lexicon(known, sizes, own, summed["n"] or 0, ends, summed["v"], band, class_total, shares / shares.sum())
 
 
 class _Places(dict):
@@ -150,15 +159,17 @@ class _Places(dict):
 
 
 def _encode(shared):
-    """Each document as symbols, with the sums that its known words give and its other words to be looked up."""
+    """Each document as symbols, with the sums that its known words give and its other words to be looked up.
+
+    ``spots`` tells which words stand behind the symbols that are classes: the known ones by rank, then ``rare``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = shared.value
         places, n = _Places(lex.words), len(lex.words)
-        kinds = np.array([word_class(w) for w in lex.words[lex.own :]], np.int64)
-        symbol = np.r_[np.arange(lex.own), lex.own + kinds, lex.own + np.arange(CLASSES)].astype("<u2")
+        symbol = np.r_[np.arange(lex.own), lex.own + lex.kinds, lex.own + np.arange(CLASSES)].astype("<u2")
         logs = np.r_[np.log10(lex.counts + 0.5), np.zeros(CLASSES)]
-        inside = np.r_[np.zeros(lex.own), logs[lex.own : n] - lex.class_total[kinds], -lex.class_total]
+        inside = np.r_[np.zeros(lex.own), logs[lex.own : n] - lex.class_total[lex.kinds], -lex.class_total]
         end = np.array([lex.symbols - 1], "<u2")
         for batch in batches:
             out: list[tuple] = []
@@ -166,7 +177,11 @@ def _encode(shared):
                 words = line.lower().split()
                 at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
                 rare = np.flatnonzero(at >= n)
-                others = Counter(words[i] for i in rare.tolist())
+                place: dict[bytes, int] = {}
+                local = np.array([place.setdefault(words[i], len(place)) for i in rare.tolist()], np.int64)
+                spots = at - lex.own
+                spots[rare] = lex.band + local
+                others = zip(place, (at[rare] - n)[np.unique(local, return_index=True)[1]].tolist(), np.bincount(local).tolist(), strict=True)
                 out.append(
                     (
                         len(words) + 1,
@@ -174,23 +189,24 @@ def _encode(shared):
                         float(logs[at].sum() + np.log10(lex.ends + 0.5)),
                         float(inside[at].sum()),
                         np.r_[symbol[at], end].tobytes(),
-                        [{"word": w, "n": k} for w, k in others.items()],
+                        spots[at >= lex.own].astype("<u4").tobytes(),
+                        [{"word": w, "kind": kind, "n": k} for w, kind, k in others],
                     )
                 )
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), RARE)
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), RARE)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *[pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)]],
-                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "symbols", "rare"],
+                ["doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "symbols", "spots", "rare"],
             )
 
     return run
 
 
-RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+RARE = pa.list_(pa.struct([("word", pa.binary()), ("kind", pa.int32()), ("n", pa.int64())]))
 ENCODED = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, inside double, symbols binary, "
-    "rare array<struct<word:binary,n:bigint>>"
+    "spots binary, rare array<struct<word:binary,kind:int,n:bigint>>"
 )
 
 
@@ -200,6 +216,9 @@ class Hmm:
     move: np.ndarray  # states x states
     emit: np.ndarray  # symbols x states
 
+    def single(self) -> Hmm:
+        return Hmm(*(a.astype(np.float32) for a in (self.start, self.move, self.emit)))
+
 
 def first_guess(shares: np.ndarray, states: int, seed: int = 7) -> Hmm:
     """The symbols' shares in every state, disturbed, and states that tend to stay."""
@@ -232,8 +251,8 @@ def forward(model: Hmm, sizes: np.ndarray, symbols: np.ndarray, keep: bool = Fal
     steps, n = symbols.shape
     running = np.searchsorted(-sizes, -np.arange(steps), "left")
     log = np.zeros(n)
-    alphas = np.zeros((steps, n, len(model.start))) if keep else None
-    scales = np.ones((steps, n)) if keep else None
+    alphas = np.zeros((steps, n, len(model.start)), model.emit.dtype) if keep else None
+    scales = np.ones((steps, n), model.emit.dtype) if keep else None
     alpha = None
     for t in range(steps):
         k = running[t]
@@ -252,7 +271,7 @@ def expected(model: Hmm, sizes: np.ndarray, symbols: np.ndarray, counts: list[np
     log, alphas, scales, running = forward(model, sizes, symbols, keep=True)
     steps, n = symbols.shape
     start, move, emit = counts
-    beta = np.ones((n, len(model.start)))
+    beta = np.ones((n, len(model.start)), model.emit.dtype)
     moved = np.zeros_like(move)
     for t in range(steps - 1, -1, -1):
         k = running[t]
@@ -270,63 +289,184 @@ def expected(model: Hmm, sizes: np.ndarray, symbols: np.ndarray, counts: list[np
     return float(log.sum())
 
 
-def _expect(shared):
+def _rows_of(keys: np.ndarray, values: np.ndarray, words: list[bytes | None], c: np.ndarray) -> pa.RecordBatch:
+    states = [f"s{s}" for s in range(values.shape[1])]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int32()), pa.array(words, pa.binary()), pa.array(c, pa.int64()), *map(pa.array, np.ascontiguousarray(values.T))],
+        ["key", "word", "c", *states],
+    )
+
+
+def _count_columns(states: int) -> list[str]:
+    return ["c", *[f"s{s}" for s in range(states)]]
+
+
+def _expect(shared, lexicon=None):
+    """Expected counts ``key, word, c, s0...``: of the log-likelihood, the starts, the moves and the symbols.
+
+    With the lexicon the classes are untied: known words follow the symbols, and each other word has rows of its own,
+    under the key of its class, with the times it occurs.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Hmm = shared.value
-        states = len(model.start)
-        counts = [np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)]
+        model: Hmm = shared.value.single()
+        lex: Lexicon | None = lexicon.value if lexicon else None
+        states, symbols_ = len(model.start), len(model.emit)
+        if lex:
+            model = Hmm(model.start, model.move, np.vstack([model.emit, model.emit[lex.own + lex.kinds]]))
+        fixed = len(model.emit)
+        total = [np.zeros(states), np.zeros((states, states)), np.zeros((fixed, states))]
         log, seen = 0.0, False
         for batch in batches:
             docs = [np.frombuffer(s, "<u2") for s in batch.column("symbols").to_pylist()]
             seen |= bool(docs)
+            now, counts, place, kinds = model, total, {}, []
+            if lex:
+                docs, place, kinds = _untied(docs, batch, lex, symbols_)
+                now = Hmm(model.start, model.move, np.vstack([model.emit, model.emit[lex.own + np.array(kinds, np.int64)]]))
+                counts = [total[0], total[1], np.zeros((len(now.emit), states))]
             for _, sizes, symbols in _groups(docs):
-                log += expected(model, sizes, symbols, counts)
+                log += expected(now, sizes, symbols, counts)
+            if lex:
+                total[2] += counts[2][:fixed]
+                if place:
+                    times = np.bincount(np.concatenate(docs), minlength=len(now.emit))[fixed:]
+                    yield _rows_of(lex.own + np.array(kinds, np.int64), counts[2][fixed:], list(place), times)
         if seen:
-            used = np.flatnonzero(counts[2].any(axis=1))
+            used = np.flatnonzero(total[2].any(axis=1))
             first = np.r_[log, np.zeros(states - 1)]
-            values = np.vstack([first, counts[0], counts[1], counts[2][used]])
+            values = np.vstack([first, total[0], total[1], total[2][used]])
             keys = np.r_[np.arange(-2 - states, 0), used]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int32()), *[pa.array(np.ascontiguousarray(values[:, s])) for s in range(states)]],
-                ["key", *[f"s{s}" for s in range(states)]],
-            )
+            yield _rows_of(keys, values, [None] * len(keys), np.zeros(len(keys), np.int64))
 
     return run
 
 
-def train(encoded: DataFrame, lex: Lexicon, states: int = STATES, steps: int = STEPS) -> tuple[Hmm, list[float]]:
-    """Baum-Welch over all rows; the model, and the log-likelihood (natural) before each step."""
+def _untied(docs: list[np.ndarray], batch: pa.RecordBatch, lex: Lexicon, symbols: int) -> tuple[list[np.ndarray], dict, list]:
+    """The documents with the words behind their classes: the known ones after the symbols, then the batch's others.
+
+    Also the others' places and classes.
+    """
+    place: dict[bytes, int] = {}
+    kinds: list[int] = []
+    out = []
+    for doc, spots, rare in zip(docs, batch.column("spots").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+        mine = []
+        for r in rare:
+            mine.append(place.setdefault(r["word"], len(place)))
+            if len(place) > len(kinds):
+                kinds.append(r["kind"])
+        where = np.frombuffer(spots, "<u4").astype(np.int64)
+        other = where >= lex.band
+        if mine:
+            where[other] = lex.band + np.array(mine, np.int64)[where[other] - lex.band]
+        doc = doc.astype(np.int64)
+        doc[(doc >= lex.own) & (doc < symbols - 1)] = symbols + where
+        out.append(doc)
+    return out, place, kinds
+
+
+@dataclass
+class Emissions:
+    """How the words of a class lean to the states; ``lift`` is a word's share of its class in a state, over that at all."""
+
+    lean: np.ndarray  # classes x states: the states' shares in a class
+    scale: np.ndarray  # classes x states: what the lifted shares of a class add up to
+    known: np.ndarray  # lifts of the known words that are not symbols of their own
+
+    def lift(self, kinds: np.ndarray, c: np.ndarray, found: np.ndarray) -> np.ndarray:
+        lean = self.lean[kinds]
+        return (found + WORD_PRIOR * lean) / ((c[:, None] + WORD_PRIOR) * lean) / self.scale[kinds]
+
+
+def untie(lex: Lexicon, band: np.ndarray, rare: dict[int, tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray, Emissions]:
+    """The classes' expected counts, and the emissions of their words.
+
+    ``band`` are the expected counts of the known words; ``rare`` are, by class, the sums over all other words of their
+    expected counts, and of these and of 1 weighted by (c + 0.5) / (c + WORD_PRIOR).
+    """
+    states = band.shape[1]
+    c = lex.counts[lex.own :].astype(float)
+    weight = (c + 0.5) / (c + WORD_PRIOR)
+    sums, leaning, plain = np.zeros((CLASSES, states)), np.zeros((CLASSES, states)), np.zeros(CLASSES)
+    np.add.at(sums, lex.kinds, band)
+    np.add.at(leaning, lex.kinds, band * weight[:, None])
+    np.add.at(plain, lex.kinds, weight)
+    for kind, (found, weighted, weights) in rare.items():
+        sums[kind] += found
+        leaning[kind] += weighted
+        plain[kind] += weights
+    lean = (sums + 0.1) / (sums + 0.1).sum(axis=1, keepdims=True)
+    scale = (leaning / lean + WORD_PRIOR * plain[:, None] + 0.5) / 10 ** lex.class_total[:, None]
+    out = Emissions(lean, scale, np.zeros((0, states)))
+    out.known = out.lift(lex.kinds, c, band)
+    return sums, out
+
+
+def train(encoded: DataFrame, lex: Lexicon, states: int = STATES, steps: int = STEPS) -> tuple[Hmm, list[float], Emissions, DataFrame]:
+    """Baum-Welch over all rows, the last step untied.
+
+    Returns the model, the log-likelihood (natural) before each step, the emissions of the classes' words, and the table
+    ``key, word, c, s0...`` of the expected counts of the words that not every task knows.
+    """
     spark = encoded.sparkSession
     model, logs = first_guess(lex.shares, states), []
-    columns = [f"s{s}" for s in range(states)]
-    for _ in range(steps):
+    columns = _count_columns(states)
+    schema = "key int, word binary, c bigint, " + ", ".join(f"{c} double" for c in columns[1:])
+    sums = [F.sum(c).alias(c) for c in columns]
+    lexicon = spark.sparkContext.broadcast(lex)
+    none = np.zeros((lex.band, states))
+    emissions, rare = untie(lex, none, {})[1], spark.createDataFrame([], schema)
+    for step in range(steps):
         shared = spark.sparkContext.broadcast(model)
-        parts = encoded.select("symbols").mapInArrow(_expect(shared), "key int, " + ", ".join(f"{c} double" for c in columns))
-        rows = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in columns]).collect()
-        if not rows:
+        if last := step == steps - 1:
+            parts = encoded.select("symbols", "spots", "rare").mapInArrow(_expect(shared, lexicon), schema)
+            parts = stored(parts.groupBy("key", "word").agg(*sums), "expected")
+            rare, parts = parts.filter("word is not null"), parts.filter("word is null")
+        else:
+            parts = encoded.select("symbols").mapInArrow(_expect(shared), schema).groupBy("key").agg(*sums)
+        # Keys are bounded: states, symbols and known words.
+        rows = parts.select("key", *columns[1:]).toArrow()
+        if not rows.num_rows:
             break
-        found = {r["key"]: np.array(r[1:]) for r in rows}
-        logs.append(float(found[-2 - states][0]))
-        start = found[-1 - states] + 0.1
-        move = np.array([found[-states + s] for s in range(states)]) + 0.1
-        emit = PRIOR * np.repeat(lex.shares[:, None], states, axis=1)
-        for key, value in found.items():
-            if key >= 0:
-                emit[key] += value
+        keys = rows.column("key").to_numpy()
+        values = np.column_stack([rows.column(c).to_numpy() for c in columns[1:]])
+        table = np.zeros((2 + states + lex.symbols + lex.band, states))
+        table[keys + 2 + states] = values
+        logs.append(float(table[0, 0]))
+        start, move, found = table[1] + 0.1, table[2 : 2 + states] + 0.1, table[2 + states :]
+        if last:
+            weight = (F.col("c") + 0.5) / (F.col("c") + WORD_PRIOR)
+            weighted = [F.sum(weight * F.col(c)).alias(f"w_{c}") for c in columns[1:]]
+            by_class = rare.groupBy("key").agg(*sums[1:], *weighted, F.sum(weight).alias("w")).collect()
+            of_rare = {r["key"] - lex.own: (np.array(r[1 : 1 + states]), np.array(r[1 + states : -1]), r["w"]) for r in by_class}
+            classes, emissions = untie(lex, found[lex.symbols :], of_rare)
+            found[lex.own : lex.own + CLASSES] += classes
+        emit = PRIOR * lex.shares[:, None] + found[: lex.symbols]
         model = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    return model, logs
+    return model, logs, emissions, rare
 
 
-def _likelihoods(shared):
+def _likelihoods(shared, lexicon, emissions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Hmm = shared.value
+        model, lex, words = shared.value, lexicon.value, emissions.value
+        fixed = np.vstack([model.emit, model.emit[lex.own + lex.kinds] * words.known])
+        states = len(model.start)
         for batch in batches:
             docs = [np.frombuffer(s, "<u2") for s in batch.column("symbols").to_pylist()]
+            docs, place, kinds = _untied(docs, batch, lex, len(model.emit))
+            kinds, found, c = np.array(kinds, np.int64), np.zeros((len(place), states)), np.zeros(len(place))
+            rows = batch.column("found").flatten()
+            at = [place[w] for w in rows.field("word").to_pylist()]
+            found[at] = rows.field("s").flatten().to_numpy().reshape(-1, states)
+            c[at] = rows.field("c").to_numpy()
+            own = model.emit[lex.own + kinds] * words.lift(kinds, c, found)
+            full = Hmm(model.start, model.move, np.vstack([fixed, own]))
             out = np.zeros(len(docs))
             for some, sizes, symbols in _groups(docs):
-                out[some] = forward(model, sizes, symbols)
-            at = batch.schema.get_field_index("symbols")
-            yield batch.set_column(at, "likelihood", pa.array(out / np.log(10)))
+                out[some] = forward(full, sizes, symbols)
+            kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "rare_logs", "rare_known"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in kept], pa.array(out / np.log(10))], [*kept, "likelihood"])
 
     return run
 
@@ -336,7 +476,8 @@ def score_texts(docs: DataFrame, states: int = STATES, steps: int = STEPS) -> Da
 
     Words are lower-cased (A-Z) runs without ASCII white space, then one end.  A document is held out if the CRC-32 of
     its id as text leaves 1 modulo 5; the others train.  ``base_score`` is the smoothed unigram's, ``score`` the
-    model's log10 probability.  A null or empty text is the end alone; a null id counts as the empty text and trains;
+    model's log10 probability, in which every training word has emissions of its own.  A very long text is scored whole, in
+memory that grows with its words.  A null or empty text is the end alone; a null id counts as the empty text and trains;
     repeated rows train and score as often as they occur; without training documents every word is unknown; an empty
     table gives no rows; other columns are left out.
     """
@@ -347,16 +488,21 @@ def score_texts(docs: DataFrame, states: int = STATES, steps: int = STEPS) -> Da
     lex = build_lexicon(counts)
     encoded = rows.mapInArrow(_encode(spark.sparkContext.broadcast(lex)), ENCODED)
     encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    model, _ = train(encoded.filter("not held_out"), lex, states, steps)
+    model, _, emissions, counted = train(encoded.filter("not held_out"), lex, states, steps)
+    # What a document's other words bring travels to it: as many rows as it has such words.
+    found = F.struct("word", "c", F.array(*[F.col(f"s{s}").cast("float") for s in range(states)]).alias("s"))
     rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    rare = rare.join(counts.filter("word is not null"), "word", "left").groupBy("row").agg(
+    rare = rare.join(counted.drop("key"), "word", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
+        F.collect_list(F.when(F.col("c") > 0, found)).alias("found"),
     )
-    fields = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, inside double"
-    scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "symbols")
-    scored = scored.mapInArrow(_likelihoods(spark.sparkContext.broadcast(model)), f"{fields}, likelihood double")
-    out = scored.join(rare, "row", "left").withColumn("rare_logs", F.coalesce("rare_logs", F.lit(0.0)))
+    shared = [spark.sparkContext.broadcast(x) for x in (model, lex, emissions)]
+    out = encoded.join(rare, "row", "left").mapInArrow(
+        _likelihoods(*shared),
+        "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, inside double, "
+        "rare_logs double, rare_known bigint, likelihood double",
+    ).withColumn("rare_logs", F.coalesce("rare_logs", F.lit(0.0)))
     base = float(np.log10(lex.total + 0.5 * (lex.distinct + 1)))
     return out.select(
         "doc_id", "held_out", "n_tokens",

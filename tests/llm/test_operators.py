@@ -422,6 +422,51 @@ def test_the_model_beats_the_base_on_held_out_texts(spark, sf):
     assert rows[0] > rows[1]
 
 
+def test_every_training_word_gets_emissions_of_its_own(docs, monkeypatch):
+    """The untied model as one table of all words, by a plain loop, gives the same probabilities and adds up to one."""
+    monkeypatch.setattr(lm_scoring, "OWN", 40)
+    monkeypatch.setattr(lm_scoring, "KNOWN", 120)
+    seen = {}
+    train = lm_scoring.train
+
+    def spy(encoded, lex, states, steps):
+        seen["lex"], seen["out"] = lex, train(encoded, lex, states, steps)
+        return seen["out"]
+
+    monkeypatch.setattr(lm_scoring, "train", spy)
+    got = sorted(((str(r["doc_id"]), r["score"]) for r in lm_scoring.score_texts(docs, states=3, steps=3).collect()))
+    lex, (model, logs, emissions, rare) = seen["lex"], seen["out"]
+    assert logs == sorted(logs)
+    rows = [(d, t.encode().lower().split()) for d, t in rows_of(docs)]
+    c = Counter(w for d, ws in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1 for w in ws)
+    counted = {bytes(r["word"]): r for r in rare.collect()}
+    assert set(counted) == set(c) - set(lex.words) and len(counted) > 20
+    assert all(r["c"] == c[w] and math.isclose(sum(r[k] for k in ("s0", "s1", "s2")), c[w], rel_tol=1e-4) for w, r in counted.items())
+
+    def of_class(kind, n, found):
+        lift = emissions.lift(np.array([kind]), np.array([n]), np.array([found]))[0]
+        return model.emit[lex.own + kind] * lift * (n + 0.5) / 10 ** lex.class_total[kind]
+
+    table = {w: model.emit[i] for i, w in enumerate(lex.words[: lex.own])}
+    for i, w in enumerate(lex.words[lex.own :]):
+        kind = lm_scoring.word_class(w)
+        table[w] = model.emit[lex.own + kind] * emissions.known[i] * (c[w] + 0.5) / 10 ** lex.class_total[kind]
+    for w, r in counted.items():
+        table[w] = of_class(lm_scoring.word_class(w), c[w], [r["s0"], r["s1"], r["s2"]])
+    unknown = [of_class(k, 0, [0, 0, 0]) for k in range(lm_scoring.CLASSES)]
+    assert np.allclose(sum(table.values()) + sum(unknown) + model.emit[-1], 1)
+    assert len({tuple(table[w] / table[w].sum()) for w in counted}) > 10  # words of a class differ
+    want = []
+    for d, words in rows:
+        alpha, log = model.start, 0.0
+        for w in [*words, None]:
+            alpha = alpha * (model.emit[-1] if w is None else table.get(w, unknown[lm_scoring.word_class(w or b"")]))
+            log, alpha = log + math.log10(alpha.sum()), alpha / alpha.sum() @ model.move
+        want.append((str(d), log))
+    assert [d for d, _ in got] == sorted(d for d, _ in want)
+    assert np.allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-5)
+
+
 def test_forward_and_expected_counts_equal_enumeration():
     rng = np.random.default_rng(2)
     model = lm_scoring.Hmm(np.array([0.3, 0.7]), np.array([[0.6, 0.4], [0.2, 0.8]]), rng.dirichlet(np.ones(4), 2).T)
