@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +182,7 @@ def _encode(shared):
                 local = np.array([place.setdefault(words[i], len(place)) for i in rare.tolist()], np.int64)
                 spots = at - lex.own
                 spots[rare] = lex.band + local
-                others = zip(place, (at[rare] - n)[np.unique(local, return_index=True)[1]].tolist(), np.bincount(local).tolist(), strict=True)
+                others = zip(place, np.bincount(local).tolist(), strict=True)
                 out.append(
                     (
                         len(words) + 1,
@@ -190,7 +191,7 @@ def _encode(shared):
                         float(inside[at].sum()),
                         np.r_[symbol[at], end].tobytes(),
                         spots[at >= lex.own].astype("<u4").tobytes(),
-                        [{"word": w, "kind": kind, "n": k} for w, kind, k in others],
+                        [{"word": w, "n": k} for w, k in others],
                     )
                 )
             columns = list(zip(*out, strict=True)) if out else [()] * 7
@@ -203,10 +204,10 @@ def _encode(shared):
     return run
 
 
-RARE = pa.list_(pa.struct([("word", pa.binary()), ("kind", pa.int32()), ("n", pa.int64())]))
+RARE = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 ENCODED = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, inside double, symbols binary, "
-    "spots binary, rare array<struct<word:binary,kind:int,n:bigint>>"
+    "spots binary, rare array<struct<word:binary,n:bigint>>"
 )
 
 
@@ -289,10 +290,10 @@ def expected(model: Hmm, sizes: np.ndarray, symbols: np.ndarray, counts: list[np
     return float(log.sum())
 
 
-def _rows_of(keys: np.ndarray, values: np.ndarray, words: list[bytes | None], c: np.ndarray) -> pa.RecordBatch:
+def _rows_of(keys: np.ndarray, values: np.ndarray, words: pa.Array, c: np.ndarray) -> pa.RecordBatch:
     states = [f"s{s}" for s in range(values.shape[1])]
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int32()), pa.array(words, pa.binary()), pa.array(c, pa.int64()), *map(pa.array, np.ascontiguousarray(values.T))],
+        [pa.array(keys, pa.int32()), words, pa.array(c, pa.int64()), *map(pa.array, np.ascontiguousarray(values.T))],
         ["key", "word", "c", *states],
     )
 
@@ -311,7 +312,7 @@ def _expect(shared, lexicon=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Hmm = shared.value.single()
         lex: Lexicon | None = lexicon.value if lexicon else None
-        states, symbols_ = len(model.start), len(model.emit)
+        states = len(model.start)
         if lex:
             model = Hmm(model.start, model.move, np.vstack([model.emit, model.emit[lex.own + lex.kinds]]))
         fixed = len(model.emit)
@@ -320,50 +321,48 @@ def _expect(shared, lexicon=None):
         for batch in batches:
             docs = [np.frombuffer(s, "<u2") for s in batch.column("symbols").to_pylist()]
             seen |= bool(docs)
-            now, counts, place, kinds = model, total, {}, []
+            now, counts = model, total
             if lex:
-                docs, place, kinds = _untied(docs, batch, lex, symbols_)
-                now = Hmm(model.start, model.move, np.vstack([model.emit, model.emit[lex.own + np.array(kinds, np.int64)]]))
+                words = batch.column("words").flatten().dictionary_encode()
+                docs, kinds = _untied(docs, batch, lex, words.indices.to_numpy(), len(words.dictionary))
+                now = Hmm(model.start, model.move, np.vstack([model.emit, model.emit[lex.own + kinds]]))
                 counts = [total[0], total[1], np.zeros((len(now.emit), states))]
             for _, sizes, symbols in _groups(docs):
                 log += expected(now, sizes, symbols, counts)
             if lex:
                 total[2] += counts[2][:fixed]
-                if place:
+                if len(kinds):
                     times = np.bincount(np.concatenate(docs), minlength=len(now.emit))[fixed:]
-                    yield _rows_of(lex.own + np.array(kinds, np.int64), counts[2][fixed:], list(place), times)
+                    yield _rows_of(lex.own + kinds, counts[2][fixed:], words.dictionary, times)
         if seen:
             used = np.flatnonzero(total[2].any(axis=1))
             first = np.r_[log, np.zeros(states - 1)]
             values = np.vstack([first, total[0], total[1], total[2][used]])
             keys = np.r_[np.arange(-2 - states, 0), used]
-            yield _rows_of(keys, values, [None] * len(keys), np.zeros(len(keys), np.int64))
+            yield _rows_of(keys, values, pa.nulls(len(keys), pa.binary()), np.zeros(len(keys), np.int64))
 
     return run
 
 
-def _untied(docs: list[np.ndarray], batch: pa.RecordBatch, lex: Lexicon, symbols: int) -> tuple[list[np.ndarray], dict, list]:
+def _untied(docs: list[np.ndarray], batch: pa.RecordBatch, lex: Lexicon, number: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The documents with the words behind their classes: the known ones after the symbols, then the batch's others.
 
-    Also the others' places and classes.
+    ``number`` gives the numbers, below ``size``, of all documents' other words, one after the other; also their classes.
     """
-    place: dict[bytes, int] = {}
-    kinds: list[int] = []
-    out = []
-    for doc, spots, rare in zip(docs, batch.column("spots").to_pylist(), batch.column("rare").to_pylist(), strict=True):
-        mine = []
-        for r in rare:
-            mine.append(place.setdefault(r["word"], len(place)))
-            if len(place) > len(kinds):
-                kinds.append(r["kind"])
+    kinds = np.zeros(size, np.int64)
+    out, at = [], 0
+    for doc, spots, n in zip(docs, batch.column("spots").to_pylist(), batch.column("others").to_pylist(), strict=True):
         where = np.frombuffer(spots, "<u4").astype(np.int64)
+        classed = np.flatnonzero((doc >= lex.own) & (doc < lex.symbols - 1))
         other = where >= lex.band
-        if mine:
-            where[other] = lex.band + np.array(mine, np.int64)[where[other] - lex.band]
-        doc = doc.astype(np.int64)
-        doc[(doc >= lex.own) & (doc < symbols - 1)] = symbols + where
+        mine = number[at : at + n][where[other] - lex.band]
+        kinds[mine] = doc[classed[other]] - lex.own
+        where[other] = lex.band + mine
+        doc = doc.astype(np.int32)
+        doc[classed] = lex.symbols + where
         out.append(doc)
-    return out, place, kinds
+        at += n
+    return out, kinds
 
 
 @dataclass
@@ -420,7 +419,7 @@ def train(encoded: DataFrame, lex: Lexicon, states: int = STATES, steps: int = S
     for step in range(steps):
         shared = spark.sparkContext.broadcast(model)
         if last := step == steps - 1:
-            parts = encoded.select("symbols", "spots", "rare").mapInArrow(_expect(shared, lexicon), schema)
+            parts = encoded.select("symbols", "spots", F.col("rare.word").alias("words"), F.size("rare").alias("others")).mapInArrow(_expect(shared, lexicon), schema)
             parts = stored(parts.groupBy("key", "word").agg(*sums), "expected")
             rare, parts = parts.filter("word is not null"), parts.filter("word is null")
         else:
@@ -454,10 +453,13 @@ def _likelihoods(shared, lexicon, emissions):
         states = len(model.start)
         for batch in batches:
             docs = [np.frombuffer(s, "<u2") for s in batch.column("symbols").to_pylist()]
-            docs, place, kinds = _untied(docs, batch, lex, len(model.emit))
-            kinds, found, c = np.array(kinds, np.int64), np.zeros((len(place), states)), np.zeros(len(place))
+            sizes = batch.column("others").to_numpy()
+            n = int(sizes.sum())
+            docs, kinds = _untied(docs, batch, lex, np.arange(n), n)
+            found, c = np.zeros((n, states)), np.zeros(n)
             rows = batch.column("found").flatten()
-            at = [place[w] for w in rows.field("word").to_pylist()]
+            brought = pc.fill_null(pc.list_value_length(batch.column("found")), 0).to_numpy()
+            at = np.repeat(np.cumsum(sizes) - sizes, brought) + rows.field("at").to_numpy()
             found[at] = rows.field("s").flatten().to_numpy().reshape(-1, states)
             c[at] = rows.field("c").to_numpy()
             own = model.emit[lex.own + kinds] * words.lift(kinds, c, found)
@@ -490,15 +492,15 @@ memory that grows with its words.  A null or empty text is the end alone; a null
     encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
     model, _, emissions, counted = train(encoded.filter("not held_out"), lex, states, steps)
     # What a document's other words bring travels to it: as many rows as it has such words.
-    found = F.struct("word", "c", F.array(*[F.col(f"s{s}").cast("float") for s in range(states)]).alias("s"))
-    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    rare = rare.join(counted.drop("key"), "word", "left").groupBy("row").agg(
+    counted = counted.select("word", "c", F.array(*[F.col(f"s{s}").cast("float") for s in range(states)]).alias("s"))
+    rare = encoded.select("row", F.posexplode("rare").alias("at", "r")).select("row", "at", "r.word", "r.n")
+    rare = rare.join(counted, "word", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_logs"),
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.collect_list(F.when(F.col("c") > 0, found)).alias("found"),
+        F.collect_list(F.when(F.col("c") > 0, F.struct("at", "c", "s"))).alias("found"),
     )
     shared = [spark.sparkContext.broadcast(x) for x in (model, lex, emissions)]
-    out = encoded.join(rare, "row", "left").mapInArrow(
+    out = encoded.withColumn("others", F.size("rare")).drop("rare").join(rare, "row", "left").mapInArrow(
         _likelihoods(*shared),
         "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, inside double, "
         "rare_logs double, rare_known bigint, likelihood double",
