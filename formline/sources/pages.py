@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -80,14 +81,24 @@ def regular_rows(pages: DataFrame, *, page="page_id", html="html", ids: Sequence
 TABLE_TAG = re.compile(r"<(/?)table\b[^>]*>", re.IGNORECASE)
 
 
+def _parted(html: str) -> tuple[str, str]:
+    """The live page, and the content of its comments by lines, as ``COMMENT`` finds them."""
+    live, comments, at = [], [], 0
+    while (start := html.find("<!--", at)) >= 0 and (end := html.find("-->", start + 4)) >= 0:
+        live.append(html[at:start])
+        comments.append(html[start + 4 : end])
+        at = end + 3
+    return "".join([*live, html[at:]]), "\n".join(comments)
+
+
 def find_table(html: str | None, ids: Sequence[str] = TABLE_IDS) -> str | None:
     """Markup of the wanted table, tables nested in it included: in the live page first, else inside a comment."""
     if not html:
         return None
-    live, comments = re.sub(COMMENT, "", html), "\n".join(re.findall(COMMENT, html))
+    live, comments = _parted(html)
     for text in (live, comments):
         for table_id in ids:
-            begin = re.search(rf"<table[^>]*\bid\s*=\s*[\"']{re.escape(table_id)}[\"'][^>]*>", text)
+            begin = table_id in text and re.search(rf"<table[^>]*\bid\s*=\s*[\"']{re.escape(table_id)}[\"'][^>]*>", text)
             depth = 0
             for tag in TABLE_TAG.finditer(text, begin.start()) if begin else ():
                 depth += -1 if tag[1] else 1
@@ -98,6 +109,12 @@ def find_table(html: str | None, ids: Sequence[str] = TABLE_IDS) -> str | None:
     return None
 
 
+def _spans(attributes) -> Iterator[int]:
+    """The columns and rows that a cell of these attributes fills."""
+    given = dict(attributes)
+    return (max(1, int(n)) if (n := given.get(name) or "1").isdigit() else 1 for name in ("colspan", "rowspan"))
+
+
 class _TableParser(HTMLParser):
     """Collects the rows of one table; cells that span columns or rows are repeated.
 
@@ -125,11 +142,9 @@ class _TableParser(HTMLParser):
             self._row = []
         elif tag in ("td", "th") and self._row is not None:
             self._end_cell()
-            given = dict(attrs)
-            self._cell = []
-            self._span, self._down = (
-                max(1, int(n)) if (n := given.get(name) or "1").isdigit() else 1 for name in ("colspan", "rowspan")
-            )
+            self._cell, self._span, self._down = [], 1, 1
+            if attrs:
+                self._span, self._down = _spans(attrs)
 
     def handle_endtag(self, tag):
         if self._depth == 1:
@@ -161,6 +176,8 @@ class _TableParser(HTMLParser):
 
     def _placed(self, row: list[tuple[str, int, int]]) -> list[str]:
         """The texts by column, with those of cells from above in between."""
+        if not self._above and all(span == down == 1 for _, span, down in row):
+            return [text for text, _, _ in row]
         out: list[str] = []
         below: dict[int, tuple[int, str]] = {}
 
@@ -182,11 +199,68 @@ class _TableParser(HTMLParser):
         return out
 
 
+# Tags that every reader of HTML takes the same way, if they are written out whole.
+KNOWN = frozenset(
+    "table thead tbody tfoot tr td th a abbr b i u em strong small span sup sub div p br caption colgroup col".split()
+)
+# Whether a tag ends a row, and what it begins.
+_KINDS = {"td": (False, "cell"), "th": (False, "cell"), "/td": (False, ""), "/th": (False, ""), "thead": (False, "thead")}
+_KINDS |= {"tr": (True, "tr")} | {tag: (True, "") for tag in ("/tr", "/tbody", "/thead", "/table")}
+_ATTRIBUTE = r"""\s+([a-zA-Z][a-zA-Z0-9_-]*)(?:=("[^"<>&]*"|'[^'<>&]*'|[^\s"'<>&=`/]+))?"""
+ATTRIBUTE = re.compile(_ATTRIBUTE, re.ASCII)
+_UNNAMED = _ATTRIBUTE.replace("([a", "(?:[a").replace('("', '(?:"')
+PLAIN_TAG = re.compile(rf"<(/?[a-zA-Z]+)((?:{_UNNAMED})*)\s*>", re.ASCII)
+
+
+def _feed_plain(parser: _TableParser, markup: str) -> bool:
+    """Gives the parser the rows of one table of known, well-formed tags without another in it, found by one pattern.
+
+    The rows are those that feeding it the markup gives; False, and nothing done, for any other markup.
+    """
+    parts = PLAIN_TAG.split(markup)
+    names, given = parts[1::3], parts[2::3]
+    if not names or markup.count("<") != len(names):
+        return False
+    lower = {name: name.lower() for name in set(names)}
+    if not KNOWN.issuperset(name.removeprefix("/") for name in lower.values()):
+        return False
+    if any(g and name[0] == "/" for name, g in zip(names, given, strict=True)):
+        return False
+    tables = [i for i, name in enumerate(names) if lower[name] in ("table", "/table")]
+    if lower[names[0]] != "table" or tables not in ([0], [0, len(names) - 1]) or lower[names[tables[-1]]] != ("/table" if tables[1:] else "table"):
+        return False
+    kinds = {name: _KINDS[tag] for name, tag in lower.items() if tag in _KINDS}
+    row = cell = None
+    span = down = 1
+    for name, attributes, text in zip(names, given, parts[3::3], strict=True):
+        if name in kinds:
+            ends_row, begins = kinds[name]
+            if cell is not None and begins != "thead":
+                row.append((" ".join("".join(cell).split()), span, down))
+                cell = None
+            if ends_row:
+                parser._row = row
+                parser._end_row()
+                row = [] if begins == "tr" else None
+                if name[1:].lower() == "thead":
+                    parser._in_head, parser._above = False, {}
+            elif begins == "cell" and row is not None:
+                cell, span, down = [], 1, 1
+                if attributes:
+                    span, down = _spans((n.lower(), (v[1:-1] if v[0] in "\"'" else v) if v else None) for n, v in ATTRIBUTE.findall(attributes))
+            elif begins == "thead":
+                parser._in_head = True
+        if text and cell is not None:
+            cell.append(unescape(text) if "&" in text else text)
+    return True
+
+
 def parse_table(markup: str) -> tuple[list[str], list[list[str | None]]]:
     """Header names and rows of one table; blank cells are missing, short rows are padded."""
     parser = _TableParser()
-    parser.feed(markup)
-    parser.close()
+    if not _feed_plain(parser, markup):
+        parser.feed(markup)
+        parser.close()
     head, body = parser.head, parser.body
     names = head[-1] if head else (body.pop(0) if body else [])
     width = max([len(names), *map(len, body)], default=0)

@@ -101,8 +101,9 @@ def log_pages(spark, sf):
     """One page per event, rendered by Spark: a log table, live or inside a comment, or none.
 
     Every table repeats its header and holds a total and a row that was not played.
+    The log is dealt evenly before its pages, a hundred times as large, are made of it.
     """
-    logs = B.game_logs(spark, sf)
+    logs = B.game_logs(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism)
     gid = F.col("game_id")
     minutes = F.concat(F.coalesce("minutes", F.lit(0.0)).cast("int").cast("string"), F.lit(":"), F.lpad((gid % 60).cast("string"), 2, "0"))
     cells = [
@@ -125,7 +126,7 @@ def log_pages(spark, sf):
     body = F.when(gid % 3 == 0, table).when(gid % 3 == 1, F.concat(F.lit("<!-- \n"), table, F.lit("-->")))
     html = F.concat(F.lit("<html><!-- pgl_basic --><table id='other'><tr><td>x</td></tr></table>"), F.coalesce(body, F.lit("")))
     pages = logs.select(gid.alias("page_id"), html.alias("html"), "player_id", "player_name", "position", "season")
-    return stored(pages.hint("rebalance"), "pages")
+    return stored(pages, "pages")
 
 
 @query(

@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from formline.functions.labels import label_table, reason_label
+from formline.sources import pages as P
 from formline.sources.pages import comment_blocks, gamelog_rows, parse_table, table_html
 
 HEAD = "<tr><th>Rk</th><th>Date</th><th>Tm</th><th></th><th>Opp</th><th>MP</th><th>PTS</th></tr>"
@@ -96,3 +97,28 @@ def test_nested_and_row_spanning_cells(spark):
 def test_extraction_reads_the_pages_once(spark):
     plan = gamelog_rows(pages(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("MapInPandas") == 1
+
+
+def test_known_tags_need_no_html_parser(monkeypatch):
+    """Tables of well-formed known tags give the parser's rows without it; all others still go through it."""
+    plain = [
+        table("pgl_basic"), "<table></table>", "<table><tr><td>a<td colspan='2'> b &amp;\n c <tr><th rowspan=2>d</th><td>e</table>",
+        "<TABLE id=x><THEAD><tr><th>A</thead><tr><td class=\"a b\">1<br><b>2</b></td></tr><tr></tr></TABLE>",
+        "<table>x<td>no row</td><tr>y<td>1</td>z<thead><tr><th>late</th></table>", "<table><tr><td colspan=''>a</td><td colspan=x rowspan=0>b</td></tr>",
+    ]
+    others = ["<table><tr><td>1<!-- <td> --></td></table>", "<table><tr><td>a < b</table>", "<table><tr><td><table><tr><td>x</table></td></table>",
+              "<table><tr><td title='>'>1</td></table>", "<table><tr><td>1<script><td>2</script></table>", "", "text"]
+    fed = []
+    feed = P._TableParser.feed
+    monkeypatch.setattr(P._TableParser, "feed", lambda self, markup: (fed.append(markup), feed(self, markup))[1])
+    quick = [parse_table(markup) for markup in plain + others]
+    assert fed == others
+    monkeypatch.setattr(P, "_feed_plain", lambda parser, markup: False)
+    assert [parse_table(markup) for markup in plain + others] == quick
+
+
+def test_comments_are_parted_as_the_pattern_finds_them():
+    import re
+
+    for html in ("a<!--b-->c", "<!-->x-->y", "<!---->", "<!-- a <!-- b --> c -->", "a<!-- open", "", "-->a<!--\n-->"):
+        assert P._parted(html) == (re.sub(P.COMMENT, "", html), "\n".join(re.findall(P.COMMENT, html)))
