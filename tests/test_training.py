@@ -140,3 +140,19 @@ def test_answers_from_any_window_and_either_log(spark):
         else:
             kind = "current season" if player == 2 else "training data"
             assert row["source"] == f"{kind} ({len(want)} games)" and row["stat_mean"] == pytest.approx(np.mean(want))
+
+
+def test_training_rows_are_sliced_and_made_vectors_once(dated, monkeypatch):
+    """The index of a small table is cut as well, and the targets of a fold share its vectors."""
+    rows = dated.where("t is not null and not isnan(a)").withColumns({"pts": F.col("y"), "reb": F.col("b")})
+    asked = {"features": ["a", "b"], "order": ["t", "k"], "targets": ["pts", "reb"], "settings": SMALL}
+    slices, made, time_index, prepared = [], [], M.time_index, M.prepared
+    monkeypatch.setattr(M, "ROWS_PER_PART", 50)
+    monkeypatch.setattr(M, "time_index", lambda *given, **kw: (slices.append(kw.get("rows_per_slice")), time_index(*given, **kw))[1])
+    monkeypatch.setattr(M, "prepared", lambda *given: (made.append(1), prepared(*given))[1])
+    found = M.train_per_target(rows, **asked)
+    assert found.rows == {"pts": rows.count(), "reb": rows.count()} and slices == [50] and len(made) == 1
+    made.clear()
+    folds = M.temporal_cv(rows, **asked, k=3).collect()
+    assert {(r["target"], r["fold"], r["n_tested"]) for r in folds} == {(t, f, rows.count() // 4) for t in ("pts", "reb") for f in (1, 2, 3)}
+    assert len(made) == 3
