@@ -7,8 +7,9 @@ import pickle
 import tempfile
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +28,15 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, files_p
     return reader.options(**options).parquet(path)
 
 
+# Entities share keys of the state, as every call to the store costs the same however little it carries.  Fixed, so that
+# a batch's calls do not grow with the number of entities; a key holds the tails of its entities in memory.
+BUCKETS = 1024
+
+
+def bucket_of(entity: str) -> Column:
+    return F.pmod(F.xxhash64(entity), F.lit(BUCKETS)).alias("_bucket")
+
+
 class RecentRows(StatefulProcessor):
     """Keeps an entity's newest rows, and counts and sums over all of its rows.
 
@@ -274,28 +284,58 @@ def in_order(frames: Iterator[pd.DataFrame], order: Sequence[str], chunk: int =
 
 
 class RollingMeans(StatefulProcessor):
-    """Keeps the last rows of an entity and emits lagged means for each new one."""
+    """Keeps the last rows of the entities of a bucket and emits lagged means for each new one."""
 
-    def __init__(self, measures: Sequence[str], sizes: Sequence[int], order: Sequence[str], kept: T.StructType):
-        self.measures, self.sizes, self.order, self.kept = list(measures), list(sizes), list(order), kept
+    def __init__(self, measures: Sequence[str], sizes: Sequence[int], order: Sequence[str], entity: T.DataType):
+        self.measures, self.sizes, self.order, self.entity = list(measures), list(sizes), list(order), entity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", self.kept)
+        many = lambda name, kind: T.StructField(name, T.ArrayType(kind))
+        numbers = [many(f"m{i}", T.DoubleType()) for i in range(len(self.measures))]
+        # How many rows each entity has, and the rows, one entity after the other.
+        kept = [many("entity", self.entity), many("n", T.LongType()), *numbers]
+        self.last = handle.getValueState("last", T.StructType(kept))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = self.kept.fieldNames()
-        tail = pd.DataFrame(list(self.last.get()) if self.last.exists() else [], columns=names).astype(float)
+        tails: dict = {}
+        if self.last.exists():
+            entities, n, *numbers = self.last.get()
+            tails = dict(zip(entities, np.split(np.array(numbers, float).T, np.cumsum(n)[:-1]), strict=True))
         for fresh in in_order(rows, self.order):
-            values = pd.concat([tail, fresh[self.measures].astype(float)], ignore_index=True) if len(tail) else fresh[self.measures].astype(float)
-            out = fresh[[self.order[1]]].reset_index(drop=True)
-            for m in self.measures:
-                for n in self.sizes:
-                    means = values[m].shift(1).rolling(n, min_periods=1).mean()
-                    out[f"rolling_last{n}_{m}"] = means.iloc[len(tail) :].to_numpy()
-            tail = values.tail(max(self.sizes))
-            out.insert(0, "key", key[0])
+            out = self._means(fresh, tails)
             yield out.astype(object).where(out.notna(), None)
-        self.last.put([tuple(None if pd.isna(v) else float(v) for v in r) for r in tail.itertuples(index=False)])
+        whole = np.concatenate(list(tails.values())).T.tolist()
+        self.last.update((list(tails), [len(t) for t in tails.values()], *whole))
+
+    def _means(self, fresh: pd.DataFrame, tails: dict) -> pd.DataFrame:
+        """The means of rows in order; ``tails``, the last rows of each entity, are brought up to date."""
+        most, entities = max(self.sizes), fresh[self.order[0]].tolist()
+        values = fresh[self.measures].to_numpy(float)
+        starts = [0, *[i for i in range(1, len(entities)) if entities[i] != entities[i - 1]], len(entities)]
+        pieces, is_new, place = [], [], []
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            tail = tails.get(entities[start], values[:0])
+            pieces += [tail, values[start:end]]
+            is_new += [np.zeros(len(tail), bool), np.ones(end - start, bool)]
+            place.append(np.arange(len(tail) + end - start))
+            # Copied, so that a tail does not keep the rows it was cut from.
+            tails[entities[start]] = np.concatenate([tail, values[start:end][-most:]])[-most:].copy()
+        rows, is_new, place = np.concatenate(pieces), np.concatenate(is_new), np.concatenate(place)
+        at = np.flatnonzero(is_new)
+        total, number, means = np.zeros(values.shape), np.zeros(values.shape), {}
+        for lag in range(1, most + 1):
+            before = rows[np.maximum(at - lag, 0)]
+            known = (place[at] >= lag)[:, None] & ~np.isnan(before)
+            total += np.where(known, before, 0.0)
+            number += known
+            if lag in self.sizes:
+                means[lag] = np.divide(total, number, out=np.full(values.shape, np.nan), where=number > 0)
+        out = fresh[[self.order[2]]].reset_index(drop=True)
+        for i, m in enumerate(self.measures):
+            for n in self.sizes:
+                out[f"rolling_last{n}_{m}"] = means[n][:, i]
+        out.insert(0, "key", entities)
+        return out
 
     def close(self) -> None:
         pass
@@ -311,7 +351,7 @@ def rolling_state(
     sizes: Sequence[int] = (3, 5, 10),
     delay: str = "7 days",
 ) -> DataFrame:
-    """Lagged rolling means for every arriving row, from per-entity state of the last rows.
+    """Lagged rolling means for every arriving row, from the last rows of each entity, kept by buckets of entities.
 
     Repeated (entity, time, tiebreak) rows within the watermark count once and rows older
     than the watermark in force are dropped (Spark enforces a watermark one batch after the
@@ -324,13 +364,12 @@ def rolling_state(
         *[F.col(m).cast("double").alias(m) for m in measures],
     ).where(F.col(entity).isNotNull())
     rows = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([entity, event_time, tiebreak])
-    kept = T.StructType([T.StructField(m, T.DoubleType()) for m in measures])
     out = T.StructType([T.StructField("key", kinds[entity]), T.StructField(tiebreak, kinds[tiebreak])])
     for m in measures:
         for n in sizes:
             out = out.add(f"rolling_last{n}_{m}", T.DoubleType())
-    processor = RollingMeans(measures, sizes, [event_time, tiebreak], kept)
-    result = rows.groupBy(entity).transformWithStateInPandas(
+    processor = RollingMeans(measures, sizes, [entity, event_time, tiebreak], kinds[entity])
+    result = rows.select("*", bucket_of(entity)).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="None"
     )
     return result.withColumnRenamed("key", entity)

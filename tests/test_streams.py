@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formline.session import numbered_folders
 from formline.streaming import live as L
@@ -123,3 +124,58 @@ def test_runs_with_ties_missing_and_few_rows(size):
     parts = [whole.iloc[i : i + 13] for i in range(0, size, 13)]
     got = list(L.in_order(iter(parts), ["t", "k"], chunk=16, step=3))
     assert [tuple(r) for p in got for r in p.to_numpy()] == sorted(tuple(r) for r in whole.to_numpy())
+
+
+class Held:
+    """A value or map of a state store, in memory, that counts the calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def exists(self):
+        return None in self.held
+
+    def get(self):
+        self.calls += 1
+        return self.held[None]
+
+    def update(self, value):
+        self.calls += 1
+        self.held[None] = value
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.held
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.held[key] = value
+
+
+class Store:
+    def __init__(self):
+        self.made = []
+
+    def _make(self, *_):
+        self.made.append(Held())
+        return self.made[-1]
+
+    getValueState = getMapState = _make  # noqa: N815
+
+
+def test_rolling_state_of_many_entities_takes_two_calls_a_batch():
+    processor, store = L.RollingMeans(["v"], (2, 3), ["e", "t", "k"], T.LongType()), Store()
+    processor.init(store)
+    rows = pd.DataFrame([(e, t, t, None if (e + t) % 5 == 0 else float(e * t)) for e in range(50) for t in range(8)], columns=["e", "t", "k", "v"])
+    got = []
+    for part in (rows[rows["t"] < 3], rows[(rows["t"] >= 3) & (rows["e"] % 2 == 0)], rows[(rows["t"] >= 3) & (rows["e"] % 2 == 1)]):
+        got += list(processor.handleInputRows((0,), iter([part.sample(frac=1, random_state=1)]), None))
+    assert sum(h.calls for h in store.made) == 1 + 2 + 2
+    found = pd.concat(got).set_index(["key", "k"])
+    for n in (2, 3):
+        want = rows.groupby("e")["v"].transform(lambda v, n=n: v.shift(1).rolling(n, min_periods=1).mean())
+        told = found.loc[list(zip(rows["e"], rows["k"], strict=True)), f"rolling_last{n}_v"].astype(float)
+        assert np.allclose(told.to_numpy(), want.to_numpy(), equal_nan=True)
