@@ -38,67 +38,97 @@ def bucket_of(entity: str) -> Column:
 
 
 class RecentRows(StatefulProcessor):
-    """Keeps an entity's newest rows, and counts and sums over all of its rows.
+    """Keeps the newest rows of the entities of a bucket, and counts and sums over all of their rows.
 
     Rows may come in any order and again.  What was counted is remembered in blocks of
     time, so that a row that comes again replaces its own numbers; a frame of rows reads
-    and writes the blocks that it falls into and nothing else.  A block's width is set when
-    an entity first comes, for about ``PER_BLOCK`` rows at the density of that frame.
+    and writes the blocks that it falls into, and a batch the bucket's totals and tails once.
+    A block's width is set when a bucket first comes, for about ``PER_BLOCK`` rows at the
+    density of that frame.
     """
 
     PER_BLOCK = 512
-    WIDTH = 28 * 86_400_000_000  # microseconds, for an entity that comes with one row
+    WIDTH = 28 * 86_400_000_000  # microseconds, for a bucket that comes with one row
+    TOLD = 1_000  # entities of a frame of results
 
-    def __init__(self, measures: Sequence[str], tie: T.DataType, kept: int):
-        self.measures, self.tie, self.kept = list(measures), tie, kept
+    def __init__(self, measures: Sequence[str], entity: T.DataType, tie: T.DataType, kept: int):
+        self.measures, self.entity, self.tie, self.kept = list(measures), entity, tie, kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        numbers = [T.StructField(f"m{i}", T.ArrayType(T.DoubleType())) for i in range(len(self.measures))]
-        at, tie = T.StructField("at", T.ArrayType(T.LongType())), T.StructField("tie", T.ArrayType(self.tie))
-        total = T.StructType([T.StructField("width", T.LongType()), T.StructField("n", T.LongType())])
-        total = total.add("sums", T.ArrayType(T.DoubleType())).add("nums", T.ArrayType(T.LongType()))
-        tail = T.StructType([T.StructField("at", T.LongType()), T.StructField("tie", self.tie), T.StructField("row", T.StringType())])
-        self.blocks = handle.getMapState("blocks", T.StructType([T.StructField("block", T.LongType())]), T.StructType([at, tie, *numbers]))
-        self.total = handle.getValueState("total", total)
-        self.tail = handle.getListState("tail", tail)
+        many = lambda name, kind: T.StructField(name, T.ArrayType(kind))
+        places = [many("entity", self.entity), many("at", T.LongType()), many("tie", self.tie)]
+        # Flat lists: one number of rows, and as many sums and counts as measures, for each entity.
+        totals = T.StructType([T.StructField("width", T.LongType()), many("entity", self.entity), many("n", T.LongType())])
+        totals = totals.add(many("sums", T.DoubleType())).add(many("nums", T.LongType()))
+        self.blocks = handle.getMapState("blocks", T.StructType([T.StructField("block", T.LongType())]), T.StructType([*places, T.StructField("numbers", T.BinaryType())]))
+        self.totals = handle.getValueState("totals", totals)
+        self.tails = handle.getValueState("tails", T.StructType([*places, many("row", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tail = {(at, tie): row for at, tie, row in self.tail.get()} if self.tail.exists() else {}
-        width, n, sums, nums = self.total.get() if self.total.exists() else (None, 0, [0.0] * len(self.measures), [0] * len(self.measures))
-        sums, nums = list(sums), list(nums)
+        width, totals, tails = self._held()
+        k, touched = len(self.measures), {}
         for frame in rows:
-            at, tie = frame["at"].tolist(), frame["tie"].tolist()
+            ids, at, tie = frame["key"].tolist(), frame["at"].tolist(), frame["tie"].tolist()
             if width is None:
                 span = max(at) - min(at)
                 width = max(1, span * self.PER_BLOCK // len(at)) if span else self.WIDTH
-            numbers = [[None if pd.isna(v) else float(v) for v in frame[f"m{i}"].tolist()] for i in range(len(self.measures))]
+            numbers = [[None if pd.isna(v) else float(v) for v in frame[f"m{i}"].tolist()] for i in range(k)]
             fresh: dict[int, dict] = {}
-            for place, *values in zip(zip(at, tie, strict=True), *numbers, strict=True):
-                fresh.setdefault(place[0] // width, {})[place] = values
+            for place, *values in zip(zip(ids, at, tie, strict=True), *numbers, strict=True):
+                fresh.setdefault(place[1] // width, {})[place] = values
             for block, new in fresh.items():
                 held = self._block(block)
                 for place, values in new.items():
                     old = held.get(place)
-                    n += old is None
+                    total = totals.setdefault(place[0], [0, [0.0] * k, [0] * k])
+                    total[0] += old is None
                     for i, value in enumerate(values):
                         was = None if old is None else old[i]
-                        sums[i] += (value or 0.0) - (was or 0.0)
-                        nums[i] += (value is not None) - (was is not None)
+                        total[1][i] += (value or 0.0) - (was or 0.0)
+                        total[2][i] += (value is not None) - (was is not None)
                     held[place] = values
-                places = list(held)
-                columns = [[held[place][i] for place in places] for i in range(len(self.measures))]
-                self.blocks.updateValue((block,), ([p[0] for p in places], [p[1] for p in places], *columns))
-            tail |= zip(zip(at, tie, strict=True), frame["row"].tolist(), strict=True)
-            tail = dict(sorted(tail.items(), key=lambda item: item[0])[-self.kept :])
-        self.total.update((width, n, sums, nums))
-        self.tail.put([(at, tie, row) for (at, tie), row in tail.items()])
-        yield pd.DataFrame({"key": [key[0]], "rows": [list(tail.values())], "n": [n], "sums": [sums], "nums": [nums]})
+                # Bytes: a list of numbers costs the store many times as much.
+                self.blocks.updateValue((block,), (*self._places(held), np.array(list(held.values()), float).tobytes()))
+            come = dict.fromkeys(ids)
+            for entity, *place, row in zip(ids, at, tie, frame["row"].tolist(), strict=True):
+                tails.setdefault(entity, {})[tuple(place)] = row
+            for entity in come:
+                tails[entity] = dict(sorted(tails[entity].items(), key=lambda item: item[0])[-self.kept :])
+            touched |= come
+        flat = lambda i: [v for total in totals.values() for v in total[i]]
+        self.totals.update((width, list(totals), [total[0] for total in totals.values()], flat(1), flat(2)))
+        last = {(entity, *place): row for entity, tail in tails.items() for place, row in tail.items()}
+        self.tails.update((*self._places(last), list(last.values())))
+        names = list(touched)
+        for start in range(0, len(names), self.TOLD):
+            part = names[start : start + self.TOLD]
+            n, sums, nums = zip(*[totals[entity] for entity in part], strict=True)
+            newest = [list(tails[entity].values()) for entity in part]
+            yield pd.DataFrame({"key": part, "rows": newest, "n": n, "sums": sums, "nums": nums})
+
+    def _held(self) -> tuple[int | None, dict, dict]:
+        """The width of a block, and per entity its number of rows, sums and counts, and its newest rows in order."""
+        if not self.totals.exists():
+            return None, {}, {}
+        k = len(self.measures)
+        width, entities, n, sums, nums = self.totals.get()
+        totals = {e: [n[i], list(sums[i * k : i * k + k]), list(nums[i * k : i * k + k])] for i, e in enumerate(entities)}
+        tails: dict = {}
+        for entity, at, tie, row in zip(*self.tails.get(), strict=True):
+            tails.setdefault(entity, {})[at, tie] = row
+        return width, totals, tails
+
+    @staticmethod
+    def _places(held: dict) -> list[list]:
+        return [[place[i] for place in held] for i in range(3)]
 
     def _block(self, block: int) -> dict:
         if not self.blocks.containsKey((block,)):
             return {}
-        at, tie, *numbers = self.blocks.getValue((block,))
-        return {place: list(values) for place, *values in zip(zip(at, tie, strict=True), *numbers, strict=True)}
+        ids, at, tie, numbers = self.blocks.getValue((block,))
+        rows = np.frombuffer(bytes(numbers)).reshape(len(ids), -1)
+        rows = np.where(np.isnan(rows), None, rows.astype(object)).tolist()
+        return dict(zip(zip(ids, at, tie, strict=True), rows, strict=True))
 
     def close(self) -> None:
         pass
@@ -113,13 +143,14 @@ def recent_state(stream: DataFrame, *, entity: str, event_time: str, tiebreak: s
     rows, _, means = live_inputs(stream.where(F.col(entity).isNotNull() & F.col(event_time).isNotNull()), entity=entity)
     kinds, row = {f.name: f.dataType for f in rows.schema.fields}, rows.schema
     told = rows.select(
-        entity, F.unix_micros(F.col(event_time).cast("timestamp")).alias("at"), F.col(tiebreak).alias("tie"),
+        bucket_of(entity), F.col(entity).alias("key"),
+        F.unix_micros(F.col(event_time).cast("timestamp")).alias("at"), F.col(tiebreak).alias("tie"),
         F.to_json(F.struct(*rows.columns)).alias("row"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(means)],
     )
     out = T.StructType([T.StructField("key", kinds[entity]), T.StructField("rows", T.ArrayType(T.StringType()))])
     out = out.add("n", T.LongType()).add("sums", T.ArrayType(T.DoubleType())).add("nums", T.ArrayType(T.LongType()))
-    state = told.groupBy(entity).transformWithStateInPandas(
-        statefulProcessor=RecentRows(means, kinds[tiebreak], max(SIZES) + 1), outputStructType=out,
+    state = told.groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=RecentRows(means, kinds[entity], kinds[tiebreak], max(SIZES) + 1), outputStructType=out,
         outputMode="Update", timeMode="None",
     )
     return state, row, means
@@ -143,8 +174,8 @@ def rows_of_state(state: DataFrame, row: T.StructType, means: Sequence[str], *,
 def run_live_refresh(stream: DataFrame, *, table: str, checkpoint: str, entity: str, event_time: str, tiebreak: str) -> None:
     """Keep a table of live rows, one per entity, from a log that arrives in any order; runs until the input is used up.
 
-    All that a batch needs of earlier ones stands in the state of the entities it touches, so
-    its work depends on its own rows, not on the length of the log.  Rows that repeat (entity,
+    All that a batch needs of earlier ones stands in the state of the buckets of entities it touches,
+    so its work depends on its own rows and those buckets' entities, not on the length of the log.  Rows that repeat (entity,
     time, tiebreak) count once, the last to come.  Live rows of a batch go to a folder of its
     own: a batch that is run again replaces its own output and nothing else.
     """

@@ -179,3 +179,22 @@ def test_rolling_state_of_many_entities_takes_two_calls_a_batch():
         want = rows.groupby("e")["v"].transform(lambda v, n=n: v.shift(1).rolling(n, min_periods=1).mean())
         told = found.loc[list(zip(rows["e"], rows["k"], strict=True)), f"rolling_last{n}_v"].astype(float)
         assert np.allclose(told.to_numpy(), want.to_numpy(), equal_nan=True)
+
+
+def test_recent_rows_of_many_entities_share_the_calls_of_their_bucket():
+    processor, store = L.RecentRows(["v"], T.StringType(), T.LongType(), 2), Store()
+    processor.init(store)
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["key", "at", "tie", "row", "m0"])
+
+    first = [(f"e{e}", 10 * t, t, f"{e}:{t}", float(t)) for e in range(30) for t in range(4)]
+    again = [(f"e{e}", 10, 1, f"{e}:new", None if e else 7.0) for e in range(2)] + [("e29", 5, 9, "late", 1.0)]
+    told = pd.concat(processor.handleInputRows((0,), iter([frame(first)]), None)).set_index("key")
+    assert sum(h.calls for h in store.made) <= 2 + len(store.made[0].held)
+    assert told.loc["e3"].tolist() == [["3:2", "3:3"], 4, [6.0], [4]]
+    told = pd.concat(processor.handleInputRows((0,), iter([frame(again)]), None)).set_index("key")
+    assert sorted(told.index) == ["e0", "e1", "e29"]
+    assert told.loc["e0"].tolist() == [["0:2", "0:3"], 4, [12.0], [4]]
+    assert told.loc["e1"].tolist() == [["1:2", "1:3"], 4, [5.0], [3]]
+    assert told.loc["e29"].tolist() == [["29:2", "29:3"], 5, [7.0], [5]]
