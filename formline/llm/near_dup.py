@@ -146,6 +146,21 @@ def estimate(a: Column, b: Column, k: int) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union)
 
 
+def _asked_pairs(members: DataFrame, asked: DataFrame, percent: int, once: bool) -> DataFrame:
+    """The members of lists beside those ``p`` that are asked in them, where a link of the two could matter.
+
+    With ``once``, a pair is told in the first list where it is asked, and only there: near copies share most of their
+    lists.  Both sides then carry their lists, at most as many as a sketch has values.
+    """
+    most = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
+    likely = (F.col("label") != F.col("pl")) & (100 * most >= percent * (F.col("n") + F.col("pn") - most))
+    if once:
+        members = members.join(members.groupBy("doc_id").agg(F.collect_list("value").alias("held")), "doc_id")
+        asked = asked.join(asked.groupBy("p").agg(F.collect_list("value").alias("at")), "p")
+        likely &= F.array_min(F.array_intersect("held", "at")) == F.col("value")
+    return members.join(asked, "value").filter(likely)
+
+
 def _linked(pairs: DataFrame, sketch: DataFrame, sets: _FullSets, percent: int, k: int) -> DataFrame:
     """Those pairs ``a, b`` whose full shingle sets are similar."""
 
@@ -190,8 +205,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         asked = members.join(pivots, ["value", "doc_id"]).select(
             "value", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("u").alias("pu"), F.col("label").alias("pl")
         )
-        most = F.least(F.col("n") - F.col("u"), F.col("pn") - F.col("pu"))
-        pairs = members.join(asked, "value").filter((F.col("label") != F.col("pl")) & (100 * most >= percent * (F.col("n") + F.col("pn") - most)))
+        # In the first round a list has one pivot, and few pairs meet in several lists.
+        pairs = _asked_pairs(members, asked, percent, once=turn > 0)
         pairs = pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
         found = stored(_linked(pairs, reps, sets, percent, k), "links")
         edges = found if edges is None else edges.union(found)

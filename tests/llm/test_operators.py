@@ -675,3 +675,13 @@ def test_blocks_number_words_once_and_start_anew(monkeypatch):
     out = [r for b in byte_bpe._ids(map(encoded, blocks)) for r in b.to_pylist()]
     by_rank = {r: t for t, r in ranks.items()}
     assert [b"".join(by_rank[i] for i in r["ids"]).decode() for r in out] == texts
+
+
+def test_near_copies_that_share_many_lists_are_told_once(spark):
+    lists = [(v, d) for v in range(10, 30) for d in (1, 2, 3)] + [(30, 3), (30, 4)]
+    members = spark.createDataFrame([(v, d, 100, d, 0) for v, d in lists], "value bigint, doc_id bigint, n bigint, label bigint, u bigint")
+    asked = spark.createDataFrame([(v, 1, 100, 0, 1) for v in range(15, 30)] + [(30, 3, 100, 0, 3)], "value bigint, p bigint, pn bigint, pu bigint, pl bigint")
+    told = near_dup._asked_pairs(members, asked, 85, once=True).select("doc_id", "p").collect()
+    assert sorted(map(tuple, told)) == [(2, 1), (3, 1), (4, 3)]
+    every = near_dup._asked_pairs(members, asked, 85, once=False).select("doc_id", "p").collect()
+    assert len(every) == 31 and set(every) == set(told)
