@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -156,7 +156,7 @@ def shapley(x: np.ndarray, ready: Mapping[int, dict], n_features: int) -> np.nda
     return out
 
 
-BATCH = 256
+BATCH = 2048  # rows whose contributions are made and sent back at a time
 
 
 def row_contributions(df: DataFrame, models: ModelSet, *, key: str) -> tuple[DataFrame, dict[str, float]]:
@@ -170,21 +170,25 @@ def row_contributions(df: DataFrame, models: ModelSet, *, key: str) -> tuple[Dat
     shared = spark.sparkContext.broadcast(paths)
     kind = df.schema[key].dataType.simpleString()
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(x.ravel()))
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Tables are made in the task: they are larger than the paths that are sent.
         ready = {target: tabled(tree_paths) for target, tree_paths in shared.value.items()}
+        names = ["key", "values", *[f"phi_{target}" for target in ready]]
         for batch in batches:
-            for start in range(0, len(batch), BATCH):
-                part = batch.iloc[start : start + BATCH]
-                x = np.stack(part["x"].to_numpy())
-                found = {f"phi_{target}": list(shapley(x, held, n)) for target, held in ready.items()}
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "values": list(x)} | found)
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, n)
+                found = [rows_of(shapley(x, held, n)) for held in ready.values()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), rows_of(x), *found], names)
 
     rows = prepared(df, models.prep, models.features).select(
         F.col(key).alias("key"), vector_to_array("features").alias("x")
     )
     phis = ", ".join(f"phi_{t} array<double>" for t in paths)
-    wide = rows.mapInPandas(explain, f"key {kind}, values array<double>, {phis}").withColumnRenamed("key", key)
+    wide = rows.mapInArrow(explain, f"key {kind}, values array<double>, {phis}").withColumnRenamed("key", key)
     return wide, {t: base_value(p) for t, p in paths.items()}
 
 

@@ -5,11 +5,13 @@ from math import factorial
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 import registry
 from formline import bindings as B
 from formline.operators import attribution as X
+from formline.operators import models as M
 from formline.operators import splits as S
 from formline.operators import windows as W
 from formline.plans import features as E
@@ -136,6 +138,27 @@ def test_contributions_equal_brute_force(spark, sf, tmp_path):
         assert abs(base - row["base"]) < 1e-9
 
 
+def test_contributions_keep_keys_and_order_over_many_batches(spark):
+    """Keys beside a missing one stay exact, and rows of a partition longer than a batch keep their own values."""
+    n = 2 * X.BATCH + 7
+    rows = [(None if i == 5 else 2**60 + i, float(i % 13), None if i % 7 == 0 else float(i % 5), float(i % 13 * (i % 5))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, y double").coalesce(1)
+    prep = M.preparation(["a", "b"], {"b": 2.0})
+    gbt = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="raw_y", maxIter=2, maxDepth=2, seed=1)
+    found = M.ModelSet(["a", "b"], prep, {"y": gbt.fit(M.prepared(df, prep, ["a", "b"]))})
+    got = {r["id"]: r for r in X.contributions(df, found, key="id").collect()}
+    want = {r["id"]: r for r in M.batch_score(df, found, keep_raw=True).collect()}
+    assert got.keys() == want.keys() and len(got) == n
+    for i, r in got.items():
+        assert r["values"] == [want[i]["a"], 2.0 if want[i]["b"] is None else want[i]["b"]]
+        assert abs(r["base"] + sum(r["contributions"]) - want[i]["raw_y"]) < 1e-9
+
+
+def test_contributions_query_broadcasts_no_rows(spark, sf):
+    plan = RM.contributions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "MapInPandas" not in plan
+
+
 def test_card_is_complete(spark, sf):
     cards = RM.cards(spark, sf)
     rows = cards.collect()
