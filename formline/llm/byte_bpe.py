@@ -1,9 +1,9 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
 Documents become blocks of numbers: the texts as numbers of their chunks, and each chunk that is new to the task as
-numbers of its words.  The ranked merges are folded over the bytes of each word that is new to the task, by a literal
-rank table; decoding concatenates the binary pieces of the ids.  Blocks stay in their task and in order, so nothing is
-shuffled and a word is encoded once per task.
+numbers of its words.  The ranked merges are made for each word that is new to the task, its ids are decoded, and the
+documents are put together from the chunks.  A block stays in its task, so nothing is shuffled and a word is encoded
+once per task; ids outside blocks are decoded by concatenating their binary pieces in Spark.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, texts
+from .common import texts
 
 BLOCK_CHARS = 2_000_000  # text in a block
 NUMBERED = 400_000  # chunks a task numbers before it starts anew
-LONG_WORD = 1_000  # bytes from which a word is merged with a heap instead of the fold
+LONG_WORD = 1_000  # bytes from which a word is merged with a heap
 NO_PAIR = 1 << 40
 # A space before white space or the end: such texts are one chunk.
 UNEVEN = re.compile(r" (?:\s|\Z)")
@@ -103,16 +104,11 @@ BLOCK = pa.schema(
         ("long", pa.list_(pa.struct([("word", pa.int32()), ("ids", pa.list_(pa.int64())), ("decoded", pa.binary())]))),
     ]
 )
-BLOCK_DDL = (
-    "doc_ids array<bigint>, docs array<binary>, chunks array<array<int>>, words array<array<smallint>>, anew boolean, "
-    "long array<struct<word:int,ids:array<bigint>,decoded:binary>>"
-)
-
 
-def _lists(values: list[np.ndarray] | list[list[int]], kind: pa.DataType) -> pa.Array:
+def _lists(values: list[list[int]], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    flat = np.concatenate([np.asarray(v) for v in values]) if values else np.array([])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype())))
+    flat = np.fromiter(chain.from_iterable(values), kind.to_pandas_dtype(), int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 class _Numbering:
@@ -178,115 +174,56 @@ def _blocks(pattern: str, ranks_path: str):
     return run
 
 
-def joined(*arrays: Column) -> Column:
-    return F.flatten(F.array(*arrays))
-
-
 def _literal(value: list, kind: str) -> Column:
     """A constant too large for an expression tree; Spark folds it into one literal."""
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
-class RankTable:
-    """A vocabulary's ranks as Spark literals: pairs of ids to the id they merge into, bytes to ids, ids to bytes."""
-
-    def __init__(self, path: str):
-        ranks = ranks_of(path)
-        pairs = [
-            (a, b, rank)
-            for token, rank in ranks.items()
-            for i in range(1, len(token))
-            if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None
-        ]
-        # A pair's key is a * shift + b; keys and ranks lie in buckets of about eight.
-        self.shift = max(max(ranks.values()) + 1, 65_537)
-        self.mask = (1 << max(1, len(pairs) // 8).bit_length()) - 1
-        keys: list[list[int]] = [[] for _ in range(self.mask + 1)]
-        values: list[list[int]] = [[] for _ in range(self.mask + 1)]
-        for a, b, rank in pairs:
-            key = a * self.shift + b
-            keys[key & self.mask].append(key)
-            values[key & self.mask].append(rank)
-        # Named once in a plan: each copy would travel with every task.
-        buckets = [{"k": k, "v": v} for k, v in zip(keys, values, strict=True)]
-        self.pairs = _literal(buckets, "array<struct<k:array<bigint>,v:array<bigint>>>")
-        self.bytes = _literal([ranks[bytes([i])] for i in range(256)], "array<bigint>")
-        by_id: list[str | None] = [None] * (1 + max(ranks.values()))
-        for token, rank in ranks.items():
-            by_id[rank] = base64.b64encode(token).decode()
-        self.tokens = _literal(by_id, "array<binary>")
-        # Tokens that their own merges do not give; a word equal to one is that token all the same.
-        self.whole = {t: r for t, r in ranks.items() if len(t) > 1 and merge_parts(t, ranks) != [r]}
-
-    def rank(self, pairs: Column, a: Column, b: Column) -> Column:
-        """The id that two ids merge into, or null."""
-        key = a * self.shift + b
-        return F.get(pairs, key.bitwiseAND(self.mask).cast("int"))[key]
-
-    def encode(self, words: Column) -> Column:
-        """The ids of each word of an array; a word is an array of byte values."""
-        maps = F.transform(self.pairs, lambda x: F.map_from_arrays(x["k"], x["v"]))
-        return let(maps, lambda pairs: F.transform(words, lambda w: self._fold(w, pairs)))
-
-    def _fold(self, word: Column, pairs: Column) -> Column:
-        """The leftmost pair of the lowest rank merges, again and again.
-
-        The state holds the ids and, for each place before, between and after them, the rank of the pair around it.
-        """
-
-        def begin(ids: Column) -> Column:
-            around = lambda i: self.rank(pairs, F.get(ids, i - 1), F.get(ids, i))
-            return F.struct(ids.alias("ids"), F.transform(F.sequence(F.lit(0), F.size(ids)), around).alias("ranks"))
-
-        def step(state: Column, _) -> Column:
-            ids, ranks = state["ids"], state["ranks"]
-
-            def merged(lowest: Column) -> Column:
-                """``lowest``: the rank of the merge and, in the low bits, its place."""
-                new, p = F.shiftright(lowest, 20), lowest.bitwiseAND((1 << 20) - 1).cast("int")
-                around = F.array(self.rank(pairs, F.get(ids, p - 2), new), self.rank(pairs, new, F.get(ids, p + 1)))
-                after = F.struct(
-                    joined(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                    joined(F.slice(ranks, 1, p - 1), around, F.slice(ranks, p + 3, F.size(ranks))).alias("ranks"),
-                )
-                return F.when(lowest.isNotNull(), after).otherwise(state)
-
-            return let(F.array_min(F.transform(ranks, lambda rank, i: F.shiftleft(rank, 20) + i)), merged)
-
-        def fold(ids: Column) -> Column:
-            steps = F.slice(F.sequence(F.lit(0), F.size(ids)), 3, F.size(ids))
-            return F.aggregate(steps, begin(ids), step, lambda s: s["ids"])
-
-        merged = let(F.transform(word, lambda b: F.get(self.bytes, b.cast("int"))), fold)
-        for token, rank in self.whole.items():
-            same = word == F.array(*[F.lit(c).cast("smallint") for c in token])
-            merged = F.when(same, F.array(F.lit(rank).cast("bigint"))).otherwise(merged)
-        return merged
-
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids: their pieces, concatenated."""
-        return F.aggregate(ids, F.lit(b""), lambda got, i: F.concat(got, F.get(self.tokens, i.cast("int"))))
-
-
-def merge_parts(token: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Plain merging of one short token, to build the table with."""
-    parts = [token[i : i + 1] for i in range(len(token))]
-    while len(parts) > 1:
-        found = [(ranks.get(a + b, NO_PAIR), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-        rank, i = min(found)
-        if rank == NO_PAIR:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+def decoded(ids: Column, ranks_path: str) -> Column:
+    """The bytes of ids: their pieces, concatenated."""
+    ranks = ranks_of(ranks_path)
+    by_id: list[str | None] = [None] * (1 + max(ranks.values()))
+    for token, rank in ranks.items():
+        by_id[rank] = base64.b64encode(token).decode()
+    tokens = _literal(by_id, "array<binary>")
+    return F.aggregate(ids, F.lit(b""), lambda got, i: F.concat(got, F.get(tokens, i.cast("int"))))
+
+
+def merge_parts(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word: the leftmost pair of the lowest rank merges, again and again.
+
+    A word that is a token is that token, even where its own merges do not give it.
+    """
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], NO_PAIR) for i in range(len(word) - 1)]
+    while pairs and (lowest := min(pairs)) != NO_PAIR:
+        i = pairs.index(lowest)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_PAIR)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], NO_PAIR)
     return [ranks[p] for p in parts]
 
 
-def encoded_blocks(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Blocks of documents with the ids and the decoded bytes of each word that is new to the task."""
-    table = RankTable(ranks_path)
-    blocks = texts(docs).mapInArrow(_blocks(pattern, ranks_path), BLOCK_DDL)
-    both = lambda ids: F.struct(ids.alias("ids"), table.decode(ids).alias("decoded"))
-    words = F.transform(table.encode(F.col("words")), both)
-    return blocks.select("doc_ids", "docs", "chunks", "anew", "long", words.alias("words"))
+def _merged(ranks_path: str):
+    """Blocks with the ids, and the bytes that these decode to, in place of the bytes of each word."""
+
+    def run(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, tokens = ranks_of(ranks_path), tokens_of(ranks_path)
+        at = BLOCK.get_field_index("words")
+        for block in blocks:
+            words = block.column("words").flatten()
+            flat, ends = words.flatten().to_numpy().astype("u1").tobytes(), words.offsets.to_numpy().tolist()
+            ids = [merge_parts(flat[a - ends[0] : b - ends[0]], ranks) for a, b in zip(ends, ends[1:], strict=False)]
+            back = pa.array([b"".join([tokens[i] for i in w]) for w in ids], pa.binary())
+            told = pa.StructArray.from_arrays([_lists(ids, pa.int32()), back], ["ids", "decoded"])
+            yield block.set_column(at, "words", pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told))
+
+    return run
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], list[bytes], list[bytes]]]:
@@ -320,14 +257,19 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, shown = None, []
     for doc_ids, docs, ids, decoded in _told(batches):
+        if ids is not known:
+            known, shown = ids, []
+        # The ids of a chunk as they are digested, each behind a space.
+        for chunk in ids[len(shown) :]:
+            shown.append("".join([f" {i}" for i in np.frombuffer(chunk, "<i4").tolist()]).encode())
         out: list[tuple] = []
         for d in docs:
             at = d.tolist()
-            numbers = np.frombuffer(b"".join([ids[c] for c in at]), "<i4").tolist()
+            told = b"".join([shown[c] for c in at])
             text = b"".join([decoded[c] for c in at])
-            shown = " ".join(map(str, numbers)).encode()
-            out.append((len(numbers), hashlib.sha256(shown).hexdigest(), hashlib.sha256(text).hexdigest()))
+            out.append((told.count(b" "), hashlib.sha256(told[1:]).hexdigest(), hashlib.sha256(text).hexdigest()))
         n, first, second = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
@@ -335,22 +277,27 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, out: Callable, schema: str) -> DataFrame:
+    """What ``out`` makes of the blocks of documents with the ids and the decoded bytes of their words."""
+    blocks, merged = _blocks(pattern, ranks_path), _merged(ranks_path)
+    return texts(docs).mapInArrow(lambda batches: out(merged(blocks(batches))), schema)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id`` and the ids of the whole text.
 
     A null or empty text has no ids; repeated rows give repeated rows; other columns are left out.  Words of more than
-    ``LONG_WORD`` bytes take the same merges from a heap, where the fold would be quadratic.
+    ``LONG_WORD`` bytes take the same merges from a heap, where plain merging would be quadratic.
     """
-    return encoded_blocks(docs, ranks_path, pattern).mapInArrow(_ids, "doc_id bigint, ids array<int>")
+    return _encoded(docs, ranks_path, pattern, _ids, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id`` and ``text``: the bytes of ``ids``; null ids give a null text."""
-    return encoded.select("doc_id", RankTable(ranks_path).decode(F.col("ids")).cast("string").alias("text"))
+    return encoded.select("doc_id", decoded(F.col("ids"), ranks_path).cast("string").alias("text"))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document the number of ids, a digest of the ids and a digest of the text decoded from them."""
-    return encoded_blocks(docs, ranks_path, pattern).mapInArrow(
-        _digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _encoded(docs, ranks_path, pattern, _digests, schema)

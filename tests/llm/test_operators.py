@@ -685,3 +685,20 @@ def test_near_copies_that_share_many_lists_are_told_once(spark):
     assert sorted(map(tuple, told)) == [(2, 1), (3, 1), (4, 3)]
     every = near_dup._asked_pairs(members, asked, 85, once=False).select("doc_id", "p").collect()
     assert len(every) == 31 and set(every) == set(told)
+
+
+def test_byte_bpe_merges_no_words_in_interpreted_expressions(make):
+    """A word takes a few microseconds in the task; folded by Spark's expressions it took about a hundred."""
+    docs = make(["some text", "other text"])
+    plan = byte_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_short_words_merge_the_leftmost_pair_of_the_lowest_rank():
+    letters = {bytes([c]): i for i, c in enumerate(b"abc")}
+    assert byte_bpe.merge_parts(b"aaaa", letters | {b"aa": 3}) == [3, 3]
+    assert byte_bpe.merge_parts(b"aaa", letters | {b"aa": 3}) == [3, 0]
+    assert byte_bpe.merge_parts(b"abc", letters | {b"bc": 3, b"ab": 4}) == [0, 3]
+    assert byte_bpe.merge_parts(b"abcabc", letters | {b"ab": 3, b"ca": 4, b"abc": 5}) == [5, 5]
+    # A word that is a token is that token, even if no merge gives it.
+    assert byte_bpe.merge_parts(b"abc", letters | {b"abc": 9}) == [9]
