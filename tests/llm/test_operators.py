@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from formline.llm import byte_bpe, fingerprints, line_dedup, lm_scoring, near_dup, packing, pii, quality_classifier, quality_rules
 from formline.llm import suffix_dedup
 from formline.llm.queries import BYTE_RANKS, WORD_TOKENIZER
+from formline.session import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -702,3 +703,53 @@ def test_short_words_merge_the_leftmost_pair_of_the_lowest_rank():
     assert byte_bpe.merge_parts(b"abcabc", letters | {b"ab": 3, b"ca": 4, b"abc": 5}) == [5, 5]
     # A word that is a token is that token, even if no merge gives it.
     assert byte_bpe.merge_parts(b"abc", letters | {b"abc": 9}) == [9]
+
+
+def test_texts_that_nobody_asks_for_are_not_shuffled(spark, monkeypatch):
+    """Where ids are too many to broadcast, a join by id sent every text; rows are now picked by marks of hashed ids."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('a b c d ', id) as text")
+    asked = docs.filter("doc_id % 100 = 7").select("doc_id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(near_dup, "stored", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = near_dup._FullSets(docs, 3)
+        held = {r["doc_id"]: r["shingles"] for r in sets.holding(asked).collect()}
+        picked = {r["doc_id"] for r in near_dup._roughly(docs, asked).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    wanted = set(range(7, 4000, 100))
+    assert set(held) == wanted and all(len(s) == 3 for s in held.values())
+    assert wanted <= picked and len(picked) < 60
+    # The texts meet the marks before the first exchange.
+    assert "BroadcastHashJoin" in plans["shingles"]
+
+
+def test_noisy_copies_out_of_reach_of_each_other_are_not_paired(make, monkeypatch):
+    """Copies with many edits share most lists of a group, and no link: pairs must not grow with the group's square."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(300):
+        words = [f"w{i}" for i in range(150)]
+        for at in rng.choice(150, 7 if k % 3 else 1, replace=False):
+            words[at] = f"e{rng.integers(3)}"
+        texts.append(" ".join(words))
+    told = []
+
+    ask = near_dup._asked_pairs
+
+    def counted(*args, **options):
+        out = stored(ask(*args, **options), "told")
+        told.append(out.select("doc_id", "p").distinct().count())
+        return out
+
+    monkeypatch.setattr(near_dup, "_asked_pairs", counted)
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_dup.near_duplicates(make(texts), 3, 85).collect()}
+    assert got == components_of(dict(enumerate(texts)), 3, 85)
+    assert sum(told[1:]) < 10 * len(texts), told
