@@ -15,7 +15,8 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ BLOCK_CHARS = 2_000_000  # text in a block
 NUMBERED = 400_000  # chunks a task numbers before it starts anew
 LONG_WORD = 1_000  # bytes from which a word is merged with a heap
 NO_PAIR = 1 << 40
+BYTES = [bytes([b]) for b in range(256)]
 # A space before white space or the end: such texts are one chunk.
 UNEVEN = re.compile(r" (?:\s|\Z)")
 
@@ -196,17 +198,18 @@ def merge_parts(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """
     if (whole := ranks.get(word)) is not None:
         return [whole]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(word[i : i + 2], NO_PAIR) for i in range(len(word) - 1)]
+    rank = ranks.get
+    parts = list(map(BYTES.__getitem__, word))
+    pairs = list(map(rank, map(add, parts, parts[1:]), repeat(NO_PAIR)))
     while pairs and (lowest := min(pairs)) != NO_PAIR:
         i = pairs.index(lowest)
-        parts[i] += parts.pop(i + 1)
         del pairs[i]
+        both = parts[i] = parts[i] + parts.pop(i + 1)
         if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_PAIR)
+            pairs[i - 1] = rank(parts[i - 1] + both, NO_PAIR)
         if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], NO_PAIR)
-    return [ranks[p] for p in parts]
+            pairs[i] = rank(both + parts[i + 1], NO_PAIR)
+    return list(map(ranks.__getitem__, parts))
 
 
 def _merged(ranks_path: str):
@@ -229,24 +232,33 @@ def _merged(ranks_path: str):
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], list[bytes], list[bytes]]]:
     """Per block: document ids, the chunk numbers of each document, and all the task's chunks so far as ids
     (little-endian 32 bit) and as decoded bytes."""
-    words: list[tuple[bytes, bytes]] = []
+    word_ids: list[bytes] = []
+    word_bytes: list[bytes] = []
     ids: list[bytes] = []
     decoded: list[bytes] = []
     for batch in batches:
         for at in range(len(batch)):
             cell = lambda name, at=at: batch.column(name)[at]  # noqa: B023, E731
             if cell("anew").as_py():
-                words, ids, decoded = [], [], []
+                word_ids, word_bytes, ids, decoded = [], [], [], []
             told = cell("words").values
             flat, ends = told.field("ids").flatten().to_numpy().astype("<i4").tobytes(), told.field("ids").offsets.to_numpy()
-            ends = (ends - ends[0]) * 4
-            new = [(flat[a:b], d) for a, b, d in zip(ends[:-1], ends[1:], told.field("decoded").to_pylist(), strict=True)]
+            ends = ((ends - ends[0]) * 4).tolist()
+            before = len(word_ids)
+            word_ids += [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            word_bytes += told.field("decoded").to_pylist()
             for w in cell("long").as_py():
-                new[w["word"]] = (np.array(w["ids"], "<i4").tobytes(), w["decoded"])
-            words += new
-            for c in cell("chunks").as_py():
-                ids.append(b"".join([words[w][0] for w in c]))
-                decoded.append(b"".join([words[w][1] for w in c]))
+                word_ids[before + w["word"]], word_bytes[before + w["word"]] = np.array(w["ids"], "<i4").tobytes(), w["decoded"]
+            chunks = cell("chunks").values
+            held, ends = chunks.flatten().to_numpy().tolist(), (chunks.offsets.to_numpy() - chunks.offsets[0].as_py()).tolist()
+            for a, b in zip(ends, ends[1:], strict=False):
+                # Most chunks are one word.
+                if b - a == 1:
+                    ids.append(word_ids[held[a]])
+                    decoded.append(word_bytes[held[a]])
+                else:
+                    ids.append(b"".join([word_ids[w] for w in held[a:b]]))
+                    decoded.append(b"".join([word_bytes[w] for w in held[a:b]]))
             yield cell("doc_ids").as_py(), [np.frombuffer(d, "<i4") for d in cell("docs").as_py()], ids, decoded
 
 
