@@ -76,6 +76,23 @@ def test_fill_missing_reads_all_columns_at_once(spark, dated):
     assert M.fill_missing(dated, ["a"]).where("a is null").isEmpty() and np.median(values) in {r["a"] for r in M.fill_missing(dated, ["a"]).collect()}
 
 
+@pytest.mark.parametrize("made, operator", [("models", "train_per_target"), ("folds", "temporal_cv")])
+def test_registered_models_are_trained_with_their_whole_settings(spark, monkeypatch, made, operator):
+    """No setting of a target is replaced by a smaller one, neither in training nor in validation."""
+    from registry import models as R
+
+    asked = []
+    monkeypatch.setattr(R, "_held", {})
+    monkeypatch.setattr(R, "feature_table", lambda *given: None)
+    monkeypatch.setattr(R, "stored", lambda rows, name: rows)
+    monkeypatch.setattr(R.M, operator, lambda *given, **kw: asked.append(kw))
+    getattr(R, made)(spark, "somewhere")
+    settings = asked[0].get("settings")
+    for t in M.TARGETS:
+        model = M._regressor(t, settings, None)
+        assert {name: model.getOrDefault(name) for name in M.SETTINGS[t]} == M.SETTINGS[t]
+
+
 SMALL = {"maxIter": 2, "maxDepth": 2, "subsamplingRate": 1.0}
 
 
