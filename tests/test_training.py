@@ -76,6 +76,21 @@ def test_fill_missing_reads_all_columns_at_once(spark, dated):
     assert M.fill_missing(dated, ["a"]).where("a is null").isEmpty() and np.median(values) in {r["a"] for r in M.fill_missing(dated, ["a"]).collect()}
 
 
+def test_medians_shuffle_counts_of_digits_not_values(spark, monkeypatch):
+    """However many values a column has, few counts leave the tasks; every kind of number is placed right."""
+    rng = np.random.default_rng(3)
+    odd = [-0.0, 0.0, -1.5, float("inf"), float("-inf"), float("nan"), None, 5e-324, -1e300, 7.25]
+    held = [(float(rng.normal()), float(rng.normal() * 1e-9 - 3.0), odd[k % len(odd)], k % 3) for k in range(6000)]
+    rows, written, stored = spark.createDataFrame(held, "a double, b double, odd double, part int"), [], A.stored
+    monkeypatch.setattr(A, "stored", lambda df, name: (made := stored(df, name), written.append(made.count()))[0])
+    got = {(r["column"], r["part"]): r["median"] for r in A.prefix_medians(rows, ["a", "b", "odd"], part="part", n_parts=2).collect()}
+    for i, c in enumerate(("a", "b", "odd")):
+        for p in (1, 2):
+            values = [r[i] for r in held if r[3] < p and r[i] is not None and not np.isnan(r[i])]
+            assert got[c, p] == float(np.median(values))
+    assert sum(written) < 6000
+
+
 @pytest.mark.parametrize("made, operator", [("models", "train_per_target"), ("folds", "temporal_cv")])
 def test_registered_models_are_trained_with_their_whole_settings(spark, monkeypatch, made, operator):
     """No setting of a target is replaced by a smaller one, neither in training nor in validation."""
@@ -173,3 +188,36 @@ def test_training_rows_are_sliced_and_made_vectors_once(dated, monkeypatch):
     folds = M.temporal_cv(rows, **asked, k=3).collect()
     assert {(r["target"], r["fold"], r["n_tested"]) for r in folds} == {(t, f, rows.count() // 4) for t in ("pts", "reb") for f in (1, 2, 3)}
     assert len(made) == 3
+
+
+def test_features_are_neither_sorted_nor_written_for_training(dated, monkeypatch):
+    """Only the order of the rows and their dates are; ties and missing keys have their place."""
+    rows = dated.where("not isnan(a)").withColumns({"pts": F.col("y"), "reb": F.when(F.col("k") % 5 != 0, F.col("b"))})
+    rows = rows.unionByName(rows)
+    asked = {"features": ["a", "b"], "order": ["t", "k"], "targets": ["pts", "reb"], "settings": SMALL}
+    written, stored, fits, fit = [], M.stored, [], M.GBTRegressor.fit
+    monkeypatch.setattr(M, "stored", lambda df, name: (written.append(df.columns), stored(df, name))[1])
+    monkeypatch.setattr(M.GBTRegressor, "fit", lambda self, data: (fits.append((self.getLabelCol(), data.groupBy("is_validation").count().collect())), fit(self, data))[1])
+    found = M.train_per_target(rows, **asked, threads=1)
+    assert found.rows == {"pts": rows.count(), "reb": rows.where("reb is not null").count()}
+    for target, counts in fits:
+        trained = {r["is_validation"]: r["count"] for r in counts}
+        assert sum(trained.values()) == found.rows[target] and 0 <= trained[False] - int(0.85 * found.rows[target]) <= 1
+    M.temporal_cv(rows, **asked, k=3, by_date=True)
+    assert written and not any({"a", "b"} & set(columns) for columns in written)
+    alike = rows.withColumns({"t": F.lit(None).cast("date"), "k": F.lit(1), "pts": F.lit(2.0)})
+    assert M.train_per_target(alike, **asked | {"targets": ["pts"]}).rows == {"pts": rows.count()}
+
+
+def test_queries_leave_no_method_too_large_to_compile(spark):
+    """Whole-stage code over all features is more than HotSpot compiles."""
+    import registry
+
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 65535)
+    try:
+        registry.query("a_query_of_a_test")(lambda spark, sf: spark.range(1))
+        registry.QUERIES.pop("a_query_of_a_test")(spark, "").collect()
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
